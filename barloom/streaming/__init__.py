@@ -1,0 +1 @@
+"""Intentionally empty: the panel work has no streaming operators (see README, "Not built")."""
