@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import DATE, DEFAULT_UNIVERSE, SYMBOL
-from barloom.functions.windows import prior
+from barloom.functions.windows import prior, rolling
+from barloom.operators.base_features import daily_return
 from barloom.operators.membership import flag_membership, snapshot_intervals
+from barloom.operators.targets import future_return
 
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 
@@ -90,3 +92,18 @@ def panel_with_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel A with the membership flag from the yearly snapshots."""
     intervals = snapshot_intervals(index_snapshots(spark, sf_dir), 1996, 2001)
     return flag_membership(supplier_panel(spark, sf_dir), intervals, DEFAULT_UNIVERSE)
+
+
+def predictions(panel: DataFrame) -> DataFrame:
+    """A prediction table from a naive rule: past five-bar return in steps of 5 % as the forecast of
+    the next five bars, squared 20-bar volatility as its risk."""
+    returns = panel.withColumn("ret_1", daily_return("close", 0.2))
+    past = F.try_divide(F.col("close"), prior("close", 5)) - 1.0
+    deviation = rolling(F.stddev_samp, "ret_1", 20)
+    return returns.select(
+        F.concat_ws(":", SYMBOL, F.col(DATE).cast("string")).alias("sample_id"),
+        F.col(DATE).alias("label_date"),
+        (F.floor(past * 20) / 20).alias("y_pred"),
+        future_return("close", 5).alias("y_true"),
+        (deviation * deviation).alias("pred_risk"),
+    )

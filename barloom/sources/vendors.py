@@ -52,7 +52,7 @@ def text_daily_bars(df: DataFrame, code: str | Column) -> DataFrame:
         {
             **_numbers(df),
             "code": code,
-            "time": F.to_timestamp(DATE, "yyyy-MM-dd"),
+            "time": F.to_timestamp_ntz(F.col(DATE), F.lit("yyyy-MM-dd")),
             "frequency": F.lit("d"),
         }
     )
@@ -65,7 +65,7 @@ def text_minute_bars(df: DataFrame, code: str | Column, minutes: int | str = 5)
         {
             **_numbers(df),
             "code": code,
-            "time": F.to_timestamp(F.substring("time", 1, 14), "yyyyMMddHHmmss"),
+            "time": F.to_timestamp_ntz(F.substring("time", 1, 14), F.lit("yyyyMMddHHmmss")),
             "frequency": F.lit(f"{minutes}min"),
         }
     )
