@@ -1,27 +1,36 @@
-"""Cutting lineage and writing small JSON documents, on whatever file system the session uses."""
+"""Stored intermediate tables and small JSON documents, on whatever file system the session uses."""
 
 from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder name under ``spark.checkpoint.dir``.
 
     A local session without the setting (tests) gets a temporary folder; a cluster must name one.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="barloom-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once as parquet to shared storage and read back.
+
+    Cuts the lineage where a frame is read several times; later reads prune columns, and a lost
+    executor costs a re-read, not a recomputation.
+    """
+    path = f"{scratch(df.sparkSession)}/stage.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_json(spark: SparkSession, document: dict, path: str) -> None:

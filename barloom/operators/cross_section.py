@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import DATE, DEFAULT_UNIVERSE, SYMBOL, FeatureSpec
-from barloom.functions.staging import checkpointed
+from barloom.functions.staging import stored
 from barloom.functions.windows import standardise
 from barloom.operators.ranking import (
     MAX_GROUP_ROWS,
@@ -75,8 +75,8 @@ def cross_section(
         rest = [F.col(f"__row.{c}").alias(c) if c in payload else F.col(c) for c in df.columns]
         return out.select(*rest, *added)
 
-    stored = checkpointed(df)
-    inside = stored.where(universe).select(SYMBOL, date, *columns)
+    table = stored(df)
+    inside = table.where(universe).select(SYMBOL, date, *columns)
     ranks = split_average_ranks(inside, [date], [SYMBOL], columns, size, max_group_rows)
     moments = inside.groupBy(date).agg(
         *[
@@ -85,7 +85,7 @@ def cross_section(
             for tag, fn in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))
         ]
     )
-    joined = stored.join(
+    joined = table.join(
         ranks.select(date, SYMBOL, *[F.col(c).alias(f"_{c}_rank") for c in columns]),
         [date, SYMBOL],
         "left",

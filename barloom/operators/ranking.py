@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.staging import checkpointed
+from barloom.functions.staging import stored
 
 MAX_GROUP_ROWS = 2_000_000
 CUT_BUDGET = 500_000  # cut values over all groups; bounds what is broadcast
@@ -94,7 +94,7 @@ def split_average_ranks(
 ) -> DataFrame:
     """(keys, ids, one average rank per column) for groups too large for one task.
 
-    ``df`` is read several times, so hand in a checkpointed or stored frame; (keys, ids) is unique.
+    ``df`` is read several times, so hand in a stored frame; (keys, ids) is unique.
     """
     keys, ids, columns = list(keys), list(ids), list(columns)
     tall = df.unpivot(keys + ids, columns, "_feature", "_value").where(F.col("_value").isNotNull())
@@ -121,7 +121,7 @@ def positions_in_group(
     size = size or group_size(df, keys)
     if size.largest <= max_group_rows:
         return df.withColumn("_position", ordinal(keys, value, tie))
-    return split_ordinals(checkpointed(df), keys, value, tie, size, max_group_rows)
+    return split_ordinals(stored(df), keys, value, tie, size, max_group_rows)
 
 
 def ordinal(keys: Sequence[str], value: str, tie: str) -> Column:

@@ -152,6 +152,9 @@ def usable_samples(metadata: DataFrame, y_return: str = "y_ret_5", y_risk: str =
     return metadata.where(F.col(y_return).isNotNull() & F.col(y_risk).isNotNull())
 
 
+CHUNK_ROWS = 256
+
+
 def sample_tensors(
     features: DataFrame,
     metadata: DataFrame,
@@ -159,53 +162,60 @@ def sample_tensors(
     cross_columns: Sequence[str] = (),
     y_return: str = "y_ret_5",
     y_risk: str = "y_risk_vol_5",
+    sequence_length: int | None = None,
 ) -> DataFrame:
     """x_seq (rows in order; features then masks), x_cs, x_cs_mask, y_return, y_risk, label_date.
 
-    Samples are attached to their symbol's rows by one join on the symbol, so the wide feature rows
-    are shuffled once, not once per overlapping window; the regrouping by (symbol, start) reuses
-    that partitioning.
+    A symbol's history is cut into chunks of ``CHUNK_ROWS`` rows and a sample belongs to the chunk it
+    starts in. A wide feature row is sent to the chunks whose samples may contain it, about once
+    instead of once per overlapping window, and everything after that stays inside (symbol, chunk).
     """
     names = [*feature_names, *[f"{c}_mask" for c in feature_names]]
     missing = [c for c in names if c not in features.columns]
     if missing:
         raise ValueError(f"Missing feature columns in features: {sorted(missing)}")
-    rows = with_row_index(features).select(
-        SYMBOL, "idx", F.array(*[F.col(c).cast("float") for c in names]).alias("x")
-    )
     kept = usable_samples(metadata, y_return, y_risk)
-    spans = kept.groupBy(SYMBOL).agg(
-        F.collect_list(F.struct("start_idx", "end_idx")).alias("spans")
-    )
-    inside = F.filter(
-        "spans", lambda s: F.col("idx").between(s["start_idx"], s["end_idx"])
-    )
-    placed = rows.join(spans, SYMBOL).select(
-        SYMBOL, "idx", "x", F.explode(F.transform(inside, lambda s: s["start_idx"])).alias("start_idx")
-    )
-    stacked = placed.groupBy(SYMBOL, "start_idx").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("_rows")
+    if sequence_length is None:
+        longest = kept.agg(F.max(F.col("end_idx") - F.col("start_idx")).alias("n")).first()
+        sequence_length = (longest["n"] or 0) + 1
+
+    chunk = lambda idx: F.floor(idx / F.lit(CHUNK_ROWS)).cast("int")
+    earliest = F.greatest(F.col("idx") - (sequence_length - 1), F.lit(0))
+    rows = with_row_index(features).select(
+        SYMBOL,
+        "idx",
+        F.array(*[F.col(c).cast("float") for c in names]).alias("x"),
+        F.explode(F.sequence(chunk(earliest), chunk(F.col("idx")))).alias("chunk"),
     )
     cs = [c for c in cross_columns if c in metadata.columns]
-    as_floats = lambda cols: F.array(*[F.col(c).cast("float") for c in cols]).cast("array<float>")
-    labels = kept.select(
-        SYMBOL,
+    floats = lambda cols: F.array(*[F.col(c).cast("float") for c in cols]).cast("array<float>")
+    sample = F.struct(
         "start_idx",
+        "end_idx",
         "sample_id",
-        as_floats(cs).alias("x_cs"),
-        as_floats([f"{c}_mask" for c in cs]).alias("x_cs_mask"),
+        floats(cs).alias("x_cs"),
+        floats([f"{c}_mask" for c in cs]).alias("x_cs_mask"),
         F.col(y_return).cast("float").alias("y_return"),
         F.col(y_risk).cast("float").alias("y_risk"),
         "label_date",
     )
-    return stacked.join(labels, [SYMBOL, "start_idx"]).select(
-        "sample_id",
-        F.transform("_rows", lambda r: r["x"]).alias("x_seq"),
-        "x_cs",
-        "x_cs_mask",
-        "y_return",
-        "y_risk",
-        "label_date",
+    # at most CHUNK_ROWS samples start in a chunk
+    spans = kept.groupBy(SYMBOL, chunk(F.col("start_idx")).alias("chunk")).agg(
+        F.collect_list(sample).alias("samples")
+    )
+    inside = F.filter("samples", lambda s: F.col("idx").between(s["start_idx"], s["end_idx"]))
+    placed = rows.join(spans, [SYMBOL, "chunk"]).select(
+        SYMBOL, "chunk", "idx", "x", F.explode(inside).alias("sample")
+    )
+    stacked = placed.groupBy(SYMBOL, "chunk", F.col("sample.start_idx").alias("start_idx")).agg(
+        F.first("sample").alias("sample"),
+        F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("rows"),
+    )
+    kept_fields = ("x_cs", "x_cs_mask", "y_return", "y_risk", "label_date")
+    return stacked.select(
+        "sample.sample_id",
+        F.transform("rows", lambda r: r["x"]).alias("x_seq"),
+        *[f"sample.{f}" for f in kept_fields],
     )
 
 

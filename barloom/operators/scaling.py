@@ -43,17 +43,25 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], splits: YearSplits) -> Sca
     return {c: (row[f"{c}|mean"] or 0.0, row[f"{c}|std"] or 1.0) for c in columns}
 
 
-def partial_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str | Column] = ()) -> DataFrame:
-    """(count, sum, sum of squares) per feature and partition of the data, in long form."""
-    tall = df.select(*by, F.explode(F.create_map(
-        *[e for c in columns for e in (F.lit(c), F.col(c).cast("double"))]
-    )).alias("feature", "value"))
-    keys = [c for c in tall.columns if c != "value"]
-    return tall.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.sum("value").alias("sum"),
-        F.sum(F.col("value") * F.col("value")).alias("sumsq"),
+def partial_moments(df: DataFrame, columns: Sequence[str], by: Sequence[Column] = ()) -> DataFrame:
+    """(count, sum, sum of squares) per feature and part of the data, in long form.
+
+    The rows are aggregated in their wide form; only the result is turned into long rows.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
+    wide = df.groupBy(*by).agg(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.count(v).alias("count"),
+                F.sum(v).alias("sum"),
+                F.sum(v * v).alias("sumsq"),
+            ).alias(f"__{c}")
+            for c, v in x.items()
+        ]
     )
+    keys = [c for c in wide.columns if not c.startswith("__")]
+    return wide.select(*keys, F.inline(F.array(*[f"__{c}" for c in columns])))
 
 
 def merge_moments(parts: DataFrame) -> DataFrame:

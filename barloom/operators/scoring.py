@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.staging import checkpointed
+from barloom.functions.staging import stored
 from barloom.operators.ranking import (
     MAX_GROUP_ROWS,
     GroupSize,
@@ -63,11 +63,11 @@ def with_ranks(
                 "true_rank": average_rank(F.col("y_true"), [DAY]),
             }
         )
-    stored = checkpointed(preds)
+    table = stored(preds)
     ranks = split_average_ranks(
-        stored, [DAY], ["sample_id"], ["y_pred", "y_true"], size, max_group_rows
+        table, [DAY], ["sample_id"], ["y_pred", "y_true"], size, max_group_rows
     ).withColumnsRenamed({"y_pred": "pred_rank", "y_true": "true_rank"})
-    return stored.join(ranks, [DAY, "sample_id"], "left")
+    return table.join(ranks, [DAY, "sample_id"], "left")
 
 
 def date_rank_ic(

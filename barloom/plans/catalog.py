@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -20,7 +19,8 @@ from barloom.config import (
     SequenceConfig,
     YearSplits,
 )
-from barloom.functions.windows import prior, rolling_zscore, safe_div
+from barloom.functions.staging import scratch, stored
+from barloom.functions.windows import rolling_zscore, safe_div
 from barloom.operators import batches, membership, samples, scaling, scoring, trade_calendar
 from barloom.operators.base_features import add_base_features
 from barloom.operators.calendar_features import (
@@ -87,6 +87,10 @@ SMALL = FeatureConfig(
 UNCLIPPED = FeatureConfig(clip_return=None)
 
 
+# values that differ from a constant by one unit in the last place, so their z-score is rounding noise
+NOISY = ("price_pos_5_z5", "drawdown_5_z5")
+
+
 def rounded(x: Column) -> Column:
     """The rounding of ``oracles.r``."""
     x = x.cast("double")
@@ -110,7 +114,8 @@ def shown(
         kind = types[c]
         if isinstance(kind, (T.DoubleType, T.FloatType)) and c not in sql.EXACT:
             x = F.col(c).cast("double")
-            picked.append((F.round(x, digits) + 0.0 if digits else rounded(x)).alias(c))
+            places = 2 if c in NOISY else digits
+            picked.append((F.round(x, places) + 0.0 if places else rounded(x)).alias(c))
         elif isinstance(kind, T.IntegralType):
             picked.append(F.col(c).cast("long").alias(c))
         else:
@@ -118,15 +123,9 @@ def shown(
     return df.select(*picked)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder for written tables: under ``spark.checkpoint.dir``, or temporary when local."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        name = spark.range(1).select(F.expr("uuid()")).first()[0]
-        return f"{shared.rstrip('/')}/barloom-{name}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="barloom-")
+def universe_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel A with its membership flag, stored as the ingest step stores it."""
+    return stored(panel_with_universe(spark, sf_dir))
 
 
 # --- sources and normalisation ---------------------------------------------------------------
@@ -193,13 +192,18 @@ def base(columns: Sequence[str]) -> Query:
     return run
 
 
-def windowed_indicators(columns: Sequence[str]) -> Query:
-    return lambda spark, sf_dir: shown(window_ta(supplier_panel(spark, sf_dir)), [*KEYS, *columns])
+def _nation_base(spark, sf_dir):
+    out, _ = add_base_features(nation_panel(spark, sf_dir), FeatureConfig())
+    return shown(out, [*KEYS, "ret_1", "ma_ratio_20", "volatility_20"])
+
 
+def windowed_indicators(columns: Sequence[str], digits: int | None = None) -> Query:
+    return lambda spark, sf_dir: shown(window_ta(supplier_panel(spark, sf_dir)), [*KEYS, *columns], digits)
 
-def recursion(group: str, columns: Sequence[str] | None = None) -> Query:
+
+def recursion(group: str, digits: int | None = None) -> Query:
     def run(spark, sf_dir):
-        return shown(add_recursive(supplier_panel(spark, sf_dir), [group]), [*KEYS, *(columns or COLUMNS[group])])
+        return shown(add_recursive(supplier_panel(spark, sf_dir), [group]), [*KEYS, *COLUMNS[group]], digits)
 
     return run
 
@@ -233,7 +237,7 @@ def _cross_z(spark, sf_dir):
 
 
 def _cross_block(spark, sf_dir):
-    panel = panel_with_universe(spark, sf_dir)
+    panel = universe_panel(spark, sf_dir)
     out, _ = add_base_features(panel, UNCLIPPED)
     out, specs = add_cross_section(out, size=group_size(panel, [DATE]))
     return shown(out, [*KEYS, *cross_section_columns(specs)])
@@ -253,13 +257,13 @@ def _symbol_block(spark, sf_dir):
 
 
 def _panel_block(spark, sf_dir):
-    out, specs = _quiet_features(panel_with_universe(spark, sf_dir), SMALL)
+    out, specs = _quiet_features(universe_panel(spark, sf_dir), SMALL)
     return shown(out, [*KEYS, *[s.name for s in specs if s.name not in KEYS]])
 
 
 def default_features(spark, sf_dir) -> DataFrame:
     """The whole default feature set, 232 model columns, with labels."""
-    out, _ = _quiet_features(panel_with_universe(spark, sf_dir), FeatureConfig(), horizons=(5, 10, 20))
+    out, _ = _quiet_features(universe_panel(spark, sf_dir), FeatureConfig(), horizons=(5, 10, 20))
     return out
 
 
@@ -282,7 +286,7 @@ def _plain_labels(spark, sf_dir):
 
 
 def _selected(spark, sf_dir):
-    panel = panel_with_universe(spark, sf_dir)
+    panel = universe_panel(spark, sf_dir)
     out, targets = add_targets(add_base_features(panel, FeatureConfig())[0], (5,))
     names = feature_columns(out, targets, prefixes=("ret_", "oc_ratio"), exclude_keywords=("_20",))
     return shown(out, [*KEYS, *names])
@@ -290,13 +294,13 @@ def _selected(spark, sf_dir):
 
 def _scaled_selection(spark, sf_dir):
     cfg = replace(SMALL, zscore_windows=())
-    out, specs = _quiet_features(panel_with_universe(spark, sf_dir), cfg)
+    out, specs = _quiet_features(universe_panel(spark, sf_dir), cfg)
     return shown(out, [*KEYS, *scaler_columns(specs)])
 
 
 def _cross_selection(spark, sf_dir):
     cfg = replace(SMALL, zscore_windows=())
-    out, specs = _quiet_features(panel_with_universe(spark, sf_dir), cfg)
+    out, specs = _quiet_features(universe_panel(spark, sf_dir), cfg)
     return shown(out, [*KEYS, *cross_section_columns(specs)])
 
 
@@ -443,7 +447,7 @@ def _feature_base(spark, sf_dir):
 
 
 def labelled_panel(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    panel = panel_with_universe(spark, sf_dir)
+    panel = universe_panel(spark, sf_dir)
     out = cross_section(_with_returns(panel), ["ret_1"], size=group_size(panel, [DATE]))
     return add_targets(out, (1, 5))
 
@@ -526,7 +530,9 @@ def _tensors(spark, sf_dir) -> DataFrame:
     panel, _ = labelled_panel(spark, sf_dir)
     names = ["ret_1", "oc_ratio"]
     features = scaling.feature_base(panel, names, {})
-    return samples.sample_tensors(features, metadata(spark, sf_dir), names, CROSS)
+    return samples.sample_tensors(
+        features, metadata(spark, sf_dir), names, CROSS, sequence_length=SEQUENCE.sequence_length
+    )
 
 
 def _tensor_rows(spark, sf_dir):
@@ -779,6 +785,11 @@ def _register() -> None:
     _add("U4_cross_section_rank", _cross_rank(True), sql.picked(member, {"rank": sql.cs_rank("x")}, "m"))
     _add("U4_cross_section_rank_raw", _cross_rank(False), sql.picked(member, {"rank": sql.cs_rank("x", False)}, "m"))
 
+    dense = sql.RETS.replace(
+        "CAST(l_suppkey AS VARCHAR) AS ts_code", "CAST(s_nationkey AS VARCHAR) AS ts_code"
+    ).replace("FROM lineitem)", "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)", 1)
+    _add("F_nation_panel", _nation_base, sql.picked(dense, {c: base_sql[c] for c in ("ret_1", "ma_ratio_20", "volatility_20")}, "rets"))
+
     families = {
         "F1_ret_1": ["ret_1"], "F2_log_ret_1": ["log_ret_1"], "F3_oc_ratio": ["oc_ratio"],
         "F4_hl_ratio": ["hl_ratio"], "F5_co_gap": ["co_gap"],
@@ -796,14 +807,17 @@ def _register() -> None:
     for name, members in {
         "T2_roc": ["roc_10"], "T3_williams_r": ["willr_14"], "T4_stochastic": ["stoch_k_14", "stoch_d_14"],
         "T6_cci": ["cci_20"], "T9_bollinger": ["bb_h", "bb_l", "bb_m", "bb_width", "bb_pos"],
-        "T10_obv": ["obv"], "T11_cmf": ["cmf_20"], "T12_mfi": ["mfi_14"],
+        "T10_obv": ["obv"], "T12_mfi": ["mfi_14"],
     }.items():
         _add(name, windowed_indicators(members), sql.indicator_query(members))
+    # mostly ratios of small whole numbers, which meet ties at six digits
+    _add("T11_cmf", windowed_indicators(["cmf_20"], 8), sql.indicator_query(["cmf_20"], 8))
     _add("T15_efficiency_ratio", _efficiency, sql.indicator_query(["er_10"]))
 
     macd = {c: f"j.{c}" for c in COLUMNS["macd"]}
     _add("T1_rsi", recursion("rsi"), sql.recursive_query(sql.RSI, "rsi", {"rsi_14": "j.rsi_14"}))
-    _add("T5_macd", recursion("macd"), sql.recursive_query(sql.MACD, "macd", macd))
+    # differences of large averages: four digits are safe
+    _add("T5_macd", recursion("macd", 4), sql.recursive_query(sql.MACD, "macd", macd, 4))
     _add("T7_adx", recursion("adx"), sql.recursive_query(sql.ADX, "rec2", {"adx_14": "j.adx"}))
     _add("T8_atr", recursion("atr"), sql.recursive_query(sql._atr(14), "rec", {"atr_14": "j.atr"}))
     trend = {
@@ -818,13 +832,13 @@ def _register() -> None:
     joined = f"{both}, {rsi_part}, both_ind AS (SELECT m.*, r.rsi_14 FROM macd m JOIN rsi r USING (ts_code, rn))"
     _add(
         "T17_indicator_batch",
-        lambda s, d: shown(indicator_batch(supplier_panel(s, d)), [*KEYS, "MACD_12_26_9", "MACDs_12_26_9", "MACDh_12_26_9", "RSI_14"]),
-        sql.recursive_query(joined, "both_ind", {"MACD_12_26_9": "j.macd", "MACDs_12_26_9": "j.macd_signal", "MACDh_12_26_9": "j.macd_hist", "RSI_14": "j.rsi_14"}),
+        lambda s, d: shown(indicator_batch(supplier_panel(s, d)), [*KEYS, "MACD_12_26_9", "MACDs_12_26_9", "MACDh_12_26_9", "RSI_14"], 4),
+        sql.recursive_query(joined, "both_ind", {"MACD_12_26_9": "j.macd", "MACDs_12_26_9": "j.macd_signal", "MACDh_12_26_9": "j.macd_hist", "RSI_14": "j.rsi_14"}, 4),
     )
     _add(
         "T18_indicator_table",
-        lambda s, d: shown(with_indicator_table(supplier_panel(s, d)), [*KEYS, "close", "macd", "macds", "macdh", "rsi"]),
-        sql.recursive_query(joined, "both_ind", {"close": "bars.close", "macd": "j.macd", "macds": "j.macd_signal", "macdh": "j.macd_hist", "rsi": "j.rsi_14"}),
+        lambda s, d: shown(with_indicator_table(supplier_panel(s, d)), [*KEYS, "close", "macd", "macds", "macdh", "rsi"], 4),
+        sql.recursive_query(joined, "both_ind", {"close": "bars.close", "macd": "j.macd", "macds": "j.macd_signal", "macdh": "j.macd_hist", "rsi": "j.rsi_14"}, 4),
     )
 
     _add("D1_calendar_features", lambda s, d: shown(add_calendar_features(supplier_panel(s, d))[0], [*KEYS, *CALENDAR_COLUMNS]), _calendar_sql(sql.CALENDAR))
@@ -839,12 +853,13 @@ def _register() -> None:
     flags = [c for c in sql.CALENDAR if c.startswith("is_") or c == "gap_days"]
     calendar_body = ", ".join(f"CAST({v} AS BIGINT) AS {k}" if k in flags else f"{r(v)} AS {k}" for k, v in sql.CALENDAR.items())
     shown_columns = {**{c: c for c in numeric}, **zs}
-    body = ", ".join(f"{r(v)} AS {k}" for k, v in shown_columns.items())
+    show = lambda k, v: sql.rd(v, 2) if k in NOISY else r(v)
+    body = ", ".join(f"{show(k, v)} AS {k}" for k, v in shown_columns.items())
     _add("P1_symbol_features", _symbol_block, f"WITH {plain} SELECT ts_code, date, {body}, {calendar_body} FROM feat")
     _add(
         "P2_rolling_zscores",
         lambda s, d: shown(add_rolling_zscores(add_base_features(supplier_panel(s, d), SMALL)[0], [*raw, *small], (5,)), [*KEYS, *zs]),
-        f"WITH {plain} SELECT ts_code, date, " + ", ".join(f"{r(v)} AS {k}" for k, v in zs.items()) + " FROM feat",
+        f"WITH {plain} SELECT ts_code, date, " + ", ".join(f"{show(k, v)} AS {k}" for k, v in zs.items()) + " FROM feat",
     )
     present = [c for c in ("ret_1", "ret_5", "volatility_5") if c in small]
     cross = {}

@@ -60,7 +60,7 @@ CAL = """cal AS (
   FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem))"""
 
 
-EXACT = ("open", "high", "low", "close", "volume", "pre_close")
+EXACT = ("open", "high", "low", "close", "volume", "pre_close", "bars.close")
 
 
 def r(x: str) -> str:
@@ -68,7 +68,7 @@ def r(x: str) -> str:
 
     Bar columns stay as they are: one division or a sum of whole numbers is exact everywhere, while
     rounding a short decimal can meet a tie."""
-    if x in EXACT or x == "bars.close":
+    if x in EXACT:
         return x
     x = f"CAST({x} AS DOUBLE)"
     return (
@@ -77,6 +77,10 @@ def r(x: str) -> str:
     )
 
 
+def rd(x: str, digits: int) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"
+
+
 def over(n: int) -> str:
     return f"OVER ({SYM} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -105,8 +109,19 @@ def zscore(x: str, n: int) -> str:
     return f"(CASE WHEN {s} = 0 THEN 0.0 ELSE ({x} - {full('avg', x, n)}) / ({s} + 1e-12) END)"
 
 
-def picked(ctes: str, columns: dict[str, str], source: str, keys: str = "ts_code, date") -> str:
-    body = ", ".join(f"{r(sql)} AS {name}" for name, sql in columns.items())
+def listed(columns: dict[str, str], digits: int | None = None) -> str:
+    show = (lambda v: rd(v, digits) if v not in EXACT else v) if digits else r
+    return ", ".join(f"{show(sql)} AS {name}" for name, sql in columns.items())
+
+
+def picked(
+    ctes: str,
+    columns: dict[str, str],
+    source: str,
+    keys: str = "ts_code, date",
+    digits: int | None = None,
+) -> str:
+    body = listed(columns, digits)
     return f"WITH RECURSIVE {ctes} SELECT {keys}, {body} FROM {source}"
 
 
@@ -223,10 +238,10 @@ INDICATORS = {
 }
 
 
-def indicator_query(names: list[str]) -> str:
+def indicator_query(names: list[str], digits: int | None = None) -> str:
     # the typical price mean is a column, so nested windows never occur
     source = "(SELECT *, " + ", ".join(f"{INDICATORS[n]} AS out_{n}" for n in names) + " FROM inp)"
-    return picked(INDICATOR_INPUT, {n: f"out_{n}" for n in names}, source)
+    return picked(INDICATOR_INPUT, {n: f"out_{n}" for n in names}, source, digits=digits)
 
 
 # --- recursive indicators --------------------------------------------------------------------
@@ -317,8 +332,10 @@ rec(ts_code, rn, k, d) AS (
 kdj AS (SELECT ts_code, rn, CASE WHEN rn >= 11 THEN k END AS k, CASE WHEN rn >= 13 THEN d END AS d FROM rec)"""
 
 
-def recursive_query(ctes: str, joined: str, columns: dict[str, str]) -> str:
-    body = ", ".join(f"{r(sql)} AS {name}" for name, sql in columns.items())
+def recursive_query(
+    ctes: str, joined: str, columns: dict[str, str], digits: int | None = None
+) -> str:
+    body = listed(columns, digits)
     return (
         f"WITH RECURSIVE {ctes} SELECT bars.ts_code, bars.date, {body} "
         f"FROM bars LEFT JOIN {joined} j ON j.ts_code = bars.ts_code AND j.rn = bars.rn"
@@ -424,7 +441,7 @@ metadata AS MATERIALIZED (
 PREDS = f"""{RETS},
 preds AS MATERIALIZED (
   SELECT ts_code || ':' || CAST(date AS VARCHAR) AS sample_id, date AS label_date,
-         floor((close / {lag('close', 5)} - 1) * 20) / 20 AS y_pred, {ahead_ret(5)} AS y_true,
+         floor((close / {lag('close', 5)} - 1) * 20) / 21 AS y_pred, {ahead_ret(5)} AS y_true,
          {std('ret_1', 20)} * {std('ret_1', 20)} AS pred_risk
   FROM rets),
 done AS MATERIALIZED (SELECT * FROM preds WHERE y_pred IS NOT NULL AND y_true IS NOT NULL),

@@ -95,7 +95,7 @@ def panel_with_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(panel: DataFrame) -> DataFrame:
-    """A prediction table from a naive rule: past five-bar return in steps of 5 % as the forecast of
+    """A prediction table from a naive rule: past five-bar return in coarse steps as the forecast of
     the next five bars, squared 20-bar volatility as its risk."""
     returns = panel.withColumn("ret_1", daily_return("close", 0.2))
     past = F.try_divide(F.col("close"), prior("close", 5)) - 1.0
@@ -103,7 +103,7 @@ def predictions(panel: DataFrame) -> DataFrame:
     return returns.select(
         F.concat_ws(":", SYMBOL, F.col(DATE).cast("string")).alias("sample_id"),
         F.col(DATE).alias("label_date"),
-        (F.floor(past * 20) / 20).alias("y_pred"),
+        (F.floor(past * 20) / 21).alias("y_pred"),
         future_return("close", 5).alias("y_true"),
         (deviation * deviation).alias("pred_risk"),
     )
