@@ -32,6 +32,9 @@ def masked(column: str, universe: str) -> Column:
     return F.when(F.col(universe), F.col(column))
 
 
+# column forms, for a single column of a universe of ordinary width
+
+
 def zscore_by_date(column: str, universe: str = DEFAULT_UNIVERSE, date: str = DATE) -> Column:
     x, day = masked(column, universe), Window.partitionBy(date)
     return standardise(x, F.avg(x).over(day), F.stddev_samp(x).over(day))
@@ -50,58 +53,65 @@ def cross_section(
     columns: Sequence[str],
     universe: str = DEFAULT_UNIVERSE,
     date: str = DATE,
-    size: GroupSize | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Append ``{c}_cs_rank`` and ``{c}_cs_z`` for every column.
 
-    ``size`` may carry a known group size (same rows, cheaper frame) to save the counting pass.
+    One sort per column is unavoidable, so the sorts run on (symbol, date, columns) of the universe
+    only and the result is joined back on the panel key. The panel is stored first: it is read by
+    both sides, and the member rows and columns are then pruned at the scan.
     """
     if universe not in df.columns:
         raise ValueError(f"Missing required columns: [{universe!r}]")
     if not columns:
         return df
-    size = size or group_size(df, [date])
+    table = stored(df)
+    members = table.where(universe).select(SYMBOL, date, *columns)
+    size = group_size(members, [date])
     if size.largest <= max_group_rows:
-        added = {}
-        for c in columns:
-            added[f"{c}_cs_rank"] = rank_by_date(c, universe, date)
-            added[f"{c}_cs_z"] = zscore_by_date(c, universe, date)
-        # the payload rides along as one struct, so each of the per-column sorts moves few fields
-        used = [date, universe, *columns]
-        payload = [c for c in df.columns if c not in used]
-        packed = df.select(*used, F.struct(*payload).alias("__row")) if payload else df
-        out = packed.withColumns(added)
-        rest = [F.col(f"__row.{c}").alias(c) if c in payload else F.col(c) for c in df.columns]
-        return out.select(*rest, *added)
+        scored = _by_window(members, columns, date)
+    else:
+        scored = _by_buckets(members, columns, date, size, max_group_rows)
+    names = [f"{c}_cs_{kind}" for c in columns for kind in ("rank", "z")]
+    joined = table.drop(*names).join(scored, [SYMBOL, date], "left")
+    return joined.select(*[c for c in df.columns if c not in names], *names)
 
-    table = stored(df)
-    inside = table.where(universe).select(SYMBOL, date, *columns)
-    ranks = split_average_ranks(inside, [date], [SYMBOL], columns, size, max_group_rows)
-    moments = inside.groupBy(date).agg(
+
+def _by_window(members: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
+    day = Window.partitionBy(date)
+    added = {}
+    for c in columns:
+        x = F.col(c)
+        added[f"{c}_cs_rank"] = average_rank(x, [date]) / F.count(x).over(day)
+        added[f"{c}_cs_z"] = standardise(x, F.avg(x).over(day), F.stddev_samp(x).over(day))
+    return members.select(SYMBOL, date, *[v.alias(k) for k, v in added.items()])
+
+
+def _by_buckets(
+    members: DataFrame, columns: Sequence[str], date: str, size: GroupSize, max_group_rows: int
+) -> DataFrame:
+    ranks = split_average_ranks(members, [date], [SYMBOL], columns, size, max_group_rows)
+    ranks = ranks.select(date, SYMBOL, *[F.col(c).alias(f"__{c}_rank") for c in columns])
+    moments = members.groupBy(date).agg(
         *[
-            fn(c).alias(f"_{c}_{tag}")
+            fn(c).alias(f"__{c}_{tag}")
             for c in columns
             for tag, fn in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))
         ]
     )
-    joined = table.join(
-        ranks.select(date, SYMBOL, *[F.col(c).alias(f"_{c}_rank") for c in columns]),
-        [date, SYMBOL],
-        "left",
-    ).join(broadcast_if_small(moments, size.groups * len(columns)), date, "left")
+    joined = members.join(ranks, [date, SYMBOL], "left").join(
+        broadcast_if_small(moments, size.groups * len(columns)), date
+    )
     added = {}
     for c in columns:
-        x = masked(c, universe)
-        added[f"{c}_cs_rank"] = F.col(f"_{c}_rank") / F.col(f"_{c}_n")
-        added[f"{c}_cs_z"] = standardise(x, F.col(f"_{c}_mean"), F.col(f"_{c}_std"))
-    return joined.select(*df.columns, *[v.alias(k) for k, v in added.items()])
+        added[f"{c}_cs_rank"] = F.col(f"__{c}_rank") / F.col(f"__{c}_n")
+        added[f"{c}_cs_z"] = standardise(F.col(c), F.col(f"__{c}_mean"), F.col(f"__{c}_std"))
+    return joined.select(SYMBOL, date, *[v.alias(k) for k, v in added.items()])
 
 
 def add_cross_section(
     df: DataFrame,
     universe: str = DEFAULT_UNIVERSE,
-    size: GroupSize | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     present = [c for c in CANDIDATES if c in df.columns]
@@ -110,4 +120,4 @@ def add_cross_section(
         for c in present
         for kind in ("rank", "z")
     ]
-    return cross_section(df, present, universe, size=size, max_group_rows=max_group_rows), specs
+    return cross_section(df, present, universe, max_group_rows=max_group_rows), specs

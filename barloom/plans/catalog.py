@@ -37,7 +37,6 @@ from barloom.operators.indicators import (
     window_ta,
     with_indicator_table,
 )
-from barloom.operators.ranking import group_size
 from barloom.operators.recursions import COLUMNS, add_recursive
 from barloom.operators.selection import (
     cross_section_columns,
@@ -237,9 +236,9 @@ def _cross_z(spark, sf_dir):
 
 
 def _cross_block(spark, sf_dir):
-    panel = universe_panel(spark, sf_dir)
+    panel = panel_with_universe(spark, sf_dir)
     out, _ = add_base_features(panel, UNCLIPPED)
-    out, specs = add_cross_section(out, size=group_size(panel, [DATE]))
+    out, specs = add_cross_section(out)
     return shown(out, [*KEYS, *cross_section_columns(specs)])
 
 
@@ -286,7 +285,7 @@ def _plain_labels(spark, sf_dir):
 
 
 def _selected(spark, sf_dir):
-    panel = universe_panel(spark, sf_dir)
+    panel = panel_with_universe(spark, sf_dir)
     out, targets = add_targets(add_base_features(panel, FeatureConfig())[0], (5,))
     names = feature_columns(out, targets, prefixes=("ret_", "oc_ratio"), exclude_keywords=("_20",))
     return shown(out, [*KEYS, *names])
@@ -447,8 +446,8 @@ def _feature_base(spark, sf_dir):
 
 
 def labelled_panel(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    panel = universe_panel(spark, sf_dir)
-    out = cross_section(_with_returns(panel), ["ret_1"], size=group_size(panel, [DATE]))
+    panel = panel_with_universe(spark, sf_dir)
+    out = cross_section(_with_returns(panel), ["ret_1"])
     return add_targets(out, (1, 5))
 
 

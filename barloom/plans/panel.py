@@ -22,7 +22,7 @@ from barloom.operators.calendar_features import add_calendar_features
 from barloom.operators.contract import assert_unique_keys, check_input, compact_types
 from barloom.operators.cross_section import add_cross_section
 from barloom.operators.indicators import add_indicators
-from barloom.operators.ranking import MAX_GROUP_ROWS, GroupSize, group_size
+from barloom.operators.ranking import MAX_GROUP_ROWS
 from barloom.operators.selection import FeatureRegistry
 from barloom.operators.targets import add_targets
 from barloom.operators.zscores import add_rolling_zscores
@@ -71,26 +71,23 @@ def panel_features(
     df: DataFrame,
     cfg: FeatureConfig | None = None,
     horizons: Sequence[int] = (),
-    size: GroupSize | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     """All features of a panel and their specs; an empty panel gives an empty frame and no specs.
 
     With ``horizons`` the labels are computed too, on the symbol exchange that is there anyway.
-    The cross-section runs before the rolling z-scores: its per-date sorts then carry half the
-    columns. The order does not change any value, since z-scores never feed the cross-section.
+    The cross-section runs before the rolling z-scores, so the table it stores has half the columns.
+    The order does not change any value, since z-scores never feed the cross-section.
     """
     cfg = cfg or FeatureConfig()
     df = check_input(df)
-    if cfg.cross_sectional_rank:
-        size = size or group_size(df, [DATE])
-    if (size.groups == 0) if size else df.isEmpty():
+    if df.isEmpty():
         return df, []
     registry = FeatureRegistry(raw_specs())
     out, specs = _windowed(df, cfg, horizons)
     registry.extend(specs)
     if cfg.cross_sectional_rank:
-        out, specs = add_cross_section(out, cfg.universe_column, size, max_group_rows)
+        out, specs = add_cross_section(out, cfg.universe_column, max_group_rows)
         registry.extend(specs)
     out = _normalised(out, cfg, registry)
     registry.verify(out)
