@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.ranking import positions_in_group
 
-SLICES = 256
+SLICES = 1024
 
 
 def _shuffled(seed: int, epoch: int, key: str) -> Column:

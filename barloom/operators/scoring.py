@@ -118,17 +118,21 @@ def metric_summary(
     """One row: rank IC mean, deviation, ratio and positive share, IC mean, spread mean."""
     rank_ic = F.col("rank_ic")
     mean, std = F.avg(rank_ic), F.stddev_pop(rank_ic)
-    ranks = date_rank_ic(preds, min_size, max_group_rows).agg(
+    # the three tables hold the same dates, one row each
+    days = (
+        date_rank_ic(preds, min_size, max_group_rows)
+        .select(DAY, "rank_ic")
+        .join(date_ic(preds, min_size).select(DAY, "ic"), DAY, "full")
+        .join(date_spread(preds, top_frac, min_size, max_group_rows).select(DAY, "spread"), DAY, "full")
+    )
+    return days.agg(
         mean.alias("rank_ic_mean"),
         std.alias("rank_ic_std"),
         (mean / (std + F.lit(1e-8))).alias("rank_ic_ir"),
         F.avg((rank_ic > 0).cast("double")).alias("rank_ic_pos_ratio"),
+        F.avg("ic").alias("ic_mean"),
+        F.avg("spread").alias("top_bottom_spread"),
     )
-    ics = date_ic(preds, min_size).agg(F.avg("ic").alias("ic_mean"))
-    spreads = date_spread(preds, top_frac, min_size, max_group_rows).agg(
-        F.avg("spread").alias("top_bottom_spread")
-    )
-    return ranks.join(ics, F.lit(True)).join(spreads, F.lit(True))  # three single rows
 
 
 # --- losses ----------------------------------------------------------------------------------

@@ -31,8 +31,7 @@ def positions(days: DataFrame) -> DataFrame:
 
 def panel_calendar(panel: DataFrame, calendar: DataFrame, exchange: str = "SSE") -> DataFrame:
     """Positions of the exchange's open days between the first and the last bar of the panel."""
-    span = panel.agg(F.min(DATE).alias("_first"), F.max(DATE).alias("_last"))
+    first, last = panel.agg(F.min(DATE), F.max(DATE)).first()
     days = open_days(calendar, exchange).where(F.col("exchange") == exchange)
-    # ``span`` is one row
-    inside = days.join(F.broadcast(span), F.col("cal_date").between(F.col("_first"), F.col("_last")))
+    inside = days.where(F.col("cal_date").between(F.lit(first), F.lit(last)))
     return positions(inside.select("exchange", "cal_date"))

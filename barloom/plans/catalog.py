@@ -372,12 +372,12 @@ def _ordered_landing(spark, sf_dir):
 
 def _rebalanced_bars(spark, sf_dir):
     bars = supplier_panel(spark, sf_dir)
-    # constituents as of a rebalance date: suppliers that shipped in the 30 days before it
+    # constituents as of a rebalance date: suppliers that shipped in the three days before it
     spans = membership.rebalance_intervals(spark, 1996, 2001)
-    near = (F.col(DATE) < F.col("start_date")) & (F.col(DATE) >= F.date_sub("start_date", 3))
-    held = bars.join(F.broadcast(spans), near).select(
-        F.col("start_date").alias("trade_date"), F.col(SYMBOL).alias("con_code")
-    ).distinct()
+    before = F.sequence(F.date_sub("start_date", 3), F.date_sub("start_date", 1))
+    days = spans.select(F.col("start_date").alias("trade_date"), F.explode(before).alias(DATE))
+    # six rows per year
+    held = bars.join(F.broadcast(days), DATE).select("trade_date", F.col(SYMBOL).alias("con_code")).distinct()
     return shown(rebalanced_panel(held, bars, 1996, 2001), [*KEYS, "close", "in_csi300"])
 
 
