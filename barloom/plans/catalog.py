@@ -698,14 +698,11 @@ def _register() -> None:
         "make_date(period, 12, 31) AS period_end FROM p",
     )
     _add("M3_snapshot_intervals", _intervals, f"WITH {sql.INTERVALS} SELECT index_code, symbol, start_date, end_date FROM intervals")
-    monthly = (
-        sql.INTERVALS.split("placed AS", 1)[1]
-    )
     month_sql = (
         "shipped AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS con_code, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem), "
         "snaps AS (SELECT '000905.SH' AS index_code, trade_date, con_code FROM shipped WHERE trade_date IN "
-        "(SELECT min(trade_date) FROM shipped GROUP BY year(trade_date), month(trade_date))), placed AS" + monthly
-    ).replace("year(trade_date) AS period", "CASE WHEN year(trade_date) = 1995 AND month(trade_date) >= 11 THEN 1996 ELSE year(trade_date) END AS period")
+        f"(SELECT min(trade_date) FROM shipped GROUP BY year(trade_date), month(trade_date))), {sql.SPANS}"
+    )
     _add(
         "M4_interval_issues",
         _issues,
@@ -826,9 +823,7 @@ def _register() -> None:
     _add("T13_supertrend", recursion("supertrend"), sql.recursive_query(sql.SUPERTREND, "st", {f"supertrend_10_3_{k}": v for k, v in trend.items()}))
     _add("T14_kdj", recursion("kdj"), sql.recursive_query(sql.KDJ, "kdj", {"kdj_9_3_k": "j.k", "kdj_9_3_d": "j.d", "kdj_9_3_j": "3 * j.k - 2 * j.d"}))
     _add("T16_natr", _natr, sql.recursive_query(sql._atr(14), "rec", {"natr_14": "100.0 * j.atr / bars.close"}))
-    both = f"{sql.MACD}, {sql.RSI.split(chr(10) + 'moves AS', 1)[0] and ''}".rstrip(", ")
-    rsi_part = "moves AS" + sql.RSI.split("moves AS", 1)[1].replace("rec(", "rec_rsi(").replace("FROM rec p", "FROM rec_rsi p").replace("FROM rec)", "FROM rec_rsi)")
-    joined = f"{both}, {rsi_part}, both_ind AS (SELECT m.*, r.rsi_14 FROM macd m JOIN rsi r USING (ts_code, rn))"
+    joined = f"{sql.MACD},{sql.RSI_PART}, both_ind AS (SELECT m.*, r.rsi_14 FROM macd m JOIN rsi r USING (ts_code, rn))"
     _add(
         "T17_indicator_batch",
         lambda s, d: shown(indicator_batch(supplier_panel(s, d)), [*KEYS, "MACD_12_26_9", "MACDs_12_26_9", "MACDh_12_26_9", "RSI_14"], 4),

@@ -32,8 +32,12 @@ snaps AS (
   SELECT '399300.SZ' AS index_code, f.trade_date, a.con_code
   FROM yearly a JOIN levels l USING (y) JOIN firsts f USING (y) WHERE a.sales > l.lvl)"""
 
-INTERVALS = f"""{SNAPS},
-placed AS (SELECT DISTINCT index_code, year(trade_date) AS period, trade_date AS snap FROM snaps),
+# intervals from any snapshot table ``snaps``, for the years 1996 to 2001
+SPANS = """placed AS (
+  SELECT DISTINCT index_code, trade_date AS snap,
+         CASE WHEN year(trade_date) = 1995 AND month(trade_date) >= 11 THEN 1996
+              ELSE year(trade_date) END AS period
+  FROM snaps),
 spans AS (
   SELECT *, lead(snap) OVER (PARTITION BY index_code, period ORDER BY snap) AS next_in,
          lead(snap) OVER (PARTITION BY index_code ORDER BY snap) AS next_any,
@@ -47,6 +51,7 @@ days AS (
 intervals AS (
   SELECT d.index_code, s.con_code AS symbol, d.start_date, d.end_date
   FROM days d JOIN snaps s ON s.index_code = d.index_code AND s.trade_date = d.snap)"""
+INTERVALS = f"{SNAPS},\n{SPANS}"
 
 UNIVERSE = f"""{BARS}, {INTERVALS},
 panel AS MATERIALIZED (
@@ -248,7 +253,7 @@ def indicator_query(names: list[str], digits: int | None = None) -> str:
 
 _NEXT = "FROM {0} p JOIN {1} b ON b.ts_code = p.ts_code AND b.rn = p.rn + 1"
 
-CHANGES = f"""{BARS},
+MOVES = f"""
 moves AS MATERIALIZED (
   SELECT ts_code, date, rn, high, low, close,
          greatest(coalesce(close - {lag('close')}, 0), 0) AS g,
@@ -257,15 +262,17 @@ moves AS MATERIALIZED (
                   coalesce(abs(low - {lag('close')}), 0)) AS tr,
          high - {lag('high')} AS up, {lag('low')} - low AS down
   FROM bars)"""
+CHANGES = f"{BARS},{MOVES}"
 
-RSI = f"""{CHANGES},
-rec(ts_code, rn, ag, al) AS (
+RSI_PART = f"""{MOVES},
+rec_rsi(ts_code, rn, ag, al) AS (
   SELECT ts_code, rn, CAST(g AS DOUBLE), CAST(l AS DOUBLE) FROM moves WHERE rn = 1
   UNION ALL
   SELECT b.ts_code, b.rn, b.g / 14 + p.ag * 13 / 14, b.l / 14 + p.al * 13 / 14
-  {_NEXT.format('rec', 'moves')}),
+  {_NEXT.format('rec_rsi', 'moves')}),
 rsi AS (SELECT ts_code, rn, CASE WHEN rn < 14 THEN NULL WHEN al = 0 THEN 100.0
-               ELSE 100.0 - 100.0 / (1.0 + ag / al) END AS rsi_14 FROM rec)"""
+               ELSE 100.0 - 100.0 / (1.0 + ag / al) END AS rsi_14 FROM rec_rsi)"""
+RSI = f"{BARS},{RSI_PART}"
 
 MACD = f"""{BARS},
 rec(ts_code, rn, f, s, sig) AS (
