@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``.
+    """A fresh folder name under ``spark.checkpoint.dir``, which must name a shared folder.
 
-    A local session without the setting (tests) gets a temporary folder; a cluster must name one.
+    All stages of an application lie in one folder, which goes when its driver ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/barloom-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="barloom-")
+    context = spark.sparkContext
+    owner = f"{shared.rstrip('/')}/barloom-{context.applicationId}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(owner)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{owner}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
