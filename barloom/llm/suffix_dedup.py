@@ -43,6 +43,7 @@ from .scanning import encoded, mix
 
 LENGTH = 50
 GRAM = 16
+BLOCK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _ROW = "kind int, chunk long, bucket int, payload binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -85,18 +86,31 @@ def grams(buffer: np.ndarray) -> np.ndarray:
 
 
 def find_anchors(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> Anchors:
-    """The least q-gram of each string of ``length`` bytes, the leftmost of equals."""
-    n = len(texts.buffer)
-    if n < length:
+    """The least q-gram of each string of ``length`` bytes, the leftmost of equals, block by block."""
+    starts = np.zeros(len(texts.buffer) + 1, np.int32)
+    np.add.at(starts, texts.bounds[:-1], 1)
+    np.add.at(starts, np.maximum(texts.bounds[1:] - length + 1, texts.bounds[:-1]), -1)
+    valid = np.cumsum(starts[:-1], dtype=starts.dtype) > 0
+    parts = [_anchors_of_block(texts.buffer[k : k + BLOCK + length - 1], valid[k : k + BLOCK], k, length, gram) for k in range(0, len(valid), BLOCK)]
+    if not parts:
         empty = np.zeros(0, np.int64)
         return Anchors(np.zeros(0, np.uint64), empty, empty, empty, empty)
-    v = grams(texts.buffer)
+    keys, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Anchors(keys, at, np.searchsorted(texts.bounds, first, side="right") - 1, first, last)
+
+
+def _anchors_of_block(buffer: np.ndarray, valid: np.ndarray, base: int, length: int, gram: int) -> tuple:
+    """Keys, places, first and last string of the anchors of the strings that start at ``valid`` places."""
+    n, width = len(buffer), length - gram + 1
+    valid = np.flatnonzero(valid)
+    if not len(valid):
+        return np.zeros(0, np.uint64), valid, valid, valid
+    v = grams(buffer)
     h = v * np.uint64(0x9E3779B97F4A7C15)
     for k in range(8, gram, 8):
         at = min(k, gram - 8)
         h[: n - at] = (h[: n - at] ^ (h[: n - at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + v[at:]
     h = mix(h)
-    width = length - gram + 1
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -104,17 +118,11 @@ def find_anchors(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> Anchor
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    starts = np.zeros(n + 1, np.int32)
-    ends = np.maximum(texts.bounds[1:] - length + 1, texts.bounds[:-1])
-    np.add.at(starts, texts.bounds[:-1], 1)
-    np.add.at(starts, ends, -1)
-    valid = np.flatnonzero(np.cumsum(starts[:n]) > 0)
     owner = (least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.concatenate(([True], (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1] + 1), [True]))
     runs = np.flatnonzero(cut)
-    at, first, last = owner[runs[:-1]], valid[runs[:-1]], valid[runs[1:] - 1]
-    doc = np.searchsorted(texts.bounds, first, side="right") - 1
-    return Anchors(mix(h[at] + np.uint64(gram)), at, doc, first, last)
+    at = owner[runs[:-1]]
+    return mix(h[at] + np.uint64(gram)), at + base, valid[runs[:-1]] + base, valid[runs[1:] - 1] + base
 
 
 def document_counts(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
