@@ -44,6 +44,7 @@ from .scanning import encoded, mix
 LENGTH = 50
 GRAM = 16
 BLOCK = 1 << 18
+SLICE = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 _ROW = "kind int, chunk long, bucket int, payload binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -231,6 +232,15 @@ def smallest_documents(
     return entry[order], size[order], doc[order]
 
 
+def key_slices(keys: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of about ``size`` sorted keys that never part equal keys."""
+    cuts = [0]
+    while cuts[-1] < len(keys):
+        stop = min(cuts[-1] + size, len(keys))
+        cuts.append(int(np.searchsorted(keys, keys[stop - 1], side="right")))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def covered(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes of the buffer that lie in any of the ranges."""
     steps = np.bincount(starts, minlength=len(texts.buffer) + 1) - np.bincount(ends, minlength=len(texts.buffer) + 1)
@@ -290,8 +300,17 @@ def repeated_bytes(
         parts = [from_blob(b.as_py(), np.uint32, np.uint16, np.uint16, np.int64, np.uint8) for b in blobs]
         keys, offsets, sizes, smallest, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         sizes = sizes.astype(np.int64)
-        strings = rows_of_bytes(flat, np.cumsum(sizes) - sizes, sizes, width)
-        entry, run, doc = smallest_documents(keys, offsets, sizes, smallest, strings, length)
+        begins = np.cumsum(sizes) - sizes
+        by_key = np.argsort(keys, kind="stable")
+        found = []
+        for i, j in key_slices(keys[by_key], SLICE):
+            part = by_key[i:j]
+            strings = rows_of_bytes(flat, begins[part], sizes[part], width)
+            entry, run, doc = smallest_documents(keys[part], offsets[part], sizes[part], smallest[part], strings, length)
+            found.append((part[entry], run, doc))
+        entry, run, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(entry, kind="stable")
+        entry, run, doc = entry[order], run[order], doc[order]
         bounds = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
         cuts = np.searchsorted(entry, bounds)
         return _table(
