@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.staging import stored
 
 CHUNK_BYTES = 2 << 20
-KEYS_PER_RANGE = 4 << 20
+KEYS_PER_RANGE = 1 << 20
 CHUNK_SCHEMA = "chunk long, size long, payload binary"
 SHARED_SCHEMA = "chunk long, bucket int, payload binary"
 

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.staging import stored
 from .chunks import (
     blob_to_table,
     chunked,
@@ -347,7 +346,8 @@ def repeated_bytes(
 
     payloads = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).alias("bucket"), "payload")
     shared = shared_keys(chunks, keys_of, bits).select(F.lit(1).alias("kind"), "chunk", "bucket", "payload")
-    entries = stored(payloads.unionByName(shared).groupBy("chunk").applyInArrow(entries_of, _ROW))
+    # Not stored: made twice from one exchange, which costs less than writing them once.
+    entries = payloads.unionByName(shared).groupBy("chunk").applyInArrow(entries_of, _ROW)
     answers = entries.filter("kind = 0").groupBy("bucket").applyInArrow(answer, _ROW)
     together = payloads.unionByName(entries.filter("kind = 1")).unionByName(answers)
     return together.groupBy("chunk").applyInArrow(result, schema)
