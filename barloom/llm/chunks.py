@@ -29,7 +29,7 @@ SHARED_SCHEMA = "chunk long, bucket int, payload binary"
 def to_blob(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed message."""
     sizes = np.array([len(arrays), *(a.nbytes for a in arrays)], np.uint64)
-    return zstandard.compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 1)
+    return zstandard.compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 3)
 
 
 def from_blob(blob: bytes, *types) -> list[np.ndarray]:
@@ -52,7 +52,7 @@ def sorted_from_blob(blob: bytes, *types) -> list[np.ndarray]:
 
 def table_to_blob(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -41,7 +41,7 @@ from .chunks import (
 from .scanning import encoded, mix
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 BLOCK = 1 << 18
 SLICE = 1 << 14
 NO_ID = np.iinfo(np.int64).max
