@@ -18,8 +18,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import stored
-
 CHUNK_BYTES = 2 << 20
 KEYS_PER_RANGE = 1 << 20
 CHUNK_SCHEMA = "chunk long, size long, payload binary"
@@ -62,9 +60,9 @@ def blob_to_table(blob: bytes) -> pa.Table:
 
 
 def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A stored table with one row per chunk: rows of ``docs`` that were read together, all columns.
+    """A checkpointed table with one row per chunk: rows of ``docs`` that were read together, all columns.
 
-    A chunk ends after ``chunk_bytes`` of text. Only the stored table fixes what a chunk holds, so a
+    A chunk ends after ``chunk_bytes`` of text. Only the checkpoint fixes what a chunk holds, so a
     task that runs again later cannot deal rows differently.
     """
 
@@ -92,7 +90,7 @@ def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataF
         if held:
             yield chunk()
 
-    return stored(docs.mapInArrow(pack, CHUNK_SCHEMA))
+    return docs.mapInArrow(pack, CHUNK_SCHEMA).checkpoint()
 
 
 def range_bits(chunks: DataFrame, bytes_per_key: float) -> int:
