@@ -18,6 +18,7 @@ links. Hashes have 64 bits; for two sets to be judged wrongly, shingles of these
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -201,39 +202,60 @@ def pivot_links(reps: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> D
 
 
 def remaining_links(reps: DataFrame, prefix: DataFrame, connected: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between the components that still meet in a prefix shingle."""
+    """Links between the components that still meet in a prefix shingle.
+
+    Shingles with the same classes are taken once. Those where the same components meet go to one task
+    while they are few, so that a set is sent once for all of them; a group beyond ``BLOCK`` classes is
+    dealt out by pairs of blocks.
+    """
     known = prefix.join(connected, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("component"))
     groups = known.groupBy("token").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("and_who"),
     )
-    once = groups.filter("least < most").groupBy("n", "who", "and_who").agg(F.min("token").alias("token"))
-    blocks = once.select("token", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    once = groups.filter("least < most").groupBy("n", "who", "and_who", "least", "most").agg(F.min("token").alias("token")).checkpoint()
+    rows = once.agg(F.sum("n")).first()[0] or 0
+    family = once.groupBy("least", "most").agg(F.ceil(F.sum("n") / (2 * PAIRS_PER_TASK)).alias("salts"))
+    place = F.pmod(F.xxhash64("least", "most", F.pmod(F.xxhash64("token"), F.col("salts"))), F.lit(1 << 40))
+    blocks = once.join(family, ["least", "most"]).select("token", place.alias("place"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = known.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "cls", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).checkpoint()
-    tasks = max(1, dealt.count() // PAIRS_PER_TASK)
-    meeting = dealt.join(reps, "cls").withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks)))
+    dealt = dealt.select("place", "token", "cls", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("place", "i", "j"), F.lit(max(1, rows // PAIRS_PER_TASK)))).drop("place").checkpoint()
+    sent = dealt.select("task", "cls").distinct().join(reps, "cls").toDF("cls", "job", "n_shingles", "tokens")
 
-    def verify(group: pa.Table) -> pa.Table:
-        pairs, root = [], {}
+    def verify(meetings: pa.Table, sent: pa.Table) -> pa.Table:
+        sets = _by(_rows(sent), "cls")
+        pairs, done, root = [], set(), {}
 
         def find(x: int) -> int:
             while root.get(x, x) != x:
                 x = root[x]
             return x
 
-        for (_, i, j), rows in _by(_rows(group), "token", "i", "j").items():
-            members = [r for r in rows if r["own"] == j]
+        for (_, i, j), rows in _by(meetings.to_pylist(), "token", "i", "j").items():
+            of = {r["cls"]: find(r["component"]) for r in rows}
+            own = {r["cls"]: r["own"] for r in rows}
+            sizes = {x: [r["n_shingles"] for r in sets[(x,)]] for x in of}
+            main = Counter(of.values()).most_common(1)[0][0]
+            todo: dict[int, set[int]] = {}
+            for x in (x for x in of if of[x] != main):
+                for y in of:
+                    apart = of[x] != of[y] and own[x] + own[y] == i + j and (min(x, y), max(x, y)) not in done
+                    if apart and 100 * min(max(sizes[x]), max(sizes[y])) >= percent * max(min(sizes[x]), min(sizes[y])):
+                        todo.setdefault(x, set()).add(y)
+                        done.add((min(x, y), max(x, y)))
+            members = [r for x in sorted(set().union(*todo.values())) for r in sets[(x,)]]
             tree = Tree([r["tokens"] for r in members], [r["n_shingles"] for r in members])
-            for query in (r for r in rows if r["own"] == i):
-                apart = lambda k, q=query: find(members[k]["component"]) != find(q["component"])
-                for k in tree.walk(query["tokens"], query["n_shingles"], apart, percent):
-                    pairs.append((query["cls"], members[k]["cls"]))
-                    root[find(query["component"])] = find(members[k]["component"])
+            for x, others in todo.items():
+                wanted = lambda k, others=others: members[k]["cls"] in others
+                for query in sets[(x,)]:
+                    for k in tree.walk(query["tokens"], query["n_shingles"], wanted, percent):
+                        pairs.append((x, members[k]["cls"]))
+                        root[find(of[x])] = find(of[members[k]["cls"]])
         return _edges(pairs)
 
-    return meeting.groupBy("task").applyInArrow(verify, _EDGES)
+    return dealt.groupBy("task").cogroup(sent.groupBy("job")).applyInArrow(verify, _EDGES)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
