@@ -39,12 +39,14 @@ def from_blob(blob: bytes, *types) -> list[np.ndarray]:
 
 
 def sorted_to_blob(keys: np.ndarray, *arrays: np.ndarray) -> bytes:
-    """As ``to_blob``; sorted 32-bit keys first, kept as differences."""
-    return to_blob(np.diff(keys, prepend=np.uint32(0)), *arrays)
+    """As ``to_blob``; sorted 32-bit keys first, kept as differences, equal bytes of them together."""
+    steps = np.diff(keys, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)
+    return to_blob(steps.T, *arrays)
 
 
 def sorted_from_blob(blob: bytes, *types) -> list[np.ndarray]:
-    steps, *arrays = from_blob(blob, np.uint32, *types)
+    planes, *arrays = from_blob(blob, np.uint8, *types)
+    steps = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
     return [np.cumsum(steps, dtype=np.uint32), *arrays]
 
 

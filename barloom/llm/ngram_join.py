@@ -32,7 +32,7 @@ from .scanning import batches_by_size, encoded, scan_words, sequence_hashes, wor
 SHINGLE = 5
 PERCENT = 75
 BLOCK = 512
-PAIRS_PER_TASK = 4096
+PAIRS_PER_TASK = 2048
 #: The bytes that part words, space and tab to carriage return.
 SEPARATORS = (0x20, *range(0x09, 0x0E))
 _SETS = "doc_id long, n_shingles long, set_id binary, tokens binary"
@@ -179,10 +179,15 @@ def prefixes(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     return reps.mapInArrow(emit, "token long, cls long")
 
 
-def pivot_links(reps: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> DataFrame:
+def meetings(prefix: DataFrame) -> DataFrame:
+    """``token, cls, pivot`` of the shingles that several classes have; the pivot is their smallest class."""
+    pivots = prefix.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"))
+    return prefix.join(pivots.filter("pivot < last").drop("last"), "token")
+
+
+def pivot_links(reps: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links of classes with the smallest class of a prefix shingle that they share."""
-    pivots = prefix.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last")
-    pairs = prefix.join(pivots.select("token", "pivot"), "token").filter("cls <> pivot").select("pivot", "cls").distinct().checkpoint()
+    pairs = met.filter("cls <> pivot").select("pivot", "cls").distinct().checkpoint()
     tasks = max(1, pairs.count() // PAIRS_PER_TASK)
     parts = pairs.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / BLOCK).alias("parts"))
     member = pairs.join(parts, "pivot").select("pivot", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
@@ -201,21 +206,21 @@ def pivot_links(reps: DataFrame, prefix: DataFrame, percent: int = PERCENT) -> D
     return meeting.groupBy("task").applyInArrow(verify, _EDGES)
 
 
-def remaining_links(reps: DataFrame, prefix: DataFrame, connected: DataFrame, percent: int = PERCENT) -> DataFrame:
+def remaining_links(reps: DataFrame, met: DataFrame, connected: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between the components that still meet in a prefix shingle.
 
     Shingles with the same classes are taken once. Those where the same components meet go to one task
     while they are few, so that a set is sent once for all of them; a group beyond ``BLOCK`` classes is
     dealt out by pairs of blocks.
     """
-    known = prefix.join(connected, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("component"))
+    known = met.join(connected, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("component"))
     groups = known.groupBy("token").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("and_who"),
     )
     once = groups.filter("least < most").groupBy("n", "who", "and_who", "least", "most").agg(F.min("token").alias("token")).checkpoint()
     rows = once.agg(F.sum("n")).first()[0] or 0
-    family = once.groupBy("least", "most").agg(F.ceil(F.sum("n") / (2 * PAIRS_PER_TASK)).alias("salts"))
+    family = once.groupBy("least", "most").agg(F.ceil(F.sum("n") / (4 * PAIRS_PER_TASK)).alias("salts"))
     place = F.pmod(F.xxhash64("least", "most", F.pmod(F.xxhash64("token"), F.col("salts"))), F.lit(1 << 40))
     blocks = once.join(family, ["least", "most"]).select("token", place.alias("place"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = known.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
@@ -273,15 +278,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
     held = sets.filter("tokens is not null").join(classes, "set_id").filter("doc_id = cls")
     reps = held.select("cls", "n_shingles", "tokens").checkpoint()
-    prefix = prefixes(reps, percent).checkpoint()
-    first = pivot_links(reps, prefix, percent).checkpoint()
+    met = meetings(prefixes(reps, percent)).checkpoint()
+    first = pivot_links(reps, met, percent).checkpoint()
     connected = components(first)
-    second = remaining_links(reps, prefix, connected, percent)
-    members = sets.filter("set_id is not null").select("doc_id", "set_id").join(classes, "set_id")
+    second = remaining_links(reps, met, connected, percent)
+    members = sets.filter("set_id is not null").select("doc_id", "n_shingles", "set_id").join(classes, "set_id")
     several = members.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("a", "b")
     final = components(first.unionByName(second).unionByName(several))
-    named = sets.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(final, F.col("cls") == F.col("node"), "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
+    placed = members.join(final, F.col("cls") == F.col("node"), "left")
+    alone = sets.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return alone.unionByName(placed.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
