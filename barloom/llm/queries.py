@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, oracles
+from .cap_filters import near_duplicates
 from .decontamination import contamination
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -15,6 +16,10 @@ from .sources import table
 from .suffix_dedup import repeat_report
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit_profiles(language.learnable(docs)))
@@ -49,6 +54,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
