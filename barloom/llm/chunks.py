@@ -8,6 +8,7 @@ and answers every chunk with those of its keys that at least two documents hold.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
@@ -24,6 +25,15 @@ CHUNK_SCHEMA = "chunk long, size long, payload binary"
 SHARED_SCHEMA = "chunk long, bucket int, payload binary"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
+
+    Spark's cleaner waits for the driver's garbage collection, which on a large heap comes late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def to_blob(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed message."""
     sizes = np.array([len(arrays), *(a.nbytes for a in arrays)], np.uint64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import blob_to_table, chunked, range_bits, shared_keys, shared_of, short
+from .chunks import blob_to_table, chunked, range_bits, release, shared_keys, shared_of, short
 from .components import components
 from .scanning import batches_by_size, encoded, scan_words, sequence_hashes, word_bytes
 
@@ -275,6 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = document_sets(docs, percent=percent)
+    release(docs.sparkSession)
     classes = sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
     held = sets.filter("tokens is not null").join(classes, "set_id").filter("doc_id = cls")
     reps = held.select("cls", "n_shingles", "tokens").checkpoint()

@@ -7,34 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, oracles
+from . import language, line_crf, oracles
 from .cap_filters import near_duplicates
 from .decontamination import contamination
+from .html_layout import rendered
 from .ngram_join import jaccard_components
 from .packing import pack
 from .sources import table
 from .suffix_dedup import repeat_report
+from .token_counts import token_counts
+from .warc import derivatives, responses
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(table(spark, sf_dir, "pages"))
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit_profiles(language.learnable(docs)))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-def word_tokenizer() -> str:
-    """The file of the tokenizer that packing uses, as the installed package names it."""
+def tokenizer_file(name: str) -> str:
+    """A file of the installed package of public tokenizers."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", line_crf.held_out().alias("held_out"), "score", "predicted")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +75,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_embedding_near_dedup": op1_embedding_near_dedup,
-    "op4_language_id": op4_language_id,
-    "op5_packing": op5_packing,
-    "op8_suffix_dedup": op8_suffix_dedup,
-    "op9_benchmark_decontamination": op9_benchmark_decontamination,
-    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    query.__name__: query
+    for query in (
+        op1_embedding_near_dedup,
+        op2_html_extraction,
+        op3_warc_derivatives,
+        op4_language_id,
+        op5_packing,
+        op6_token_counts,
+        op7_line_crf,
+        op8_suffix_dedup,
+        op9_benchmark_decontamination,
+        op10_ngram_jaccard_join,
+    )
 }
 
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": oracles.DECONTAMINATION}
