@@ -148,14 +148,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on the labelled rows that are not held out: ``SAMPLE_DOCUMENTS`` of them with the least hash of the id.
 
-    Documents of more than ``SAMPLE_LINES`` lines are not in the sample. Null labels and texts are left out;
+    The chosen labels are sent to the documents, so that only texts of the sample move. Documents of more than ``SAMPLE_LINES`` lines are not in the sample. Null labels and texts are left out;
     without labels of both kinds every line is as likely good as bad.
     """
     chosen = labels.filter(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isin(0, 1))
     chosen = chosen.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE_DOCUMENTS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     few = F.length("text") - F.length(F.replace("text", F.lit("\n"))) < SAMPLE_LINES
-    sample = texts.filter(few).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(SAMPLE_DOCUMENTS)
+    sample = texts.filter(few).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
