@@ -9,6 +9,7 @@ and answers every chunk with those of its keys that at least two documents hold.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,10 +29,13 @@ SHARED_SCHEMA = "chunk long, bucket int, payload binary"
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
 
-    Spark's cleaner waits for the driver's garbage collection, which on a large heap comes late.
+    Spark's cleaner waits for the driver's garbage collection, which on a large heap comes late. The first
+    collection frees plans, the second what only they held.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def to_blob(*arrays: np.ndarray) -> bytes:
