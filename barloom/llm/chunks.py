@@ -30,9 +30,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
 
     Spark's cleaner waits for the driver's garbage collection, which on a large heap comes late. The first
-    collection frees plans, the second what only they held.
+    collection frees plans, later ones what only they held.
     """
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)

@@ -294,5 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents of ``docs`` that name their component, all columns kept; null ids stay."""
     found = jaccard_components(docs, id_col, text_col, percent)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct().checkpoint()
+    del found
+    release(docs.sparkSession)
     return docs.join(gone, id_col, "left_anti").select(docs.columns)
