@@ -29,6 +29,8 @@ from .components import components
 SIMILARITY = 0.95
 PASSED = 16
 TABLES = 3
+#: A vector in a gap of the code passes what scores at least this share of its best direction.
+NEAR_BEST = 0.9
 LEAST_CODEWORDS = 32
 VECTORS_PER_FILTER = 64
 BLOCK = 2048
@@ -82,10 +84,11 @@ def decode(x: np.ndarray, code: Code, most: float = np.inf) -> tuple[np.ndarray,
     scores = [turned[:, i:j] @ w.T for i, j, w in zip(code.bounds[:-1], code.bounds[1:], code.words, strict=True)]
     best = [s.max(axis=1) for s in scores]
     row, filters, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+    least = np.minimum(code.threshold, NEAR_BEST * sum(best))
     for k, score in enumerate(scores):
         rest = sum((b[row] for b in best[k + 1 :]), np.zeros(len(row)))
         sums = total[:, None] + score[row]
-        kept, word = np.nonzero(sums + rest[:, None] > code.threshold)
+        kept, word = np.nonzero(sums + rest[:, None] > least[row][:, None])
         total, filters, row = sums[kept, word], filters[kept] * score.shape[1] + word, row[kept]
         if len(row) > most * code.words[0].shape[0]:
             return row, filters
