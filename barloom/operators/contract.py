@@ -23,8 +23,9 @@ def check_input(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
     if isinstance(df.schema[DATE].dataType, T.StringType):
-        compact = F.try_to_date(DATE, "yyyyMMdd")
-        fixed[DATE] = F.coalesce(compact, F.try_to_date(DATE, "yyyy-MM-dd"))
+        read = [F.try_to_date(DATE, form) for form in ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd")]
+        refused = F.raise_error(F.concat(F.lit("unreadable date: "), F.col(DATE))).cast("date")
+        fixed[DATE] = F.when(F.col(DATE).isNotNull(), F.coalesce(*read, refused))
     elif not isinstance(df.schema[DATE].dataType, T.DateType):
         fixed[DATE] = F.to_date(DATE)
     return df.withColumns(fixed) if fixed else df

@@ -197,8 +197,11 @@ def indicator_batch(df: DataFrame, config: Sequence[dict] = INDICATOR_CONFIG) ->
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
-    plan = {}
+    passes: list[dict] = []
     for entry in config:
+        plan = next((p for p in passes if entry["kind"] not in p), None)
+        if plan is None:
+            passes.append(plan := {})
         if entry["kind"] == "macd":
             args = {k: entry[k] for k in ("fast", "slow", "signal")}
             tag = "_".join(number_suffix(v) for v in args.values())
@@ -207,7 +210,9 @@ def indicator_batch(df: DataFrame, config: Sequence[dict] = INDICATOR_CONFIG) ->
             plan["rsi"] = ({"n": entry["length"]}, (f"RSI_{number_suffix(entry['length'])}",))
         else:
             raise ValueError(f"Unknown indicator kind: {entry['kind']!r}")
-    return add_recursive(df, list(plan), plan)
+    for plan in passes:  # a kind once in each
+        df = add_recursive(df, list(plan), plan)
+    return df
 
 
 def indicator_table(df: DataFrame) -> DataFrame:

@@ -17,9 +17,16 @@ def with_row_index(df: DataFrame) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(per_symbol()) - 1)
 
 
+def one_exchange(calendar: DataFrame) -> DataFrame:
+    """Refuse a calendar that has a day twice, which would repeat samples."""
+    if calendar.groupBy("cal_date").count().where(F.col("count") > 1).take(1):
+        raise ValueError("the calendar has a day twice; give the days of one exchange")
+    return calendar
+
+
 def with_calendar_position(df: DataFrame, calendar: DataFrame) -> DataFrame:
     # one row per open day of one exchange
-    days = F.broadcast(calendar.select(F.col("cal_date").alias(DATE), "pos"))
+    days = F.broadcast(one_exchange(calendar).select(F.col("cal_date").alias(DATE), "pos"))
     return df.join(days, DATE, "left")
 
 
@@ -71,7 +78,7 @@ def with_labels(df: DataFrame, calendar: DataFrame, targets: Sequence[str]) -> D
     The value itself is the row's own target, which counts rows, not trading days.
     """
     horizons = sorted({h for t in targets if (h := target_horizon(t)) is not None})
-    out = df
+    out, calendar = df, one_exchange(calendar)
     for h in horizons:
         ahead = F.broadcast(  # one row per open day
             calendar.select((F.col("pos") - h).alias("pos"), F.col("cal_date").alias(f"label_date_{h}"))

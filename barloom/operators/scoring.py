@@ -30,11 +30,12 @@ def _correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _scorable(x: str = "y_pred", y: str = "y_true", min_size: int = MIN_GROUP_SIZE) -> Column:
-    """Dates with enough rows and with variation in both columns."""
-    return (
-        (F.count(F.lit(1)) >= min_size) & (F.stddev_pop(x) >= FLAT) & (F.stddev_pop(y) >= FLAT)
-    )
+def _scorable(x: str = "y_pred", y: str = "y_true", min_size: int = MIN_GROUP_SIZE, finite: bool = True) -> Column:
+    """Dates with enough rows, variation in both columns and, if asked for, only finite values."""
+    enough = (F.count(F.lit(1)) >= min_size) & (F.stddev_pop(x) >= FLAT) & (F.stddev_pop(y) >= FLAT)
+    for c in (x, y) if finite else ():
+        enough = enough & F.bool_and(F.abs(c) < float("inf"))
+    return enough
 
 
 def complete(preds: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def date_spread(
     """
     rows = complete(preds)
     days = rows.groupBy(DAY).agg(
-        F.count(F.lit(1)).alias("n"), _scorable(min_size=min_size).alias("_ok")
+        F.count(F.lit(1)).alias("n"), _scorable(min_size=min_size, finite=False).alias("_ok")
     )
     days = days.where("_ok").select(
         DAY, "n", F.greatest(F.floor(F.col("n") * F.lit(top_frac)), F.lit(1)).cast("long").alias("k")
@@ -220,7 +221,7 @@ def prediction_profile(preds: DataFrame, inputs: Sequence[str] = ()) -> DataFram
             F.stddev_samp(c).alias(f"{c}_std"),
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
-            F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_pos_ratio"),
+            F.avg(((F.col(c) > 0) & ~F.isnan(c)).cast("double")).alias(f"{c}_pos_ratio"),
         ]
     for c in inputs:
         v = F.col(c)

@@ -80,7 +80,7 @@ def panel_features(
     The order does not change any value, since z-scores never feed the cross-section.
     """
     cfg = cfg or FeatureConfig()
-    df = check_input(df)
+    df = assert_unique_keys(check_input(df))
     if df.isEmpty():
         return df, []
     registry = FeatureRegistry(raw_specs())
@@ -104,7 +104,7 @@ class ProcessedPanel:
 
 def build_processed_panel(spark: SparkSession, config: PanelBuildConfig) -> ProcessedPanel:
     """Read the raw panel, compute features and labels, store them with a manifest beside."""
-    raw = assert_unique_keys(check_input(read_panel(spark, config.raw_path)))
+    raw = read_panel(spark, config.raw_path)
     labelled, specs = panel_features(raw, config.feature_config, config.target_horizons)
     known = {s.name for s in specs} | set(raw.columns)
     targets = [c for c in labelled.columns if c not in known]
