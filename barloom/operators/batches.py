@@ -1,9 +1,8 @@
 """Batch plans: every batch holds samples of one label date.
 
 The shuffled order of samples and dates is a hash of (seed, epoch, key), so it is reproducible and
-any task can compute it. Samples of a date are spread over hash slices; a sample's number is the
-count in lower slices plus its number inside the slice, so a date of any size is split. Without
-shuffling, samples keep the order of their id (``ranking`` splits dates that are too large).
+any task can compute it; without shuffling, samples keep the order of their id. ``ranking`` numbers
+the samples of a date by either order, spread over tasks however many they are.
 """
 
 from __future__ import annotations
@@ -11,45 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.ranking import positions_in_group
-
-SLICES = 1024
+from barloom.functions.staging import stored
+from barloom.operators.ranking import join_on, with_lower
 
 
 def _shuffled(seed: int, epoch: int, key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
 
 
-def numbered_by_date(
-    samples: DataFrame, order: Column, slices: int = SLICES, sample_id: str = "sample_id"
-) -> DataFrame:
-    """Add ``n_in_date`` (0-based by ``order``, a hex digest) and ``date_size``."""
-    width = F.conv(F.substring("_order", 1, 4), 16, 10).cast("int")
-    sliced = samples.withColumn("_order", order).withColumn(
-        "_slice", F.floor(width * F.lit(slices) / F.lit(65536)).cast("int")
-    )
-    # one row per label date and slice
-    per_slice = sliced.groupBy("label_date", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    lower = Window.partitionBy("label_date").orderBy("_slice")
-    per_slice = per_slice.select(
-        "label_date",
-        "_slice",
-        (F.sum("_n").over(lower) - F.col("_n")).alias("_below"),
-        F.sum("_n").over(Window.partitionBy("label_date")).alias("date_size"),
-    )
-    inside = Window.partitionBy("label_date", "_slice").orderBy("_order", sample_id)
-    return (
-        sliced.join(per_slice, ["label_date", "_slice"])
-        .withColumn("n_in_date", F.col("_below") + F.row_number().over(inside) - 1)
-        .drop("_order", "_slice", "_below")
-    )
-
-
-def numbered_by_id(samples: DataFrame) -> DataFrame:
-    sizes = samples.groupBy("label_date").agg(F.count(F.lit(1)).alias("date_size"))
-    rows = positions_in_group(samples, ["label_date"], "sample_id", "sample_id")
-    # one row per label date
-    return rows.join(F.broadcast(sizes), "label_date").withColumn("n_in_date", F.col("_position") - 1)
+def numbered_in_date(samples: DataFrame, order: Column, sample_id: str = "sample_id") -> DataFrame:
+    """Add ``n_in_date``, 0-based by (order, sample id), and ``date_size``."""
+    placed = with_lower(samples.withColumn("_order", order), ["label_date"], ["_order", sample_id])
+    return placed.withColumnsRenamed({"_lower": "n_in_date", "_group_rows": "date_size"}).drop("_order")
 
 
 def _batch_count(size: Column, batch_size: int, drop_last: bool) -> Column:
@@ -69,10 +41,8 @@ def date_batches(
     if batch_size <= 0:
         raise ValueError("batch_size must be positive.")
     rows = samples.select("sample_id", "label_date")
-    if shuffle:
-        rows = numbered_by_date(rows, _shuffled(seed, epoch, "sample_id"))
-    else:
-        rows = numbered_by_id(rows)
+    order = _shuffled(seed, epoch, "sample_id") if shuffle else F.col("sample_id")
+    rows = numbered_in_date(rows, order)
     plan = rows.select(
         "sample_id",
         "label_date",
@@ -106,6 +76,7 @@ def rank_batches(
     """
     if world_size <= 0:
         raise ValueError("world_size must be positive.")
+    samples = stored(samples.select("sample_id", "label_date"))
     plan = date_batches(samples, batch_size, shuffle, drop_last, seed, epoch)
     sizes = samples.groupBy("label_date").agg(F.count(F.lit(1)).alias("n"))
     turn = _shuffled(seed, epoch, "label_date") if shuffle else F.col("label_date").cast("string")
@@ -119,7 +90,7 @@ def rank_batches(
         (F.sum("_batches").over(order) - F.col("_batches")).alias("_first"),
         F.sum("_batches").over(Window.partitionBy()).alias("_total"),
     )
-    dealt = plan.join(F.broadcast(dates), "label_date").withColumn(
+    dealt = join_on(plan, dates, ["label_date"]).withColumn(
         "_number", F.col("_first") + F.col("batch_in_date")
     )
     full_rounds = F.floor(F.col("_total") / world_size) * world_size

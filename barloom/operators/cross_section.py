@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import DATE, DEFAULT_UNIVERSE, SYMBOL, FeatureSpec
 from barloom.functions.staging import stored
 from barloom.functions.windows import standardise
-from barloom.operators.ranking import (
-    MAX_GROUP_ROWS,
-    GroupSize,
-    average_rank,
-    broadcast_if_small,
-    group_size,
-    split_average_ranks,
-)
+from barloom.operators.ranking import join_on, with_average_rank
 
 # Columns that get a cross-section rank and z-score when present.
 CANDIDATES = (
@@ -32,103 +25,66 @@ def masked(column: str, universe: str) -> Column:
     return F.when(F.col(universe), F.col(column))
 
 
-# column forms, for a single column of a universe of ordinary width
-
-
-def zscore_by_date(column: str, universe: str = DEFAULT_UNIVERSE, date: str = DATE) -> Column:
-    x, day = masked(column, universe), Window.partitionBy(date)
-    return standardise(x, F.avg(x).over(day), F.stddev_samp(x).over(day))
+def zscore_by_date(
+    df: DataFrame, columns: Sequence[str], universe: str = DEFAULT_UNIVERSE, date: str = DATE
+) -> DataFrame:
+    """Add ``{c}_cs_z``: members only, moments from one aggregate with one row per date."""
+    moments = df.groupBy(date).agg(
+        *[
+            fn(masked(c, universe)).alias(f"__{c}_{tag}")
+            for c in columns
+            for tag, fn in (("mean", F.avg), ("std", F.stddev_samp))
+        ]
+    )
+    scores = {
+        f"{c}_cs_z": standardise(masked(c, universe), F.col(f"__{c}_mean"), F.col(f"__{c}_std"))
+        for c in columns
+    }
+    helpers = [c for c in moments.columns if c != date]
+    return join_on(df, moments, [date], "left").withColumns(scores).drop(*helpers)
 
 
 def rank_by_date(
-    column: str, universe: str = DEFAULT_UNIVERSE, date: str = DATE, pct: bool = True
-) -> Column:
-    x = masked(column, universe)
-    rank = average_rank(x, [date])
-    return rank / F.count(x).over(Window.partitionBy(date)) if pct else rank
-
-
-def cross_section(
     df: DataFrame,
     columns: Sequence[str],
     universe: str = DEFAULT_UNIVERSE,
     date: str = DATE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    pct: bool = True,
 ) -> DataFrame:
-    """Append ``{c}_cs_rank`` and ``{c}_cs_z`` for every column.
-
-    Ranks need sorting, so it is done on (symbol, date, columns) of the universe only and the result
-    is joined back on the panel key. The panel is stored first: it is read by both sides, and the
-    member rows and columns are then pruned at the scan.
-    """
-    if universe not in df.columns:
-        raise ValueError(f"Missing required columns: [{universe!r}]")
-    if not columns:
-        return df
-    table = stored(df)
-    members = table.where(universe).select(SYMBOL, date, *columns)
-    size = group_size(members, [date])
-    if size.largest <= max_group_rows:
-        scored = _by_window(members, columns, date)
-    else:
-        scored = _by_buckets(members, columns, date, size, max_group_rows)
-    names = [f"{c}_cs_{kind}" for c in columns for kind in ("rank", "z")]
-    joined = table.drop(*names).join(scored, [SYMBOL, date], "left")
-    return joined.select(*[c for c in df.columns if c not in names], *names)
-
-
-def _by_window(members: DataFrame, columns: Sequence[str], date: str) -> DataFrame:
-    """All columns in long form, so that one sort and one window operator serve them all.
+    """(symbol, date, ``{c}_cs_rank``) of the members; ranks are a share of the date's values or plain.
 
-    Against one sorted window per column this halved the time for 18 columns, and a window group is
-    one column of one date.
+    All columns are ranked together in long form. ``df`` is read twice: hand in a stored frame.
     """
+    members = df.where(universe).select(SYMBOL, date, *[F.col(c).cast("double") for c in columns])
     tall = members.unpivot([SYMBOL, date], list(columns), "__column", "__x")
-    tall = tall.where(F.col("__x").isNotNull())
-    group, x = [date, "__column"], F.col("__x")
-    whole = Window.partitionBy(*group)
-    scored = tall.select(
-        SYMBOL,
-        date,
-        "__column",
-        (average_rank(x, group) / F.count(x).over(whole)).alias("rank"),
-        standardise(x, F.avg(x).over(whole), F.stddev_samp(x).over(whole)).alias("z"),
-    )
-    return scored.groupBy(SYMBOL, date).agg(
-        *[
-            F.max(F.when(F.col("__column") == c, F.col(kind))).alias(f"{c}_cs_{kind}")
-            for c in columns
-            for kind in ("rank", "z")
-        ]
+    ranked = with_average_rank(tall.where(F.col("__x").isNotNull()), [date, "__column"], "__x", "__rank")
+    rank = F.col("__rank") / F.col("__rank_of") if pct else F.col("__rank")
+    return ranked.groupBy(SYMBOL, date).agg(
+        *[F.max(F.when(F.col("__column") == c, rank)).alias(f"{c}_cs_rank") for c in columns]
     )
 
 
-def _by_buckets(
-    members: DataFrame, columns: Sequence[str], date: str, size: GroupSize, max_group_rows: int
+def cross_section(
+    df: DataFrame, columns: Sequence[str], universe: str = DEFAULT_UNIVERSE, date: str = DATE
 ) -> DataFrame:
-    ranks = split_average_ranks(members, [date], [SYMBOL], columns, size, max_group_rows)
-    ranks = ranks.select(date, SYMBOL, *[F.col(c).alias(f"__{c}_rank") for c in columns])
-    moments = members.groupBy(date).agg(
-        *[
-            fn(c).alias(f"__{c}_{tag}")
-            for c in columns
-            for tag, fn in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))
-        ]
-    )
-    joined = members.join(ranks, [date, SYMBOL], "left").join(
-        broadcast_if_small(moments, size.groups * len(columns)), date
-    )
-    added = {}
-    for c in columns:
-        added[f"{c}_cs_rank"] = F.col(f"__{c}_rank") / F.col(f"__{c}_n")
-        added[f"{c}_cs_z"] = standardise(F.col(c), F.col(f"__{c}_mean"), F.col(f"__{c}_std"))
-    return joined.select(SYMBOL, date, *[v.alias(k) for k, v in added.items()])
+    """Append ``{c}_cs_rank`` and ``{c}_cs_z`` for every column.
+
+    The panel is stored first, as ranks, moments and the result read it; the columns that each needs
+    are then pruned at the scan. (symbol, date) is unique.
+    """
+    if universe not in df.columns:
+        raise ValueError(f"The panel has no universe column {universe!r}")
+    if not columns:
+        return df
+    names = [f"{c}_cs_{kind}" for c in columns for kind in ("rank", "z")]
+    table = stored(df.drop(*names))
+    scored = zscore_by_date(table, columns, universe, date)
+    scored = join_on(scored, rank_by_date(table, columns, universe, date), [SYMBOL, date], "left")
+    return scored.select(*[c for c in df.columns if c not in names], *names)
 
 
 def add_cross_section(
-    df: DataFrame,
-    universe: str = DEFAULT_UNIVERSE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, universe: str = DEFAULT_UNIVERSE
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     present = [c for c in CANDIDATES if c in df.columns]
     specs = [
@@ -136,4 +92,4 @@ def add_cross_section(
         for c in present
         for kind in ("rank", "z")
     ]
-    return cross_section(df, present, universe, max_group_rows=max_group_rows), specs
+    return cross_section(df, present, universe), specs

@@ -1,163 +1,78 @@
-"""Ranks inside groups of any size.
+"""Places and average ranks inside groups, one way for groups of every size.
 
-Groups up to ``MAX_GROUP_ROWS`` rows are ranked by a plain window: one exchange, one sort per
-ranked column. A larger group (one date holding most of a very wide universe) must not land in one
-task, so it is cut by value first:
+Rows are spread by a range exchange on (group, order), so a partition holds a stretch of the order
+whatever group it belongs to, and a group of any size is cut. A row's place is the number of rows in
+earlier partitions of its group plus its place inside the partition; the per-partition counts are one
+row per partition and group that meets it.
 
-* approximate quantiles give cut values per group; they only steer balance, never the result;
-* every cut value is a bucket of its own, so a value shared by very many rows is exactly one bucket
-  whose average rank is known from its count, and no row of it needs sorting;
-* the open intervals between cut values are the other buckets, each a bounded share of the group;
-* rank = rows in lower buckets + rank inside the bucket.
+Null values have no average rank and do not count; as an order they come first. Rows with a null key
+form a group of their own, as in a window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.functions.staging import stored
 
-MAX_GROUP_ROWS = 2_000_000
-CUT_BUDGET = 500_000  # cut values over all groups; bounds what is broadcast
-BROADCAST_ROWS = 2_000_000
-
-
-@dataclass(frozen=True)
-class GroupSize:
-    groups: int
-    largest: int
-
-
-def group_size(df: DataFrame, keys: Sequence[str]) -> GroupSize:
-    """Number of groups and rows of the largest one; reads only the key columns."""
-    counts = df.groupBy(*keys).count()
-    row = counts.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("m")).first()
-    return GroupSize(row["n"], row["m"] or 0)
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only when the known row bound allows it; otherwise leave it to the planner."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def average_rank(x: Column, keys: Sequence[str]) -> Column:
-    """1-based rank with ties averaged; null for null. Both terms share one sort."""
-    order = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
-    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.when(x.isNotNull(), (F.rank().over(order) + F.count(x).over(upto)) / 2.0)
-
-
-def _cut_into_buckets(
-    df: DataFrame, keys: list[str], value: str, size: GroupSize, bucket_rows: int
-) -> DataFrame:
-    """Add ``_bucket``, ``_single`` (a bucket of one value), ``_offset`` and ``_rows``."""
-    wanted = math.ceil(size.largest / bucket_rows)
-    cuts = max(1, min(wanted, CUT_BUDGET // max(size.groups, 1)))
-    if isinstance(df.schema[value].dataType, T.NumericType):
-        points = F.array(*[F.lit((i + 1) / (cuts + 1)) for i in range(cuts)])
-        found = F.array_distinct(F.percentile_approx(value, points, F.lit(10_000)))
-    else:  # text: a hash picks about one value per bucket
-        every = max(1, size.largest // (cuts + 1))
-        picked = F.when(F.pmod(F.xxhash64(value), F.lit(every)) == 0, F.col(value))
-        found = F.collect_set(picked)
-    cut_table = df.groupBy(*keys).agg(found.alias("_cuts"))
-    v = F.col(value)
-    marked = (
-        df.join(broadcast_if_small(cut_table, size.groups * cuts), keys)
-        .withColumn("_single", F.array_contains("_cuts", v))
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < v)) * 2 + F.col("_single").cast("int"))
-        .drop("_cuts")
-    )
-    # a group has at most 2 * cuts + 1 buckets, so this window sorts a few hundred rows
-    lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_table = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    bucket_table = bucket_table.withColumn(
-        "_offset", F.coalesce(F.sum("_rows").over(lower), F.lit(0))
-    )
-    rows = size.groups * (2 * cuts + 1)
-    return marked.join(broadcast_if_small(bucket_table, rows), [*keys, "_bucket"])
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which null keys meet each other; the keys appear once."""
+    other = {k: f"__right_{k}" for k in keys}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
 
-def split_average_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    ids: Sequence[str],
-    columns: Sequence[str],
-    size: GroupSize,
-    bucket_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """(keys, ids, one average rank per column) for groups too large for one task.
 
-    ``df`` is read several times, so hand in a stored frame; (keys, ids) is unique.
-    """
-    keys, ids, columns = list(keys), list(ids), list(columns)
-    tall = df.unpivot(keys + ids, columns, "_feature", "_value").where(F.col("_value").isNotNull())
-    group = [*keys, "_feature"]
-    tall_size = GroupSize(size.groups * len(columns), size.largest)
-    cut = _cut_into_buckets(tall, group, "_value", tall_size, bucket_rows)
-    tied = cut.where("_single").withColumn("_rank", F.col("_offset") + (F.col("_rows") + 1) / 2.0)
-    mixed = cut.where("not _single").withColumn(
-        "_rank", F.col("_offset") + average_rank(F.col("_value"), [*group, "_bucket"])
-    )
-    ranks = tied.unionByName(mixed).select(*keys, *ids, "_feature", "_rank")
-    return ranks.groupBy(*keys, *ids).pivot("_feature", columns).agg(F.first("_rank"))
-
-
-def positions_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tie: str,
-    size: GroupSize | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Add ``_position``: 1-based place by (value, md5 of tie), whatever the group size."""
-    size = size or group_size(df, keys)
-    if size.largest <= max_group_rows:
-        return df.withColumn("_position", ordinal(keys, value, tie))
-    return split_ordinals(stored(df), keys, value, tie, size, max_group_rows)
-
-
-def ordinal(keys: Sequence[str], value: str, tie: str) -> Column:
-    """1-based position by (value, md5 of the tie column)."""
-    order = Window.partitionBy(*keys).orderBy(F.col(value), F.md5(F.col(tie)), F.col(tie))
-    return F.row_number().over(order)
-
-
-def split_ordinals(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tie: str,
-    size: GroupSize,
-    bucket_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """``df`` with ``_position``, the same numbers as ``ordinal``, for groups too large for one task.
-
-    A bucket of one value is ordered by the hash of the tie column alone, so it is cut once more by
-    the first two hex digits of that hash.
+def with_lower(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: Column | None = None) -> DataFrame:
+    """``df`` with ``_lower`` (rows of the group before this one) and ``_group_rows``.
+
+    A record stands for ``rows`` rows, one by default. The exchange is written out once, because
+    partition numbers must not change between the two reads.
     """
-    keys = list(keys)
-    cut = _cut_into_buckets(df.where(F.col(value).isNotNull()), keys, value, size, bucket_rows)
-    cut = cut.withColumn(
-        "_slice", F.when(F.col("_single"), F.substring(F.md5(F.col(tie)), 1, 2)).otherwise(F.lit(""))
+    rows = F.lit(1) if rows is None else rows
+    spread = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    cut = stored(spread.withColumn("_weight", rows.cast("long")))
+    part = [*keys, "_part"]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*part).agg(F.sum("_weight").alias("_part_rows"))
+    offsets = offsets.select(
+        *part,
+        F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_part_rows").over(Window.partitionBy(*keys)).alias("_group_rows"),
     )
-    part = [*keys, "_bucket", "_slice"]
-    lower = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cut.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+    placed = join_on(counted, offsets, part)
+    return placed.withColumn("_lower", F.col("_offset") + F.col("_inside")).drop(
+        "_part", "_weight", "_inside", "_offset"
     )
-    slices = cut.where("_single").groupBy(*part).agg(F.count(F.lit(1)).alias("_slice_rows"))
-    slices = slices.withColumn("_below", F.coalesce(F.sum("_slice_rows").over(lower), F.lit(0)))
-    numbered = cut.join(slices.drop("_slice_rows"), part, "left").withColumn(
-        "_position",
-        F.col("_offset") + F.coalesce("_below", F.lit(0)) + ordinal(part, value, tie),
+
+
+def positions_in_group(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
+    """Add ``_position``, the 1-based place by (value, md5 of tie, tie), and ``_group_rows``."""
+    hashed = df.withColumn("_tie", F.md5(F.col(tie).cast("string")))
+    placed = with_lower(hashed, keys, [value, "_tie", tie] if tie != value else [value])
+    return placed.withColumn("_position", F.col("_lower") + 1).drop("_lower", "_tie")
+
+
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "_rank") -> DataFrame:
+    """Add the 1-based rank of ``value`` with ties averaged, and ``{name}_of``, how many are ranked.
+
+    Equal values are counted before anything is sorted, so a value that many rows share is one record;
+    on the way back adaptive execution splits the rows of such a value. ``df`` is read twice: hand in
+    a stored frame.
+    """
+    alike = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_alike"))
+    placed = with_lower(alike, keys, [value], F.col("_alike"))
+    ranks = placed.select(
+        *keys,
+        value,
+        (F.col("_lower") + (F.col("_alike") + 1) / 2.0).alias(name),
+        F.col("_group_rows").alias(f"{name}_of"),
     )
-    return numbered.drop("_single", "_bucket", "_offset", "_rows", "_slice", "_below")
+    return join_on(df, ranks, [*keys, value], "left")

@@ -1,7 +1,7 @@
 """Scoring a prediction table: ``label_date, sample_id, y_pred, y_true, pred_risk``.
 
-Everything is an aggregate over the whole cross-section of a date; ranks come from ``ranking``,
-which splits dates that are too large for one task.
+Everything is an aggregate over the whole cross-section of a date; ranks and places come from
+``ranking``, which spreads a date over tasks by value.
 """
 
 from __future__ import annotations
@@ -12,14 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.staging import stored
-from barloom.operators.ranking import (
-    MAX_GROUP_ROWS,
-    GroupSize,
-    average_rank,
-    group_size,
-    positions_in_group,
-    split_average_ranks,
-)
+from barloom.operators.ranking import positions_in_group, with_average_rank
 
 DAY = "label_date"
 MIN_GROUP_SIZE = 20
@@ -44,88 +37,75 @@ def complete(preds: DataFrame) -> DataFrame:
 
 def date_ic(preds: DataFrame, min_size: int = MIN_GROUP_SIZE) -> DataFrame:
     """Pearson correlation of prediction and target per date."""
-    days = complete(preds).groupBy(DAY).agg(
-        F.count(F.lit(1)).alias("n"),
-        _scorable(min_size=min_size).alias("_ok"),
-        _correlation("y_pred", "y_true").alias("ic"),
-    )
-    return days.where("_ok").drop("_ok")
+    return _scored_days(complete(preds), min_size, ic=_correlation("y_pred", "y_true"))
 
 
-def with_ranks(
-    preds: DataFrame, size: GroupSize | None = None, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Average ranks of prediction and target inside each date."""
-    size = size or group_size(preds, [DAY])
-    if size.largest <= max_group_rows:
-        return preds.withColumns(
-            {
-                "pred_rank": average_rank(F.col("y_pred"), [DAY]),
-                "true_rank": average_rank(F.col("y_true"), [DAY]),
-            }
-        )
+def with_ranks(preds: DataFrame) -> DataFrame:
+    """Average ranks of prediction and target inside each date; null for null."""
     table = stored(preds)
-    ranks = split_average_ranks(
-        table, [DAY], ["sample_id"], ["y_pred", "y_true"], size, max_group_rows
-    ).withColumnsRenamed({"y_pred": "pred_rank", "y_true": "true_rank"})
-    return table.join(ranks, [DAY, "sample_id"], "left")
+    ranked = with_average_rank(table, [DAY], "y_pred", "pred_rank")
+    return with_average_rank(ranked, [DAY], "y_true", "true_rank").drop("pred_rank_of", "true_rank_of")
 
 
-def date_rank_ic(
-    preds: DataFrame, min_size: int = MIN_GROUP_SIZE, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def date_rank_ic(preds: DataFrame, min_size: int = MIN_GROUP_SIZE) -> DataFrame:
     """Spearman correlation per date: Pearson of the average ranks."""
-    days = with_ranks(complete(preds), max_group_rows=max_group_rows).groupBy(DAY).agg(
+    ranked = with_ranks(complete(preds))
+    return _scored_days(ranked, min_size, rank_ic=_correlation("pred_rank", "true_rank"))
+
+
+def _scored_days(rows: DataFrame, min_size: int, finite: bool = True, **metrics: Column) -> DataFrame:
+    days = rows.groupBy(DAY).agg(
         F.count(F.lit(1)).alias("n"),
-        _scorable(min_size=min_size).alias("_ok"),
-        _correlation("pred_rank", "true_rank").alias("rank_ic"),
+        _scorable(min_size=min_size, finite=finite).alias("_ok"),
+        *[metric.alias(name) for name, metric in metrics.items()],
     )
     return days.where("_ok").drop("_ok")
 
 
+def _placed(rows: DataFrame, top_frac: float) -> DataFrame:
+    """Adds ``_position`` by prediction and ``_k``, how many rows the top and the bottom have."""
+    placed = positions_in_group(rows, [DAY], "y_pred", "sample_id")
+    k = F.greatest(F.floor(F.col("_group_rows") * F.lit(top_frac)), F.lit(1)).cast("long")
+    return placed.withColumn("_k", k)
+
+
+def _spread() -> Column:
+    top = F.when(F.col("_position") > F.col("_group_rows") - F.col("_k"), F.col("y_true"))
+    bottom = F.when(F.col("_position") <= F.col("_k"), F.col("y_true"))
+    return F.avg(top) - F.avg(bottom)
+
+
 def date_spread(
-    preds: DataFrame,
-    top_frac: float = 0.2,
-    min_size: int = MIN_GROUP_SIZE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    preds: DataFrame, top_frac: float = 0.2, min_size: int = MIN_GROUP_SIZE
 ) -> DataFrame:
     """Mean target of the k highest predictions minus that of the k lowest, k = max(int(n f), 1).
 
     Equal predictions are ordered by the md5 of the sample id.
     """
-    rows = complete(preds)
-    days = rows.groupBy(DAY).agg(
-        F.count(F.lit(1)).alias("n"), _scorable(min_size=min_size, finite=False).alias("_ok")
-    )
-    days = days.where("_ok").select(
-        DAY, "n", F.greatest(F.floor(F.col("n") * F.lit(top_frac)), F.lit(1)).cast("long").alias("k")
-    )
-    placed = positions_in_group(rows, [DAY], "y_pred", "sample_id", max_group_rows=max_group_rows)
-    # one row per label date
-    joined = placed.join(F.broadcast(days), DAY)
-    top = F.when(F.col("_position") > F.col("n") - F.col("k"), F.col("y_true"))
-    bottom = F.when(F.col("_position") <= F.col("k"), F.col("y_true"))
-    return joined.groupBy(DAY).agg(
-        F.first("n").alias("n"), F.first("k").alias("k"), (F.avg(top) - F.avg(bottom)).alias("spread")
-    )
+    rows = complete(preds).select(DAY, "sample_id", "y_pred", "y_true")
+    return _scored_days(_placed(rows, top_frac), min_size, False, k=F.first("_k"), spread=_spread())
 
 
 def metric_summary(
-    preds: DataFrame,
-    top_frac: float = 0.2,
-    min_size: int = MIN_GROUP_SIZE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    preds: DataFrame, top_frac: float = 0.2, min_size: int = MIN_GROUP_SIZE
 ) -> DataFrame:
-    """One row: rank IC mean, deviation, ratio and positive share, IC mean, spread mean."""
+    """One row: rank IC mean, deviation, ratio and positive share, IC mean, spread mean.
+
+    Predictions are read once; ranks and places are columns of one frame with one row per sample, and
+    all metrics of a date come from one aggregate. A date with non-finite values keeps its spread only.
+    """
+    rows = _placed(complete(preds).select(DAY, "sample_id", "y_pred", "y_true"), top_frac)
+    finite = _scorable(min_size=min_size)
+    days = _scored_days(
+        with_ranks(rows),
+        min_size,
+        False,
+        rank_ic=F.when(finite, _correlation("pred_rank", "true_rank")),
+        ic=F.when(finite, _correlation("y_pred", "y_true")),
+        spread=_spread(),
+    )
     rank_ic = F.col("rank_ic")
     mean, std = F.avg(rank_ic), F.stddev_pop(rank_ic)
-    # the three tables hold the same dates, one row each
-    days = (
-        date_rank_ic(preds, min_size, max_group_rows)
-        .select(DAY, "rank_ic")
-        .join(date_ic(preds, min_size).select(DAY, "ic"), DAY, "full")
-        .join(date_spread(preds, top_frac, min_size, max_group_rows).select(DAY, "spread"), DAY, "full")
-    )
     return days.agg(
         mean.alias("rank_ic_mean"),
         std.alias("rank_ic_std"),

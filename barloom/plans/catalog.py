@@ -225,14 +225,17 @@ def _with_returns(panel: DataFrame) -> DataFrame:
 def _cross_rank(pct: bool) -> Query:
     def run(spark, sf_dir):
         out = _with_returns(panel_with_universe(spark, sf_dir))
-        return shown(out.withColumn("rank", rank_by_date("ret_1", pct=pct)), [*KEYS, "rank"])
+        out = stored(out.select(*KEYS, "in_csi300", "ret_1"))
+        ranks = rank_by_date(out, ["ret_1"], pct=pct).withColumnRenamed("ret_1_cs_rank", "rank")
+        return shown(out.join(ranks, [*KEYS], "left"), [*KEYS, "rank"])
 
     return run
 
 
 def _cross_z(spark, sf_dir):
     out = _with_returns(panel_with_universe(spark, sf_dir))
-    return shown(out.withColumn("z", zscore_by_date("ret_1")), [*KEYS, "z"])
+    out = zscore_by_date(out, ["ret_1"]).withColumnRenamed("ret_1_cs_z", "z")
+    return shown(out, [*KEYS, "z"])
 
 
 def _cross_block(spark, sf_dir):

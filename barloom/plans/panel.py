@@ -22,7 +22,6 @@ from barloom.operators.calendar_features import add_calendar_features
 from barloom.operators.contract import assert_unique_keys, check_input, compact_types
 from barloom.operators.cross_section import add_cross_section
 from barloom.operators.indicators import add_indicators
-from barloom.operators.ranking import MAX_GROUP_ROWS
 from barloom.operators.selection import FeatureRegistry
 from barloom.operators.targets import add_targets
 from barloom.operators.zscores import add_rolling_zscores
@@ -71,7 +70,6 @@ def panel_features(
     df: DataFrame,
     cfg: FeatureConfig | None = None,
     horizons: Sequence[int] = (),
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     """All features of a panel and their specs; an empty panel gives an empty frame and no specs.
 
@@ -87,7 +85,7 @@ def panel_features(
     out, specs = _windowed(df, cfg, horizons)
     registry.extend(specs)
     if cfg.cross_sectional_rank:
-        out, specs = add_cross_section(out, cfg.universe_column, max_group_rows)
+        out, specs = add_cross_section(out, cfg.universe_column)
         registry.extend(specs)
     out = _normalised(out, cfg, registry)
     registry.verify(out)

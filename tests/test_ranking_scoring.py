@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -19,49 +20,55 @@ def table(spark, pred, true, risk=0.01, day=DAY):
 
 @pytest.fixture(scope="module")
 def skewed(spark):
-    """One date holds most rows and a third of all rows share one prediction."""
+    """One date holds most rows, a third of all rows share one prediction, some dates and predictions
+    are null."""
     rng = np.random.default_rng(3)
     n = 2400
     pred = np.round(rng.normal(size=n), 2)
     pred[rng.random(n) < 0.35] = 0.25
     day = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 5, n))
-    frame = pd.DataFrame(
-        {
-            "sample_id": [f"s{i:05d}" for i in range(n)],
-            "label_date": [DAY + dt.timedelta(days=int(d)) for d in day],
-            "y_pred": pred,
-            "y_true": rng.normal(size=n) + pred,
-            "pred_risk": rng.random(n) * 0.01,
-        }
-    )
-    return spark.createDataFrame(frame).cache(), frame
-
-
-def test_split_ranks_equal_plain_ranks(skewed):
+    rows = [
+        (
+            f"s{i:05d}",
+            None if rng.random() < 0.03 else DAY + dt.timedelta(days=int(day[i])),
+            None if rng.random() < 0.05 else float(pred[i]),
+            float(rng.normal() + pred[i]),
+        )
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "sample_id string, label_date date, y_pred double, y_true double")
+    return df.repartition(6).cache(), pd.DataFrame(rows, columns=df.columns)
+
+
+def test_ranks_equal_pandas(skewed):
     df, frame = skewed
-    plain = scoring.with_ranks(df).toPandas().set_index("sample_id").sort_index()
-    split = scoring.with_ranks(df, max_group_rows=100).toPandas().set_index("sample_id").sort_index()
-    want = frame.set_index("sample_id").sort_index().groupby("label_date").y_pred.rank()
-    for got in (plain, split):
-        np.testing.assert_allclose(got.pred_rank, want)
-    np.testing.assert_allclose(plain.true_rank, split.true_rank)
+    got = scoring.with_ranks(df).toPandas().set_index("sample_id").sort_index()
+    frame = frame.set_index("sample_id").sort_index()
+    assert len(got) == len(frame)
+    for value, rank in (("y_pred", "pred_rank"), ("y_true", "true_rank")):
+        want = frame.groupby("label_date", dropna=False)[value].rank()
+        np.testing.assert_allclose(got[rank], want)
 
 
-def test_split_positions_equal_plain_positions(skewed):
-    df, _ = skewed
+def test_positions_cover_every_row_of_every_group(skewed):
+    df, frame = skewed
     for value in ("y_pred", "sample_id"):
-        plain = ranking.positions_in_group(df, ["label_date"], value, "sample_id")
-        split = ranking.positions_in_group(df, ["label_date"], value, "sample_id", max_group_rows=100)
-        columns = ["sample_id", "_position"]
-        assert plain.select(columns).exceptAll(split.select(columns)).count() == 0
-        assert split.count() == df.count()
-
-
-def test_split_scores_equal_plain_scores(skewed):
+        got = ranking.positions_in_group(df, ["label_date"], value, "sample_id").collect()
+        assert len(got) == len(frame)
+        groups = {}
+        for row in got:
+            groups.setdefault(row.label_date, []).append(row)
+        for rows in groups.values():
+            first = lambda r: (r[value] is not None, r[value] or 0) if value == "y_pred" else r[value]
+            rows.sort(key=lambda r: (first(r), hashlib.md5(r.sample_id.encode()).hexdigest()))
+            assert [r._position for r in rows] == list(range(1, len(rows) + 1))
+            assert {r._group_rows for r in rows} == {len(rows)}
+
+
+def test_one_group_is_spread_over_partitions(spark, skewed):
     df, _ = skewed
-    plain = scoring.metric_summary(df).first().asDict()
-    split = scoring.metric_summary(df, max_group_rows=100).first().asDict()
-    assert plain == pytest.approx(split)
+    cut = df.repartitionByRange(4, "label_date", "y_pred").groupBy(F.spark_partition_id()).count()
+    assert cut.agg(F.max("count")).first()[0] < 0.6 * df.count()
 
 
 def test_golden_scores(spark):
