@@ -57,7 +57,7 @@ def risk_columns(w: int) -> dict[str, Column]:
 def add_base_features(df: DataFrame, cfg: FeatureConfig) -> tuple[DataFrame, list[FeatureSpec]]:
     """All base features. Every window shares one exchange and one sort on (symbol, date)."""
     if "pre_close" not in df.columns:
-        raise ValueError("Missing required columns: ['pre_close']")
+        raise ValueError("the panel lacks pre_close")
     first = return_columns(cfg)
     frames: dict = {}
     later: dict[str, Column] = {}

@@ -39,7 +39,7 @@ def date_batches(
 ) -> DataFrame:
     """(sample_id, label_date, batch_in_date, slot); short batches are dropped on request."""
     if batch_size <= 0:
-        raise ValueError("batch_size must be positive.")
+        raise ValueError(f"batches of {batch_size} samples")
     rows = samples.select("sample_id", "label_date")
     order = _shuffled(seed, epoch, "sample_id") if shuffle else F.col("sample_id")
     rows = numbered_in_date(rows, order)
@@ -75,7 +75,7 @@ def rank_batches(
     first batches are repeated.
     """
     if world_size <= 0:
-        raise ValueError("world_size must be positive.")
+        raise ValueError(f"batches for {world_size} ranks")
     samples = stored(samples.select("sample_id", "label_date"))
     plan = date_batches(samples, batch_size, shuffle, drop_last, seed, epoch)
     sizes = samples.groupBy("label_date").agg(F.count(F.lit(1)).alias("n"))

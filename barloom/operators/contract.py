@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.config import DATE, REQUIRED_COLUMNS, SYMBOL
 
 
+def as_date(df: DataFrame, column: str) -> Column:
+    """The column as a DATE. Text in none of the vendors' forms raises; null stays null."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return F.to_date(column)
+    read = [F.try_to_date(column, form) for form in ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd")]
+    refused = F.raise_error(F.concat(F.lit("unreadable date: "), F.col(column))).cast("date")
+    return F.when(F.col(column).isNotNull(), F.coalesce(*read, refused))
+
+
 def check_input(df: DataFrame) -> DataFrame:
     """Require the panel columns, make ``date`` a DATE and turn NaN into null.
 
@@ -16,18 +25,14 @@ def check_input(df: DataFrame) -> DataFrame:
     """
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the panel lacks {missing}")
     fixed = {
         f.name: F.when(~F.isnan(f.name), F.col(f.name))
         for f in df.schema.fields
         if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
-    if isinstance(df.schema[DATE].dataType, T.StringType):
-        read = [F.try_to_date(DATE, form) for form in ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd")]
-        refused = F.raise_error(F.concat(F.lit("unreadable date: "), F.col(DATE))).cast("date")
-        fixed[DATE] = F.when(F.col(DATE).isNotNull(), F.coalesce(*read, refused))
-    elif not isinstance(df.schema[DATE].dataType, T.DateType):
-        fixed[DATE] = F.to_date(DATE)
+    if not isinstance(df.schema[DATE].dataType, T.DateType):
+        fixed[DATE] = as_date(df, DATE)
     return df.withColumns(fixed) if fixed else df
 
 

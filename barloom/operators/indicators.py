@@ -196,7 +196,7 @@ def indicator_batch(df: DataFrame, config: Sequence[dict] = INDICATOR_CONFIG) ->
     required = [SYMBOL, DATE, "open", "high", "low", "close", "volume"]
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the panel lacks {missing}")
     passes: list[dict] = []
     for entry in config:
         plan = next((p for p in passes if entry["kind"] not in p), None)

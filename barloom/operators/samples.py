@@ -155,7 +155,7 @@ def usable_samples(metadata: DataFrame, y_return: str = "y_ret_5", y_risk: str =
     """Samples whose two regression targets are both known."""
     missing = sorted({"start_idx", "end_idx", y_return, y_risk} - set(metadata.columns))
     if missing:
-        raise ValueError(f"Missing required columns in metadata: {missing}")
+        raise ValueError(f"sample metadata lacks {missing}")
     return metadata.where(F.col(y_return).isNotNull() & F.col(y_risk).isNotNull())
 
 
@@ -180,7 +180,7 @@ def sample_tensors(
     names = [*feature_names, *[f"{c}_mask" for c in feature_names]]
     missing = [c for c in names if c not in features.columns]
     if missing:
-        raise ValueError(f"Missing feature columns in features: {sorted(missing)}")
+        raise ValueError(f"the feature base lacks {sorted(missing)}")
     kept = usable_samples(metadata, y_return, y_risk)
     if sequence_length is None:
         longest = kept.agg(F.max(F.col("end_idx") - F.col("start_idx")).alias("n")).first()
@@ -234,7 +234,7 @@ def assert_valid_tensors(tensors: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(bad_seq | bad_flat[0] | bad_flat[1]).alias("bad")
     ).first()
     if not row["n"]:
-        raise ValueError("No valid samples after filtering out rows with null targets.")
+        raise ValueError("no sample has both targets")
     if row["bad"]:
-        raise ValueError(f"{row['bad']} samples contain nulls in features or targets.")
+        raise ValueError(f"{row['bad']} samples have gaps in their tensors")
     return tensors

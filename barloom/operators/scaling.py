@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,14 +24,20 @@ def split_of(date: Column, splits: YearSplits) -> Column:
 
 
 def rows_of_years(df: DataFrame, years: Sequence[int], date: str = DATE) -> DataFrame:
-    return df.where(F.year(date).isin(*years)) if years else df.limit(0)
+    """Rows of the given years, as date ranges, which the scan can prune."""
+    inside = F.lit(False)
+    for year in sorted(set(years)):
+        inside = inside | F.col(date).between(*year_bounds(year, year))
+    return df.where(inside)
+
+
+def year_bounds(first: int, last: int) -> tuple[Column, Column]:
+    return F.lit(dt.date(first, 1, 1)), F.lit(dt.date(last, 12, 31))
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], splits: YearSplits) -> Scaler:
     """Mean and population deviation per column over the train years, as one aggregate row."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"Scaler columns missing in processed panel: {missing}")
+    _refuse({c: "not in the panel" for c in columns if c not in df.columns})
     train = rows_of_years(df, splits.as_dict()["train"])
     row = train.agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -38,7 +45,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], splits: YearSplits) -> Sca
         *[F.stddev_pop(c).alias(f"{c}|std") for c in columns],
     ).first()
     if not row["_rows"]:
-        raise ValueError("No rows of the train_years in the processed panel.")
+        raise ValueError("the panel has no row of the train years")
     # a constant column keeps its values; a column without any value is never scaled
     return {c: (row[f"{c}|mean"] or 0.0, row[f"{c}|std"] or 1.0) for c in columns}
 
@@ -83,16 +90,19 @@ def scale(value: Column, mean: float, deviation: float) -> Column:
     return (value - F.lit(mean)) / F.lit(deviation)
 
 
+def _refuse(faults: dict[str, str]) -> None:
+    """Raise with all faulty columns and what is wrong with each."""
+    if faults:
+        raise ValueError(", ".join(f"{column}: {fault}" for column, fault in faults.items()))
+
+
 def check_feature_columns(df: DataFrame, columns: Sequence[str], scaled: Sequence[str]) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"Feature columns missing in processed panel: {missing}")
-    stray = [c for c in scaled if c not in columns]
-    if stray:
-        raise ValueError(f"Scaler columns are not a subset of feature columns: {stray}")
-    text = [c for c in columns if not isinstance(df.schema[c].dataType, T.NumericType)]
-    if text:
-        raise ValueError(f"Non-numeric columns in feature columns: {text}")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    faults = {c: "scaled but no feature" for c in scaled if c not in columns}
+    for c in columns:
+        if not isinstance(types.get(c), T.NumericType):
+            faults[c] = "not a number" if c in types else "not in the panel"
+    _refuse(faults)
 
 
 def feature_base(df: DataFrame, columns: Sequence[str], scaler: Scaler) -> DataFrame:
@@ -115,5 +125,5 @@ def assert_no_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     left = [c for c in columns if row[c]]
     if left:
-        raise ValueError(f"Nulls still present after fill: {left}")
+        raise ValueError(f"stored features hold nulls: {left}")
     return df

@@ -180,10 +180,11 @@ MAX_METRICS = ("pred_var_max",)
 
 
 def roll_up(batches: DataFrame, size: str = "n") -> DataFrame:
-    """One row from per-batch metrics: sample-weighted means, plain batch means, extremes."""
+    """One row from per-batch metrics: sample-weighted means, plain batch means, extremes.
+    A batch that lacks a metric does not weigh in its mean."""
     n = F.col(size)
     rules = {
-        **{c: F.try_divide(F.sum(F.col(c) * n), F.sum(n)) for c in SAMPLE_MEAN_METRICS},
+        **{c: F.try_divide(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))) for c in SAMPLE_MEAN_METRICS},
         **{c: F.avg(c) for c in BATCH_MEAN_METRICS},
         **{c: F.min(c) for c in MIN_METRICS},
         **{c: F.max(c) for c in MAX_METRICS},

@@ -32,7 +32,7 @@ def add_targets(
     """Append the labels; returns the frame and their names in order ret, risk, ra per horizon."""
     missing = sorted({SYMBOL, DATE, price_col} - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the panel lacks {missing}")
     out = df if "ret_1" in df.columns else df.withColumn("ret_1", daily_return(price_col))
     adjust = add_risk_adjusted_return and "volatility_20" in df.columns
     labels: dict[str, Column] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,7 @@ from barloom.sources.sales_panel import (
     LINE_KEY,
     index_snapshots,
     nation_panel,
+    member_years,
     panel_with_universe,
     predictions,
     supplier_panel,
@@ -329,7 +331,7 @@ def _years(spark, sf_dir) -> tuple[int, int]:
 
 
 def _intervals(spark, sf_dir):
-    return membership.snapshot_intervals(index_snapshots(spark, sf_dir), 1996, 2001)
+    return membership.snapshot_intervals(index_snapshots(spark, sf_dir), *member_years(spark, sf_dir))
 
 
 def _monthly_snapshots(spark, sf_dir) -> DataFrame:
@@ -339,13 +341,13 @@ def _monthly_snapshots(spark, sf_dir) -> DataFrame:
     ).distinct()
     # one row per month
     first = rows.groupBy(F.trunc("trade_date", "month").alias("month")).agg(F.min("trade_date").alias("trade_date"))
-    return rows.join(F.broadcast(first.select("trade_date")), "trade_date").select(
+    return rows.join(first.select("trade_date"), "trade_date").select(
         F.lit("000905.SH").alias("index_code"), "trade_date", "con_code"
     )
 
 
 def _issues(spark, sf_dir):
-    spans = membership.snapshot_intervals(_monthly_snapshots(spark, sf_dir), 1996, 2001)
+    spans = membership.snapshot_intervals(_monthly_snapshots(spark, sf_dir), *member_years(spark, sf_dir))
     return membership.interval_issues(spans).select("index_code", "kind", "issue")
 
 
@@ -364,7 +366,7 @@ def _rebalance(spark, sf_dir):
 
 
 def _index_bars(spark, sf_dir):
-    rows = index_panel(index_snapshots(spark, sf_dir), _ordered_landing(spark, sf_dir), "hs300", 1996, 2001)
+    rows = index_panel(index_snapshots(spark, sf_dir), _ordered_landing(spark, sf_dir), "hs300", *member_years(spark, sf_dir))
     return shown(rows, [*KEYS, "close", "volume", "in_csi300"])
 
 
@@ -376,12 +378,13 @@ def _ordered_landing(spark, sf_dir):
 def _rebalanced_bars(spark, sf_dir):
     bars = supplier_panel(spark, sf_dir)
     # constituents as of a rebalance date: suppliers that shipped in the three days before it
-    spans = membership.rebalance_intervals(spark, 1996, 2001)
+    years = member_years(spark, sf_dir)
+    spans = membership.rebalance_intervals(spark, *years)
     before = F.sequence(F.date_sub("start_date", 3), F.date_sub("start_date", 1))
     days = spans.select(F.col("start_date").alias("trade_date"), F.explode(before).alias(DATE))
     # six rows per year
-    held = bars.join(F.broadcast(days), DATE).select("trade_date", F.col(SYMBOL).alias("con_code")).distinct()
-    return shown(rebalanced_panel(held, bars, 1996, 2001), [*KEYS, "close", "in_csi300"])
+    held = bars.join(days, DATE).select("trade_date", F.col(SYMBOL).alias("con_code")).distinct()
+    return shown(rebalanced_panel(held, bars, *years), [*KEYS, "close", "in_csi300"])
 
 
 def _changes(spark, sf_dir):
@@ -398,8 +401,11 @@ def _calendar(spark, sf_dir) -> DataFrame:
 
 
 def _panel_calendar(spark, sf_dir):
-    panel = supplier_panel(spark, sf_dir).where(F.year(DATE).between(1996, 1999))
-    return shown(trade_calendar.panel_calendar(panel, trading_days(spark, sf_dir)))
+    """The panel's range of a calendar that also has order days, the first of which precede it."""
+    ordered = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("cal_date"))
+    days = ordered.select(F.lit("SSE").alias("exchange"), "cal_date", F.lit(1).alias("is_open"))
+    days = days.union(trading_days(spark, sf_dir)).distinct()
+    return shown(trade_calendar.panel_calendar(supplier_panel(spark, sf_dir), days))
 
 
 FITTED = ("ret_1", "oc_ratio", "hl_ratio", "ma_ratio_5", "volatility_5")
@@ -550,8 +556,15 @@ def _tensor_rows(spark, sf_dir):
 
 def _loaded_samples(spark, sf_dir):
     result = dataset(spark, sf_dir)
-    rows = load_samples(spark, result.result_path, "train")
-    return shown(rows.select("sample_id", F.size("x_seq").alias("steps"), F.size("x_cs").alias("cross"), "label_date"))
+    parts = [
+        load_samples(spark, result.result_path, name).withColumn("split", F.lit(name))
+        for name in SPLITS.as_dict()
+    ]
+    rows = reduce(DataFrame.unionByName, parts).select(
+        "split", "sample_id", F.size("x_seq").alias("steps"), F.size("x_cs").alias("cross"), "label_date",
+        F.col("y_return").cast("double"), F.col("y_risk").cast("double"),
+    )
+    return shown(rows, digits=3)
 
 
 def _batches(spark, sf_dir, shuffle: bool, drop_last: bool = False):
@@ -736,16 +749,16 @@ def _register() -> None:
         _index_bars,
         f"WITH {sql.INTERVALS}, {landed} SELECT ts_code, date, {r('close')} AS close, {r('volume')} AS volume, "
         "EXISTS (SELECT 1 FROM intervals i WHERE i.symbol = ts_code AND date BETWEEN i.start_date AND i.end_date) AS in_csi300 "
-        "FROM first_rows WHERE year(date) BETWEEN 1996 AND 2001 AND ts_code IN (SELECT symbol FROM intervals)",
+        "FROM first_rows WHERE year(date) BETWEEN (SELECT a FROM member_years) AND (SELECT b FROM member_years) AND ts_code IN (SELECT symbol FROM intervals)",
     )
     _add(
         "M8_rebalanced_panel",
         _rebalanced_bars,
-        f"WITH {sql.BARS}, yr AS (SELECT 1996 AS a, 2001 AS b), {months}{third}"
-        "sp AS (SELECT start_date, coalesce(CAST(lead(start_date) OVER (ORDER BY start_date) - 1 AS DATE), DATE '2001-12-31') AS end_date FROM t), "
+        f"WITH {sql.BARS}, {sql.MEMBER_YEARS}, yr AS (SELECT * FROM member_years), {months}{third}"
+        "sp AS (SELECT start_date, coalesce(CAST(lead(start_date) OVER (ORDER BY start_date) - 1 AS DATE), make_date((SELECT b FROM member_years), 12, 31)) AS end_date FROM t), "
         "held AS (SELECT DISTINCT b.ts_code AS symbol, sp.start_date, sp.end_date FROM bars b JOIN sp ON b.date < sp.start_date AND b.date >= sp.start_date - 3) "
         f"SELECT ts_code, date, {r('close')} AS close, EXISTS (SELECT 1 FROM held h WHERE h.symbol = ts_code AND date BETWEEN h.start_date AND h.end_date) AS in_csi300 "
-        "FROM bars WHERE year(date) BETWEEN 1996 AND 2001 AND ts_code IN (SELECT symbol FROM held)",
+        "FROM bars WHERE year(date) BETWEEN (SELECT a FROM member_years) AND (SELECT b FROM member_years) AND ts_code IN (SELECT symbol FROM held)",
     )
     _add(
         "M9_constituent_changes",
@@ -765,7 +778,8 @@ def _register() -> None:
     _add(
         "C3_panel_calendar",
         _panel_calendar,
-        "WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS cal_date FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1999) "
+        "WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem), o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders), "
+        "d AS (SELECT d AS cal_date FROM (SELECT d FROM s UNION SELECT d FROM o) WHERE d BETWEEN (SELECT min(d) FROM s) AND (SELECT max(d) FROM s)) "
         "SELECT 'SSE' AS exchange, cal_date, row_number() OVER (ORDER BY cal_date) - 1 AS pos FROM d",
     )
 
@@ -966,8 +980,9 @@ def _register() -> None:
     _add(
         "Q17_loaded_samples",
         _loaded_samples,
-        f"WITH {sql.LABELLED} SELECT sample_id, {sql.LENGTH} + 0 * end_idx AS steps, 6 + 0 * end_idx AS cross, label_date FROM metadata "
-        "WHERE split = 'train' AND y_risk_vol_5 IS NOT NULL",
+        f"WITH {sql.LABELLED} SELECT split, sample_id, {sql.LENGTH} + 0 * end_idx AS steps, 6 + 0 * end_idx AS cross, label_date, "
+        "round(CAST(CAST(y_ret_5 AS FLOAT) AS DOUBLE), 3) + 0.0 AS y_return, round(CAST(CAST(y_risk_vol_5 AS FLOAT) AS DOUBLE), 3) + 0.0 AS y_risk "
+        "FROM metadata WHERE split IS NOT NULL AND y_risk_vol_5 IS NOT NULL",
     )
     ordered = "row_number() OVER (PARTITION BY label_date ORDER BY sample_id) - 1"
     _add(
@@ -1013,14 +1028,13 @@ def _register() -> None:
     report = [*scoring.SAMPLE_MEAN_METRICS, *scoring.BATCH_MEAN_METRICS, *scoring.MIN_METRICS, *scoring.MAX_METRICS]
     _add("E8_loss_report", lambda s, d: shown(_report(s, d), ["label_date", "n", *report]), f"WITH {sql.PREDS} SELECT label_date, n, " + ", ".join(f"{r(c)} AS {c}" for c in report) + " FROM report")
     rolled = {
-        **{c: f"sum({c} * n) / sum(n)" for c in scoring.SAMPLE_MEAN_METRICS}, "rank_loss": "avg(rank_loss)",
+        **{c: f"sum({c} * n) / sum(CASE WHEN {c} IS NOT NULL THEN n END)" for c in scoring.SAMPLE_MEAN_METRICS}, "rank_loss": "avg(rank_loss)",
         "pred_var_min": "min(pred_var_min)", "pred_var_max": "max(pred_var_max)",
     }
-    priced = "WHERE nll_loss IS NOT NULL"
     _add(
         "E9_metric_roll_up",
-        lambda s, d: shown(scoring.roll_up(_report(s, d).where("nll_loss is not null"))),
-        f"WITH {sql.PREDS} SELECT " + ", ".join(f"{r(v)} AS {k}" for k, v in rolled.items()) + f" FROM report {priced}",
+        lambda s, d: shown(scoring.roll_up(_report(s, d))),
+        f"WITH {sql.PREDS} SELECT " + ", ".join(f"{r(v)} AS {k}" for k, v in rolled.items()) + f" FROM report",
     )
     profile = {}
     for c in ("y_true", "y_pred"):

@@ -54,11 +54,11 @@ def build_dataset(spark: SparkSession, config: DatasetConfig, calendar: DataFram
     universe = processed.feature_config.universe_column
     features = feature_columns(panel, targets, universe_column=universe)
     if not features:
-        raise ValueError("No feature columns were selected from the processed panel.")
+        raise ValueError("the processed panel has no model features")
     panel = panel.withColumn(DATE, F.to_date(DATE))
     days = panel_calendar(panel, calendar, config.exchange)
     if days.isEmpty():
-        raise ValueError("Trade calendar is empty.")
+        raise ValueError("no open day of the exchange in the panel's range")
 
     scaled = [c for c in scaler_columns(specs) if c in set(features)]
     scaler = fit_scaler(panel, scaled, config.splits)
@@ -106,7 +106,7 @@ def load_samples(
     result = read_json(spark, result_path)
     names = result.get("feature_columns")
     if not names:
-        raise ValueError("'feature_columns' must be a non-empty list")
+        raise ValueError(f"{result_path} names no features")
     schema = StructType.fromJson(result["metadata_schema"])
     metadata = read_split(spark, result["metadata_path"], split, schema)
     features = spark.read.parquet(result["features_path"])

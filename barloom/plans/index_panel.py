@@ -14,6 +14,7 @@ from barloom.operators.membership import (
     resolve_index,
     snapshot_intervals,
 )
+from barloom.operators.scaling import year_bounds
 from barloom.sources.vendors import daily_bars
 
 
@@ -21,7 +22,7 @@ def _member_bars(
     bars: DataFrame, intervals: DataFrame, first_year: int, last_year: int, column: str
 ) -> DataFrame:
     """Full history in the year range of every symbol that was ever a member."""
-    inside = bars.where(F.year(DATE).between(first_year, last_year))
+    inside = bars.where(F.col(DATE).between(*year_bounds(first_year, last_year)))
     ever = intervals.select(F.col("symbol").alias(SYMBOL)).distinct()
     return flag_membership(inside.join(ever, SYMBOL, "left_semi"), intervals, column)
 
@@ -33,7 +34,7 @@ def index_panel(
     first_year: int,
     last_year: int,
 ) -> DataFrame:
-    name, code = resolve_index(index_name)
+    name, code = resolve_index(snapshots.sparkSession, index_name)
     mine = snapshots.where(F.col("index_code") == code)
     intervals = snapshot_intervals(mine, first_year, last_year)
     return _member_bars(daily_bars(bar_parts), intervals, first_year, last_year, f"in_{name}")

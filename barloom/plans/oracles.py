@@ -21,6 +21,9 @@ raw AS (
 bars AS MATERIALIZED (
   SELECT *, lag(close) OVER ({SYM}) AS pre_close, row_number() OVER ({SYM}) AS rn FROM raw)"""
 
+MEMBER_YEARS = """member_years AS (
+  SELECT year(min(l_shipdate)) + 1 AS a, year(max(l_shipdate)) AS b FROM lineitem)"""
+
 SNAPS = """yearly AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS con_code, year(CAST(l_shipdate AS DATE)) AS y,
          sum(l_extendedprice) AS sales FROM lineitem GROUP BY 1, 2),
@@ -32,17 +35,19 @@ snaps AS (
   SELECT '399300.SZ' AS index_code, f.trade_date, a.con_code
   FROM yearly a JOIN levels l USING (y) JOIN firsts f USING (y) WHERE a.sales > l.lvl)"""
 
-# intervals from any snapshot table ``snaps``, for the years 1996 to 2001
-SPANS = """placed AS (
+# intervals from any snapshot table ``snaps``, for the years with constituents
+SPANS = f"""{MEMBER_YEARS},
+placed AS (
   SELECT DISTINCT index_code, trade_date AS snap,
-         CASE WHEN year(trade_date) = 1995 AND month(trade_date) >= 11 THEN 1996
+         CASE WHEN year(trade_date) = (SELECT a - 1 FROM member_years) AND month(trade_date) >= 11
+              THEN year(trade_date) + 1
               ELSE year(trade_date) END AS period
   FROM snaps),
 spans AS (
   SELECT *, lead(snap) OVER (PARTITION BY index_code, period ORDER BY snap) AS next_in,
          lead(snap) OVER (PARTITION BY index_code ORDER BY snap) AS next_any,
          lead(period) OVER (PARTITION BY index_code ORDER BY snap) AS next_period
-  FROM placed WHERE period BETWEEN 1996 AND 2001),
+  FROM placed WHERE period BETWEEN (SELECT a FROM member_years) AND (SELECT b FROM member_years)),
 days AS (
   SELECT index_code, snap, snap AS start_date,
          coalesce(next_in - 1, make_date(period, 12, 31)) AS end_date FROM spans

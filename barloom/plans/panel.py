@@ -22,7 +22,7 @@ from barloom.operators.calendar_features import add_calendar_features
 from barloom.operators.contract import assert_unique_keys, check_input, compact_types
 from barloom.operators.cross_section import add_cross_section
 from barloom.operators.indicators import add_indicators
-from barloom.operators.selection import FeatureRegistry
+from barloom.operators.selection import annotated, specs_of, warn_of_bare_columns
 from barloom.operators.targets import add_targets
 from barloom.operators.zscores import add_rolling_zscores
 from barloom.sources.tables import read_panel
@@ -35,12 +35,8 @@ def raw_specs() -> list[FeatureSpec]:
 
 def symbol_features(df: DataFrame, cfg: FeatureConfig) -> tuple[DataFrame, list[FeatureSpec]]:
     """Features that look at one symbol at a time; row count unchanged."""
-    registry = FeatureRegistry(raw_specs())
     out, specs = _windowed(check_input(df), cfg)
-    registry.extend(specs)
-    out = _normalised(out, cfg, registry)
-    registry.verify(out)
-    return out, registry.to_list()
+    return _normalised(out, cfg, raw_specs() + specs)
 
 
 def _windowed(
@@ -59,11 +55,15 @@ def _windowed(
     return out, specs
 
 
-def _normalised(df: DataFrame, cfg: FeatureConfig, registry: FeatureRegistry) -> DataFrame:
-    """``{c}_z{w}`` for every numeric column, raw prices included."""
-    names = [s.name for s in registry.to_list() if s.kind == "numeric"]
-    registry.extend(numeric_specs([f"{c}_z{w}" for c in names for w in cfg.zscore_windows]))
-    return add_rolling_zscores(df, names, cfg.zscore_windows)
+def _normalised(
+    df: DataFrame, cfg: FeatureConfig, specs: list[FeatureSpec]
+) -> tuple[DataFrame, list[FeatureSpec]]:
+    """Adds ``{c}_z{w}`` for every numeric column, raw prices included, and notes all specs."""
+    names = sorted(s.name for s in specs if s.kind == "numeric")
+    scores = numeric_specs([f"{c}_z{w}" for c in names for w in cfg.zscore_windows])
+    out = annotated(add_rolling_zscores(df, names, cfg.zscore_windows), specs + scores)
+    warn_of_bare_columns(out)
+    return out, specs_of(out)
 
 
 def panel_features(
@@ -81,15 +81,11 @@ def panel_features(
     df = assert_unique_keys(check_input(df))
     if df.isEmpty():
         return df, []
-    registry = FeatureRegistry(raw_specs())
     out, specs = _windowed(df, cfg, horizons)
-    registry.extend(specs)
     if cfg.cross_sectional_rank:
-        out, specs = add_cross_section(out, cfg.universe_column)
-        registry.extend(specs)
-    out = _normalised(out, cfg, registry)
-    registry.verify(out)
-    return out, registry.to_list()
+        out, more = add_cross_section(out, cfg.universe_column)
+        specs = specs + more
+    return _normalised(out, cfg, raw_specs() + specs)
 
 
 @dataclass(frozen=True)
@@ -106,7 +102,7 @@ def build_processed_panel(spark: SparkSession, config: PanelBuildConfig) -> Proc
     labelled, specs = panel_features(raw, config.feature_config, config.target_horizons)
     known = {s.name for s in specs} | set(raw.columns)
     targets = [c for c in labelled.columns if c not in known]
-    stored = FeatureRegistry(specs).annotate(compact_types(labelled))
+    stored = annotated(compact_types(labelled), specs)
     stored.write.mode("overwrite").parquet(config.processed_path)
     manifest = {
         "version": 1,
@@ -128,7 +124,7 @@ def load_processed_panel(
     df = read_panel(spark, config.processed_path)
     found = read_json(spark, config.manifest_path).get("artifact_signature")
     if not isinstance(found, dict):
-        raise ValueError("Processed config is missing 'artifact_signature'.")
+        raise ValueError(f"{config.manifest_path} has no signature of its build")
     expected = config.signature()
     different = sorted(k for k in expected if found.get(k) != expected[k])
     if different:

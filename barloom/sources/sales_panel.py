@@ -81,16 +81,24 @@ def index_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = yearly.groupBy("year").agg(F.avg("sales").alias("level"))
     first_day = lines.groupBy((F.year("day") - 1).alias("year")).agg(F.min("day").alias("trade_date"))
     return (
-        yearly.join(F.broadcast(level), "year")
-        .join(F.broadcast(first_day), "year")
+        yearly.join(level, "year")
+        .join(first_day, "year")
         .where(F.col("sales") > F.col("level"))
         .select(F.lit("399300.SZ").alias("index_code"), "trade_date", "con_code")
     )
 
 
+def member_years(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year with constituents; the first year of sales only decides on the next."""
+    row = table(spark, sf_dir, "lineitem").agg(
+        F.year(F.min("l_shipdate")).alias("first"), F.year(F.max("l_shipdate")).alias("last")
+    ).first()
+    return row["first"] + 1, row["last"]
+
+
 def panel_with_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel A with the membership flag from the yearly snapshots."""
-    intervals = snapshot_intervals(index_snapshots(spark, sf_dir), 1996, 2001)
+    intervals = snapshot_intervals(index_snapshots(spark, sf_dir), *member_years(spark, sf_dir))
     return flag_membership(supplier_panel(spark, sf_dir), intervals, DEFAULT_UNIVERSE)
 
 

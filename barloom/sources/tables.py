@@ -23,7 +23,7 @@ def read_panel(
 ) -> DataFrame:
     """Read a parquet table; a bare file name is looked up in ``raw_dir``."""
     if not path.endswith(".parquet"):
-        raise ValueError("Unsupported file format. Only parquet files are supported.")
+        raise ValueError(f"{path} is not a .parquet")
     if "/" not in path and raw_dir:
         path = f"{raw_dir.rstrip('/')}/{path}"
     reader = spark.read.schema(schema) if schema else spark.read
@@ -31,7 +31,7 @@ def read_panel(
         df = reader.parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"File not found: {path}") from error
+            raise FileNotFoundError(f"nothing at {path}") from error
         raise
     return df.select(*columns) if columns else df
 
@@ -39,7 +39,7 @@ def read_panel(
 def write_table(df: DataFrame, path: str, fmt: str = "csv", skip_empty: bool = False) -> bool:
     """Write as csv (with header) or parquet. Returns False when an empty frame was skipped."""
     if fmt not in FORMATS:
-        raise ValueError("Unsupported storage format. Use 'csv' or 'parquet'.")
+        raise ValueError(f"cannot write {fmt}; formats are {FORMATS}")
     if skip_empty and df.isEmpty():
         return False
     writer = df.write.mode("overwrite")

@@ -32,7 +32,7 @@ def daily_bars(parts: Sequence[DataFrame], order: Sequence[str | Column] | None
     ``order`` says which copy counts as the first; by default the smallest remaining columns.
     """
     if not parts:
-        raise ValueError("No data was fetched for any stock. Please check the date range and codes.")
+        raise ValueError("daily bars need at least one table")
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     df = df.withColumnsRenamed({"trade_date": DATE, "vol": "volume"})
     if isinstance(df.schema[DATE].dataType, T.StringType):

@@ -12,7 +12,7 @@ from barloom.operators.base_features import add_base_features
 from barloom.operators.contract import assert_unique_keys, check_input, compact_types
 from barloom.operators.cross_section import CANDIDATES, cross_section
 from barloom.operators.indicators import add_indicators, indicator_batch, number_suffix
-from barloom.operators.selection import FeatureRegistry, feature_columns, specs_of
+from barloom.operators.selection import annotated, feature_columns, specs_of, warn_of_bare_columns
 from barloom.operators.targets import add_targets
 from barloom.operators.zscores import add_rolling_zscores
 from barloom.plans.panel import panel_features
@@ -169,24 +169,21 @@ def test_targets(random_bars):
         want = ret.rolling(3).std(ddof=0).shift(-3)
         np.testing.assert_allclose(g["y_risk_vol_3"], want, rtol=1e-5, equal_nan=True)
         assert (g["y_risk_vol_1"].dropna() == 0).all()
-    with pytest.raises(ValueError, match="missing|Missing"):
+    with pytest.raises(ValueError, match="lacks"):
         add_targets(random_bars.drop("close"))
 
 
-def test_registry(spark):
-    registry = FeatureRegistry([FeatureSpec("a", "numeric", "float32")])
-    with pytest.raises(ValueError, match="Conflicting"):
-        registry.add(FeatureSpec("a", "boolean", "int8"))
-    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
-    with pytest.warns(RuntimeWarning, match="not in schema"):
-        registry.verify(df)
-    assert specs_of(registry.annotate(df)) == [FeatureSpec("a", "numeric", "float32")]
-    registry.add_defaults(df)
-    assert registry.to_dict()["b"] == {"kind": "numeric", "dtype": "double"}
-    registry.drop_absent(df.drop("a"))
-    assert [s.name for s in registry.to_list()] == ["b"]
-    with pytest.raises(ValueError, match="missing"):
-        registry.verify(df.drop("b"))
+def test_specs_live_in_the_schema(spark, tmp_path):
+    spec = FeatureSpec("a", "numeric", "float32")
+    noted = annotated(spark.createDataFrame([(1.0, 2.0)], "a double, b double"), [spec, spec])
+    noted.write.parquet(f"{tmp_path}/noted")
+    assert specs_of(spark.read.parquet(f"{tmp_path}/noted")) == specs_of(noted) == [spec]
+    with pytest.raises(ValueError, match="described twice"):
+        annotated(noted, [FeatureSpec("a", "boolean", "int8")])
+    with pytest.raises(ValueError, match="no column"):
+        annotated(noted.drop("a"), [spec])
+    with pytest.warns(RuntimeWarning, match="'b'"):
+        warn_of_bare_columns(noted)
 
 
 def test_target_names():
