@@ -49,6 +49,8 @@ IMPLIED_ENDS = {
 SCOPES = frozenset("table td th caption button html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>", re.S)
+# A tag or comment that the page ends in is not shown.
+_UNENDED = re.compile(r"<[!?/a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -88,7 +90,8 @@ def build_tree(html: str) -> Element:
             stack.append(element)
         return element
 
-    while token := _TOKEN.search(html, at):
+    last = html.rfind(">")
+    while at <= last and (token := _TOKEN.search(html, at)):
         if token.start() > at:
             stack[-1].children.append(unescape(html[at : token.start()]))
         at, (end, tag, attributes) = token.end(), token.groups()
@@ -127,7 +130,7 @@ def build_tree(html: str) -> Element:
         elif not attributes.endswith("/") or tag not in ("svg", "math"):
             open_(tag, attributes)
     if at < len(html):
-        stack[-1].children.append(unescape(html[at:]))
+        stack[-1].children.append(unescape(_UNENDED.split(html[at:], maxsplit=1)[0]))
     return root
 
 

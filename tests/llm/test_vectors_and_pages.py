@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +86,12 @@ def test_derivatives_of_odd_records(spark):
     got = warc.derivatives(spark.createDataFrame([(bytearray(r) if r is not None else None,) for r in records], "record binary")).collect()
     assert len(got) == 8 and sum(bytes(r.block) == b"hi" for r in got) == 3
     assert warc.derivatives(spark.createDataFrame([], "record binary")).count() == 0
+
+
+def test_pages_that_end_inside_tags():
+    assert html_layout.visible_text("<p>a < b and c<d>e</d> then <a href='x") == "a < b and ce then"
+    assert html_layout.visible_text("one <!-- never closed") == "one"
+    started = time.time()
+    assert html_layout.visible_text("x" + "<a " * 300_000) == "x"
+    assert html_layout.visible_text("x<b>" + "<" * 300_000) == "x" + "<" * 300_000
+    assert time.time() - started < 5
