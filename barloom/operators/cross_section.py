@@ -53,7 +53,7 @@ def rank_by_date(
 ) -> DataFrame:
     """(symbol, date, ``{c}_cs_rank``) of the members; ranks are a share of the date's values or plain.
 
-    All columns are ranked together in long form. ``df`` is read twice: hand in a stored frame.
+    All columns are ranked together in long form.
     """
     members = df.where(universe).select(SYMBOL, date, *[F.col(c).cast("double") for c in columns])
     tall = members.unpivot([SYMBOL, date], list(columns), "__column", "__x")

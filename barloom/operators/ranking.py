@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.staging import stored
@@ -28,28 +28,33 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
 
 
-def with_lower(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: Column | None = None) -> DataFrame:
-    """``df`` with ``_lower`` (rows of the group before this one) and ``_group_rows``.
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Stored ``df`` with ``_part``, its partition in a range exchange on (keys, order).
 
-    A record stands for ``rows`` rows, one by default. The exchange is written out once, because
-    partition numbers must not change between the two reads.
+    Written out, because partition numbers must not change between two reads.
     """
-    rows = F.lit(1) if rows is None else rows
-    spread = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    cut = stored(spread.withColumn("_weight", rows.cast("long")))
-    part = [*keys, "_part"]
+    return stored(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _with_offsets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_offset``, the rows of the group in earlier partitions, and ``_group_rows``."""
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy(*part).agg(F.sum("_weight").alias("_part_rows"))
-    offsets = offsets.select(
-        *part,
-        F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_part_rows").over(Window.partitionBy(*keys)).alias("_group_rows"),
+    return parts.withColumns(
+        {
+            "_offset": F.coalesce(F.sum("_part_rows").over(earlier), F.lit(0)),
+            "_group_rows": F.sum("_part_rows").over(Window.partitionBy(*keys)),
+        }
     )
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = cut.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-    placed = join_on(counted, offsets, part)
+
+
+def with_lower(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_lower``, the rows of its group before it by ``order``, and ``_group_rows``."""
+    cut, part = _cut(df, keys, order), [*keys, "_part"]
+    offsets = _with_offsets(cut.groupBy(*part).agg(F.count(F.lit(1)).alias("_part_rows")), keys)
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
+    placed = join_on(cut.withColumn("_inside", inside), offsets, part)
     return placed.withColumn("_lower", F.col("_offset") + F.col("_inside")).drop(
-        "_part", "_weight", "_inside", "_offset"
+        "_part", "_part_rows", "_inside", "_offset"
     )
 
 
@@ -63,16 +68,32 @@ def positions_in_group(df: DataFrame, keys: Sequence[str], value: str, tie: str)
 def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "_rank") -> DataFrame:
     """Add the 1-based rank of ``value`` with ties averaged, and ``{name}_of``, how many are ranked.
 
-    Equal values are counted before anything is sorted, so a value that many rows share is one record;
-    on the way back adaptive execution splits the rows of such a value. ``df`` is read twice: hand in
-    a stored frame.
+    Equal values are spread by a hash of the other columns, so one that many rows share is cut as well.
+    A value on both sides of a cut is counted apart; each cut has one such value at most, so their
+    number is below that of the partitions and they are broadcast.
     """
-    alike = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_alike"))
-    placed = with_lower(alike, keys, [value], F.col("_alike"))
-    ranks = placed.select(
-        *keys,
-        value,
-        (F.col("_lower") + (F.col("_alike") + 1) / 2.0).alias(name),
-        F.col("_group_rows").alias(f"{name}_of"),
+    others = [c for c in df.columns if c not in (*keys, value)]
+    cut = _cut(df.withColumn("_spread", F.xxhash64(*others)), keys, [value, "_spread"]).drop("_spread")
+    part, x = [*keys, "_part"], F.col(value)
+    parts = cut.groupBy(*part).agg(
+        F.count(x).alias("_part_rows"), F.min(x).alias("_low"), F.max(x).alias("_high")
+    )
+    parts = _with_offsets(parts, keys).withColumnRenamed("_group_rows", "_ranked")
+    ends = parts.select(*keys, F.explode(F.array_distinct(F.array("_low", "_high"))).alias(value))
+    torn = ends.where(x.isNotNull()).groupBy(*keys, value).count().where("count > 1").drop("count")
+    pieces = join_on(cut.select(*part, value), F.broadcast(torn), [*keys, value])
+    pieces = pieces.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_piece"))
+    # its first partition holds lower values only besides it
+    whole = join_on(pieces, parts, part).groupBy(*keys, value).agg(
+        F.min(F.col("_offset") + F.col("_part_rows") - F.col("_piece")).alias("_below"),
+        F.sum("_piece").alias("_alike"),
     )
-    return join_on(df, ranks, [*keys, value], "left")
+    order = Window.partitionBy(*part).orderBy(x.asc_nulls_last())
+    upto = F.count(x).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = cut.withColumn("_inside", (F.rank().over(order) + upto) / 2.0)
+    placed = join_on(counted, parts.drop("_low", "_high"), part)
+    placed = join_on(placed, F.broadcast(whole), [*keys, value], "left")
+    rank = F.coalesce(F.col("_below") + (F.col("_alike") + 1) / 2.0, F.col("_offset") + F.col("_inside"))
+    return placed.withColumns(
+        {name: F.when(x.isNotNull(), rank), f"{name}_of": F.col("_ranked")}
+    ).drop("_part", "_part_rows", "_inside", "_offset", "_ranked", "_below", "_alike")

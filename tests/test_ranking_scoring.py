@@ -65,10 +65,19 @@ def test_positions_cover_every_row_of_every_group(skewed):
             assert {r._group_rows for r in rows} == {len(rows)}
 
 
-def test_one_group_is_spread_over_partitions(spark, skewed):
-    df, _ = skewed
-    cut = df.repartitionByRange(4, "label_date", "y_pred").groupBy(F.spark_partition_id()).count()
-    assert cut.agg(F.max("count")).first()[0] < 0.6 * df.count()
+def test_a_value_across_cuts_has_one_rank(spark, skewed, monkeypatch):
+    """Cut by hand into many partitions, so that the shared value lies in several of them."""
+    df, frame = skewed
+    ordinary = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *c: ordinary(self, 40, *c))
+    cut = ranking._cut(df, ["label_date"], ["y_pred", "sample_id"])
+    assert cut.where("y_pred = 0.25").select("_part").distinct().count() > 5
+    got = ranking.with_average_rank(df, ["label_date"], "y_pred", "r").toPandas().set_index("sample_id")
+    frame = frame.set_index("sample_id")
+    groups = frame.groupby("label_date", dropna=False)["y_pred"]
+    got = got.loc[frame.index]
+    np.testing.assert_allclose(got["r"], groups.rank())
+    np.testing.assert_allclose(got["r_of"], groups.transform("count"))
 
 
 def test_golden_scores(spark):
