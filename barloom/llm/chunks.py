@@ -120,14 +120,22 @@ def short(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(32 - bits)
 
 
+def add_counts(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(counts, firsts)
+
+
 def shared_keys(
-    chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bits: int
+    chunks: DataFrame,
+    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
+    bits: int,
+    total: Callable[[np.ndarray, np.ndarray], np.ndarray] = add_counts,
 ) -> DataFrame:
     """For every chunk and key range, the chunk's keys that at least two documents hold.
 
     ``keys_of`` gives the sorted distinct 64-bit keys of a chunk and how many of its documents hold
     each. Keys are compared by ``short``; who needs more must compare what stands behind them. Counts
-    end at 255.
+    end at 255. ``total`` makes one number of each key's counts, which stand together from ``firsts`` on;
+    keys of less than 2 are not told.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +164,7 @@ def shared_keys(
         entries = np.sort(np.concatenate(parts))
         keys = (entries >> np.uint64(32)).astype(np.uint32)
         firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        totals = np.add.reduceat(entries & np.uint64(255), firsts)
+        totals = total(entries & np.uint64(255), firsts)
         totals = np.repeat(totals, np.diff(np.append(firsts, len(keys))))
         held = totals >= 2
         keys, totals = keys[held], np.minimum(totals[held], 255).astype(np.uint8)

@@ -12,8 +12,12 @@ is the least of the string. So anchors are the only suffixes that need initial b
    alone in their bucket drop out. Each bucket knows its smallest document.
 4. Chunks get these documents back and remove what a smaller document has.
 
-Everything is shuffled by bucket or by chunk. A passage or copy that a third of all documents hold costs
-one entry per chunk and bucket. Hashes only choose anchors and buckets; equality is that of bytes.
+Everything is shuffled by bucket or by chunk. Where a passage or copy is long enough to fill the bytes of an
+anchor, a third of all documents cost one entry per chunk and bucket. At its edges, and in shared lines
+shorter than that, each document has bytes of its own around the same q-gram. A q-gram with more than
+``SLICE`` different bytes around it is therefore not refined in its bucket: each of its strings of
+``length`` bytes is sent by a hash of the string, equal strings of a chunk once, to all buckets alike.
+Hashes only choose anchors and buckets; equality is that of bytes.
 """
 
 from __future__ import annotations
@@ -44,6 +48,10 @@ LENGTH = 50
 GRAM = 20
 BLOCK = 1 << 18
 SLICE = 1 << 14
+ROWS = 1 << 16
+#: Numbers of contexts that 7 bits stand for, each at most 15 % (or one) above the one before.
+STEPS = np.maximum(np.arange(128), 1.15 ** np.arange(128)).astype(np.int64)
+HOT = 255
 NO_ID = np.iinfo(np.int64).max
 _ROW = "kind int, chunk long, bucket int, payload binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -135,11 +143,39 @@ def document_counts(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.
     return k[firsts], np.add.reduceat(new_pair.astype(np.int64), firsts) if len(firsts) else firsts
 
 
+def string_hashes(texts: Texts, anchors: Anchors, length: int) -> np.ndarray:
+    """A hash of the bytes that each anchor stands for and of its place in them."""
+    v, sizes = grams(texts.buffer), anchors.last - anchors.first + length
+    h = mix((sizes << 16 | (anchors.at - anchors.first)).astype(np.uint64))
+    for k in range(0, int(sizes.max(initial=0)), 8):
+        h = mix(h + v[np.minimum(anchors.first + k, anchors.last + length - 8)]) * np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
+def context_codes(texts: Texts, anchors: Anchors, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys; 128 where several documents have them, plus the step of their number of contexts."""
+    keys, docs = document_counts(anchors.keys, anchors.doc)
+    contexts = document_counts(anchors.keys, string_hashes(texts, anchors, length))[1]
+    return keys, (docs > 1) * 128 + np.minimum(np.searchsorted(STEPS, contexts), 127)
+
+
+def split_anchors(texts: Texts, anchors: Anchors, hot: np.ndarray, length: int) -> Anchors:
+    """The anchors; of the hot ones each string, with a key of its own bytes."""
+    n = (anchors.last - anchors.first + 1)[hot]
+    start = np.repeat(anchors.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    split = Anchors(start, start, np.repeat(anchors.doc[hot], n), start, start)
+    split = split._replace(keys=string_hashes(texts, split, length))
+    return Anchors(*(np.concatenate((x[~hot], y)) for x, y in zip(anchors, split, strict=True)))
+
+
 def rows_of_bytes(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """A row per string, zeros after its end."""
     columns = np.arange(width)
-    out = buffer[np.minimum(starts[:, None] + columns, max(len(buffer) - 1, 0))]
-    out[columns >= sizes[:, None]] = 0
+    out = np.empty((len(starts), width), np.uint8)
+    for k in range(0, len(starts), ROWS):
+        part = out[k : k + ROWS]
+        part[:] = buffer[np.minimum(starts[k : k + ROWS, None] + columns, max(len(buffer) - 1, 0))]
+        part[columns >= sizes[k : k + ROWS, None]] = 0
     return out
 
 
@@ -254,9 +290,16 @@ def repeated_bytes(
     chunks = chunked(docs, text_col)
     bits = range_bits(chunks, (length - gram + 2) / 2)
 
+    most = SLICE
+
     def keys_of(table: pa.Table):
-        anchors = find_anchors(read_texts(table, id_col, text_col), length, gram)
-        return document_counts(anchors.keys, anchors.doc)
+        texts = read_texts(table, id_col, text_col)
+        return context_codes(texts, find_anchors(texts, length, gram), length)
+
+    def total(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        docs = np.add.reduceat((codes >> np.uint64(7)) + np.uint64(1), firsts)
+        contexts = np.add.reduceat(STEPS[codes & np.uint64(127)], firsts)
+        return np.where((docs > 1) & (contexts > most), HOT, np.minimum(docs, 2))
 
     def entries_of(group: pa.Table) -> pa.Table:
         """Kind 0: the entries of a bucket. Kind 1: a chunk's own anchors."""
@@ -265,12 +308,12 @@ def repeated_bytes(
         texts = read_texts(blob_to_table(blobs[kinds.index(0)]), id_col, text_col)
         a = find_anchors(texts, length, gram)
         answers = [k for k, kind in enumerate(kinds) if kind]
-        shared, _ = shared_of([buckets[k] for k in answers], [blobs[k] for k in answers])
+        shared, totals = shared_of([buckets[k] for k in answers], [blobs[k] for k in answers])
         keys = short(a.keys, bits)
         place = np.searchsorted(shared, keys)
         held = np.flatnonzero(shared[np.minimum(place, max(len(shared) - 1, 0))] == keys) if len(shared) else place[:0]
-        a = Anchors(*(x[held] for x in a))
-        keys = keys[held]
+        a = split_anchors(texts, Anchors(*(x[held] for x in a)), totals[place[held]] == HOT, length)
+        keys = short(a.keys, bits)
         sizes = a.last - a.first + length
         strings = rows_of_bytes(texts.buffer, a.first, sizes, width)
         order, new = equal_rows(strings, keys, a.at - a.first, sizes)
@@ -345,7 +388,7 @@ def repeated_bytes(
         return finish(table, texts, covered(texts, starts, ends))
 
     payloads = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).alias("bucket"), "payload")
-    shared = shared_keys(chunks, keys_of, bits).select(F.lit(1).alias("kind"), "chunk", "bucket", "payload")
+    shared = shared_keys(chunks, keys_of, bits, total).select(F.lit(1).alias("kind"), "chunk", "bucket", "payload")
     # Not stored: made twice from one exchange, which costs less than writing them once.
     entries = payloads.unionByName(shared).groupBy("chunk").applyInArrow(entries_of, _ROW)
     answers = entries.filter("kind = 0").groupBy("bucket").applyInArrow(answer, _ROW)

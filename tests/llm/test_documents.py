@@ -79,6 +79,34 @@ def test_suffix_dedup_repeated_and_null_ids(spark, none):
     assert suffix_dedup.repeat_report(none).count() == 0
 
 
+def test_suffix_dedup_hot_line_among_differing_texts(spark, monkeypatch):
+    """A task refines at most SLICE different contexts of one key; results equal brute force."""
+    pick = random.Random(3)
+    prose = lambda: "".join(pick.choices("abcdefgh ", k=pick.randint(40, 120)))
+    line = "Licensed under the Example License, version 2 of 2020.\n\n\n"
+    texts = [prose() + line + prose() for _ in range(90)]
+    texts += [texts[5] + texts[7], texts[5] + prose(), line, line * 4]
+    smallest, most = suffix_dedup.smallest_documents, 16
+
+    def guarded(keys, offsets, sizes, ids, strings, length):
+        contexts = {(int(k), int(o), s.tobytes()) for k, o, s in zip(keys, offsets, strings, strict=True)}
+        assert max(Counter(k for k, *_ in contexts).values()) <= most
+        return smallest(keys, offsets, sizes, ids, strings, length)
+
+    monkeypatch.setattr(suffix_dedup, "SLICE", most)
+    monkeypatch.setattr(suffix_dedup, "smallest_documents", guarded)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeat_report(docs).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        mask = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                mask[p : p + 50] = b"\1" * 50
+        assert got[i] == sum(mask)
+    assert sum(got.values()) > 90 * 50
+
+
 def test_refine_equals_the_strings():
     pick = np.random.default_rng(1)
     strings = pick.integers(97, 99, (40, 88), dtype=np.uint8)
