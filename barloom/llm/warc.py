@@ -1,9 +1,15 @@
 """WARC derivatives: response records become linked metadata and plain-text conversion records.
 
 Each derived record refers to its response by ``WARC-Refers-To`` and keeps its target, date and payload
-digest; the metadata record also holds the response's own record and HTTP headers. Record identifiers
-are a function of the response's identifier and the record type, so a task that runs again writes the
-same records. A response's parts never leave its row; nothing is shuffled.
+digest, the digest as ``WARC-Refers-To-Payload-Digest``, since ``WARC-Payload-Digest`` would speak of
+the derived record's own payload. The metadata record also holds the response's own record and HTTP
+headers. Record identifiers are a function of the response's identifier and the record type, so a task
+that runs again writes the same records. A response's parts never leave its row; nothing is shuffled.
+
+The payload is the body without its transfer coding (chunks). For the conversion its content coding
+(gzip, deflate, zstd) is undone too; HTML is rendered, other text stands as it is, and what is no text
+(images, PDF) or has a coding that cannot be undone (br) gets a metadata record only. Archives that
+keep the headers but store bodies already decoded are read as they are.
 """
 
 from __future__ import annotations
@@ -14,9 +20,11 @@ import hashlib
 import json
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +36,9 @@ RESULT = (
     "payload_digest string, block_digest string, block binary, record binary"
 )
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+_HTML = frozenset(["text/html", "application/xhtml+xml", "application/vnd.wap.xhtml+xml"])
+_TEXT = re.compile(r"text/.+|application/(?:.+\+)?(?:json|xml)|application/(?:x-)?(?:javascript|ecmascript|ndjson|yaml)")
 
 
 def digest(data: bytes) -> str:
@@ -72,6 +83,98 @@ def read_record(record: bytes) -> tuple[list[tuple[str, str]], bytes] | None:
     return headers, rest[: int(length)] if length and length.isdigit() else rest
 
 
+def without_chunks(body: bytes) -> bytes:
+    """A chunked body's data; of a cut one what there is, and a body that is not chunked as it stands."""
+    parts, at = [], 0
+    while head := _CHUNK.match(body, at):
+        size = int(head[1], 16)
+        if not size:
+            return b"".join(parts)
+        parts.append(body[head.end() : head.end() + size])
+        at = head.end() + size
+        at += 2 * (body[at : at + 2] == b"\r\n")
+    return b"".join(parts) if parts and at >= len(body) else body
+
+
+def _inflate(body: bytes, bits: int) -> tuple[bytes, bool]:
+    """A zlib or raw stream or all gzip members, and whether it came to its end; of a cut or broken one what comes before."""
+    out, at = [], 0
+    while True:
+        stream = zlib.decompressobj(bits)
+        try:
+            # Small pieces, so that what comes before an error is kept.
+            while at < len(body) and not stream.eof:
+                out.append(stream.decompress(body[at : at + 1024]))
+                at += 1024
+        except zlib.error:
+            return b"".join(out), False
+        at = min(at, len(body)) - len(stream.unused_data)
+        if not stream.eof or bits != 31 or body[at : at + 2] != b"\x1f\x8b":
+            return b"".join(out), stream.eof
+
+
+def _gunzipped(body: bytes) -> bytes:
+    return _inflate(body, 31)[0] if body[:2] == b"\x1f\x8b" else body
+
+
+def _undeflated(body: bytes) -> bytes:
+    """A zlib stream, or the raw one that some servers send; UTF-8 that is no whole raw stream is a decoded body."""
+    if len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0:
+        return _inflate(body, 15)[0]
+    data, whole = _inflate(body, -15)
+    if not whole:
+        try:
+            body.decode()
+            return body
+        except UnicodeDecodeError:
+            pass
+    return data or body
+
+
+def _unzstd(body: bytes) -> bytes:
+    out = []
+    if body[:4] != b"\x28\xb5\x2f\xfd":
+        return body
+    with zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True) as stream:
+        try:
+            while piece := stream.read(1 << 16):
+                out.append(piece)
+        except zstandard.ZstdError:
+            pass
+    return b"".join(out)
+
+
+_DECODERS: dict[str, Callable[[bytes], bytes]] = {
+    "identity": bytes, "chunked": without_chunks, "gzip": _gunzipped, "x-gzip": _gunzipped, "deflate": _undeflated, "zstd": _unzstd,
+}
+
+
+def without_codings(headers: list[tuple[str, str]], name: str, body: bytes) -> bytes | None:
+    """The body without the codings of the header, the last one first; None if one of them is unknown."""
+    codings = [c.strip().lower() for k, v in headers if k.lower() == name for c in v.split(",") if c.strip()]
+    for coding in reversed(codings):
+        decoder = _DECODERS.get(coding)
+        if not decoder:
+            return None
+        body = decoder(body)
+    return body
+
+
+def converted(http: list[tuple[str, str]], payload: bytes) -> str | None:
+    """The text of a payload; None if it is not text. Without a type, a body without null bytes is HTML."""
+    body = without_codings(http, "content-encoding", payload)
+    content_type = value_of(http, "Content-Type") or ""
+    kind = content_type.partition(";")[0].strip().lower()
+    if body is None or not (kind in _HTML or _TEXT.fullmatch(kind) or (not kind and b"\0" not in body)):
+        return None
+    named = _CHARSET.search(content_type)
+    try:
+        text = body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    return visible_text(text) if kind in _HTML or not kind else text
+
+
 def derive(record: bytes) -> list[dict]:
     """The metadata and conversion records of one response record; none of other records."""
     parsed = read_record(record)
@@ -81,25 +184,22 @@ def derive(record: bytes) -> list[dict]:
     status, http, payload = split_headers(block) if block.startswith(b"HTTP/") else ("", [], block)
     own = value_of(headers, "WARC-Record-ID") or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest(record))}>"
     target, date = value_of(headers, "WARC-Target-URI"), value_of(headers, "WARC-Date")
+    entity = without_codings(http, "transfer-encoding", payload)
+    payload = payload if entity is None else entity
     payload_digest = value_of(headers, "WARC-Payload-Digest") or digest(payload)
-    named = _CHARSET.search(value_of(http, "Content-Type") or "")
-    try:
-        html = payload.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
-        html = payload.decode("utf-8", "replace")
+    text = None if entity is None else converted(http, payload)
     about = {"status": status, "headers": http, "record_headers": headers, "payload_length": len(payload), "payload_digest": payload_digest}
-    blocks = {
-        "metadata": ("application/json", json.dumps(about, ensure_ascii=False).encode()),
-        "conversion": ("text/plain; charset=utf-8", visible_text(html).encode("utf-8", "replace")),
-    }
+    blocks = {"metadata": ("application/json", json.dumps(about, ensure_ascii=False).encode())}
+    if text is not None:
+        blocks["conversion"] = ("text/plain; charset=utf-8", text.encode("utf-8", "replace"))
     out = []
     for kind, (content_type, data) in blocks.items():
         fields = {
             "warc_type": kind, "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {own}')}>", "refers_to": own,
             "target_uri": target, "warc_date": date, "payload_digest": payload_digest, "block_digest": digest(data), "content_type": content_type,
         }
-        names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type")
-        record_headers = [(n, v or "") for n, v in zip(names, fields.values(), strict=True) if n != "WARC-Payload-Digest"]
+        names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To-Payload-Digest", "WARC-Block-Digest", "Content-Type")
+        record_headers = [(n, v or "") for n, v in zip(names, fields.values(), strict=True)]
         out.append(fields | {"block": data, "record": to_record(record_headers, data)})
     return out
 
@@ -123,7 +223,7 @@ def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", da
 
 
 def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """A metadata and a conversion row for each response record of ``record_col``, plain or gzipped.
+    """A metadata row for each response record of ``record_col``, plain or gzipped, and a conversion row if it has text.
 
     Null values, records of other types and what is no record give no rows; repeated records give
     repeated rows. A response without identifier gets one from its bytes, one without payload digest the

@@ -3,9 +3,11 @@
 import gzip
 import json
 import time
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from barloom.llm import cap_filters, components, html_layout, warc
 
@@ -88,6 +90,40 @@ def test_derivatives_of_odd_records(spark):
     assert warc.derivatives(spark.createDataFrame([], "record binary")).count() == 0
 
 
+def test_conversion_undoes_codings_and_goes_by_type():
+    def kinds(headers, body, first="HTTP/1.1 200 OK"):
+        http = "\r\n".join([first, *headers, "", ""]).encode() + body
+        rows = warc.derive(warc.to_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Payload-Digest", "sha1:SOURCE")], http))
+        for row in rows:
+            assert warc.value_of(warc.read_record(row["record"])[0], "WARC-Refers-To-Payload-Digest") == "sha1:SOURCE" == row["payload_digest"]
+        return {r["warc_type"]: r["block"].decode() for r in rows}
+
+    def text(headers, body):
+        return kinds(headers, body).get("conversion")
+
+    html, type_ = "<p>Hé<p>there".encode(), "Content-Type: text/html; charset=utf-8"
+    chunks = lambda b: b"".join(b"%x;x=y\r\n%s\r\n" % (len(p), p) for p in (b[:3], b[3:])) + b"0\r\nTrailer: x\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(html) + raw.flush()
+    want = "Hé\n\nthere"
+    assert text([type_, "Transfer-Encoding: chunked"], chunks(html)) == want
+    assert text([type_, "Transfer-Encoding: chunked"], html) == want
+    assert text([type_, "Transfer-Encoding: gzip, chunked"], chunks(gzip.compress(html))) == want
+    assert text([type_, "Content-Encoding: GZIP", "transfer-encoding: Chunked"], chunks(gzip.compress(html))) == want
+    for coding, body in [("gzip", gzip.compress(html)), ("x-gzip", gzip.compress(html[:5]) + gzip.compress(html[5:])), ("gzip", html), ("deflate", zlib.compress(html)), ("deflate", raw), ("deflate", html), ("deflate, gzip", gzip.compress(raw)), ("zstd", zstandard.compress(html)), ("identity", html)]:
+        assert text([type_, f"Content-Encoding: {coding}"], body) == want
+    long = " ".join(f"word{k * k % 9973}" for k in range(20_000))
+    cut = text([type_, "Content-Encoding: gzip"], gzip.compress(long.encode())[:20_000])
+    assert len(cut) > 10_000 and long.startswith(cut)
+    assert text(["Content-Type: text/plain"], b"a <b> c\n  d") == "a <b> c\n  d"
+    assert text(["Content-Type: application/json"], b'{"a": "<b>"}') == '{"a": "<b>"}'
+    assert text(["Content-Type: application/xhtml+xml"], html) == want
+    assert text([], html) == want
+    for headers, body in [(["Content-Type: image/png"], b"\x89PNG\r\n"), (["Content-Type: application/pdf"], b"%PDF-1.4"), ([type_, "Content-Encoding: br"], b"\x0b\x02"), ([], b"\x89PNG\0")]:
+        assert list(kinds(headers, body)) == ["metadata"]
+    assert json.loads(kinds([type_, "Transfer-Encoding: chunked"], chunks(html))["metadata"])["payload_length"] == len(html)
+
+
 def test_pages_that_end_inside_tags():
     assert html_layout.visible_text("<p>a < b and c<d>e</d> then <a href='x") == "a < b and ce then"
     assert html_layout.visible_text("one <!-- never closed") == "one"
