@@ -24,7 +24,7 @@ WIDEST_PADDING = 40
 # Fixed values of HTML: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-NOT_SHOWN = frozenset("head script style template noscript iframe noembed noframes object datalist audio video canvas svg math title area param source track link meta base".split())
+NOT_SHOWN = frozenset("head script style template noscript iframe noembed noframes object datalist audio video canvas annotation annotation-xml mphantom title area param source track link meta base".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul "
@@ -47,6 +47,18 @@ IMPLIED_ENDS = {
     "tfoot": (frozenset("tbody thead tfoot tr td th caption colgroup".split()), frozenset(["table"])),
 }
 SCOPES = frozenset("table td th caption button html".split())
+# All that a head holds; anything else ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
+# HTML that ends an open svg or math, unless it stands where these hold HTML.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+# Definitions and descriptions of a drawing.
+DRAWN_LATER = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
+# The parts of these are apart: a fraction is not its digits in a row.
+MATH_APART = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot mtr mlabeledtr mtable".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>", re.S)
 # A tag or comment that the page ends in is not shown.
@@ -54,6 +66,7 @@ _UNENDED = re.compile(r"<[!?/a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
+_BLANK = re.compile(r"[ \t\n\r\f]*")
 
 
 class Element:
@@ -74,6 +87,8 @@ def build_tree(html: str) -> Element:
     """The elements of a page, with implied ends and implied table rows."""
     root = Element("html")
     stack, at = [root], 0
+    # The outermost open svg or math and its depth.
+    outer, outer_depth = None, 0
 
     def close(tags: frozenset[str], limits: frozenset[str]) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -86,14 +101,26 @@ def build_tree(html: str) -> Element:
     def open_(tag: str, attributes: str = "") -> Element:
         element = Element(tag, attributes)
         stack[-1].children.append(element)
-        if len(stack) < DEEPEST:
+        if len(stack) < DEEPEST + (tag == "text"):
             stack.append(element)
         return element
 
+    def text(raw: str) -> None:
+        if stack[-1].tag == "head" and not _BLANK.fullmatch(raw):
+            stack.pop()
+        stack[-1].children.append(unescape(raw))
+
+    def is_foreign() -> bool:
+        """Whether the place is in svg or math and not where these hold HTML."""
+        if outer is None or len(stack) <= outer_depth or stack[outer_depth] is not outer:
+            return False
+        inner = next(e.tag for e in reversed(stack) if e is outer or e.tag in HOLDS_HTML or e.tag in ("svg", "math"))
+        return inner in ("svg", "math")
+
     last = html.rfind(">")
     while at <= last and (token := _TOKEN.search(html, at)):
         if token.start() > at:
-            stack[-1].children.append(unescape(html[at : token.start()]))
+            text(html[at : token.start()])
         at, (end, tag, attributes) = token.end(), token.groups()
         if tag is None:
             continue
@@ -110,6 +137,15 @@ def build_tree(html: str) -> Element:
             root.attributes += f" {attributes}"
             close(frozenset(["head"]), frozenset())
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
+        if outer is not None and is_foreign():
+            if tag in BREAKS_OUT:
+                while is_foreign():
+                    stack.pop()
+            elif attributes.endswith("/"):
+                stack[-1].children.append(Element(tag, attributes))
+                continue
         if tag in CLOSES_P:
             close(frozenset(["p"]), SCOPES)
             close(frozenset(["head"]), frozenset())
@@ -122,15 +158,17 @@ def build_tree(html: str) -> Element:
         elif tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(html, at)
             element = Element(tag, attributes)
-            text = html[at : stop.start()]
-            element.children.append(unescape(text) if tag in ("title", "textarea") else text)
+            inside = html[at : stop.start()]
+            element.children.append(unescape(inside) if tag in ("title", "textarea") else inside)
             stack[-1].children.append(element)
             closing = html.find(">", stop.end())
             at = len(html) if stop.start() == len(html) or closing < 0 else closing + 1
         elif not attributes.endswith("/") or tag not in ("svg", "math"):
-            open_(tag, attributes)
+            element = open_(tag, attributes)
+            if tag in ("svg", "math") and stack[-1] is element and not (outer is not None and len(stack) > outer_depth and stack[outer_depth] is outer):
+                outer, outer_depth = element, len(stack) - 1
     if at < len(html):
-        stack[-1].children.append(unescape(_UNENDED.split(html[at:], maxsplit=1)[0]))
+        text(_UNENDED.split(html[at:], maxsplit=1)[0])
     return root
 
 
@@ -191,6 +229,14 @@ class Layout:
             self.inline = []
         elif e.tag == "input":
             self.inline.append(f" {e.get('value') or ''} ")
+        elif e.tag == "svg":
+            self.labels(e)
+        elif e.tag in MATH_APART:
+            for child in e.children:
+                if not isinstance(child, str) or child.strip():
+                    self.inline.append(" ")
+                    self.add([child], pre)
+            self.inline.append(" ")
         elif e.tag not in BLOCK:
             self.add(e.children, pre)
         else:
@@ -210,6 +256,20 @@ class Layout:
                 self.add(e.children, pre)
             (self.gap if e.tag in APART else self.end_line)()
 
+    def labels(self, e: Element) -> None:
+        """The text elements of a drawing, apart from each other, and the HTML in it."""
+        for child in e.children:
+            if isinstance(child, str) or child.tag in DRAWN_LATER or not is_shown(child):
+                continue
+            if child.get("display") == "none" or child.get("visibility") in ("hidden", "collapse"):
+                continue
+            if child.tag in ("text", "foreignobject"):
+                self.inline.append(" ")
+                self.add(child.children)
+                self.inline.append(" ")
+            else:
+                self.labels(child)
+
     def list_items(self, e: Element) -> None:
         number = e.get("start") if e.tag == "ol" else None
         number = int(number) if number and re.fullmatch(r"-?\d{1,9}", number) else 1

@@ -54,6 +54,33 @@ def test_layout():
     assert html_layout.visible_text("<div>" * 5000 + "t") == "t"
 
 
+def test_text_of_formulas_and_drawings():
+    text = html_layout.visible_text
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mi>a</mi><mn>2</mn></mfrac></math> holds") == "so x= a 2 holds"
+    assert text("<math><semantics><mrow><mi>y</mi></mrow><annotation>\\y</annotation></semantics></math>") == "y"
+    assert text("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>") == "1 2"
+    drawing = """<svg><title>T</title><desc>D</desc><style>a{}</style><defs><text>later</text></defs><path d="M0"/><g><rect/>
+<text x=1>Sales <tspan>2020</tspan></text><text>Costs</text><text display="none">no</text></g></svg>"""
+    assert text(f"<div>Chart {drawing} end</div>") == "Chart Sales 2020 Costs end"
+    assert text("<svg>" + "<path d='M0'/>" * 400 + "<text>deep</text></svg>") == "deep"
+    assert text("<svg>" + "<g>" * 400 + "<text>very <tspan>deep</tspan></text>") == "very deep"
+    assert text("<svg><foreignObject><div>in</div><p>it</p></foreignObject><text>z</text></svg>").split() == ["in", "it", "z"]
+    assert text("<svg><path d='M0'><p>after") == "after"
+    assert text("<math><mi>x<div>after") == "x\nafter"
+    assert text("<p>a<svg/>b<math/>c") == "abc"
+
+
+def test_open_head_ends_at_its_first_content():
+    head = "<html><head><meta charset=x> <title>T</title>\n<style>p{}</style><script>1</script><link href=x>\n"
+    for rest in ["a <b>b</b><p>c", "<span>a</span> b<p>c", "<a href=x>a</a> <i>b</i><p>c", "a b<br>c", "<b>a</b> b<li>c", "<img src=x>a b<p>c"]:
+        assert html_layout.visible_text(head + rest).replace("- ", "").split() == ["a", "b", "c"]
+    assert html_layout.visible_text(head + "only") == "only"
+    assert html_layout.visible_text(head + "<select><option>one</select>") == "one"
+    assert html_layout.visible_text(head + "<noscript><img src=x>no</noscript><meta name=a></head><body>yes") == "yes"
+    assert html_layout.visible_text(head + "<template><b>no</b></template>yes") == "yes"
+    assert html_layout.visible_text("<p>a<head>b") == "ab"
+
+
 def test_rendered(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b", "x"), (1, "<p>a<p>b", "x"), (2, None, "x"), (None, "", "x")], "page_id long, html string, text string")
     got = sorted(map(str, map(tuple, html_layout.rendered(pages).collect())))
