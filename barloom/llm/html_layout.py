@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
-from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +17,11 @@ from pyspark.sql import functions as F
 RESULT = "page_id long, text string, n_lines long"
 #: Deeper elements are put beside each other, as browsers do.
 DEEPEST = 150
-#: A column's cells are padded to its widest cell of at most this width; wider cells stand as they are.
+#: A column is as wide as its widest line of at most this width. Wider lines are wrapped if cells follow them;
+#: where that cannot be, as with a long word, the cells that follow stand a line below.
 WIDEST_PADDING = 40
+# HTML's own limits.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 # Fixed values of HTML: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -287,9 +289,11 @@ class Layout:
             self.lines += [" " * len(mark) + line if line else "" for line in rest]
 
     def table(self, e: Element) -> None:
-        rows: list[list[list[str]]] = []
+        rows: list[dict[int, list[str]]] = []
 
         def gather(children: list) -> None:
+            # First column, column after the last and row after the last of cells that reach into rows below.
+            open_: list[tuple[int, int, float]] = []
             for child in children:
                 if isinstance(child, str):
                     if child.strip():
@@ -297,25 +301,71 @@ class Layout:
                 elif is_shown(child):
                     if child.tag in ("tbody", "thead", "tfoot"):
                         gather(child.children)
+                        open_ = []
                     elif child.tag == "tr":
-                        row: list[list[str]] = []
+                        row, column, passed, opened = {}, 0, 0, []
                         for cell in child.children:
                             if isinstance(cell, str) or cell.tag not in ("td", "th"):
                                 self.add([cell])
                             elif is_shown(cell):
-                                span = cell.get("colspan") if cell.attributes else None
-                                row.append(block_lines(cell.children))
-                                row += [[]] * (min(int(span), 100) - 1 if span and re.fullmatch(r"\d{1,4}", span) and int(span) else 0)
+                                while passed < len(open_) and open_[passed][0] <= column:
+                                    column = max(column, open_[passed][1])
+                                    passed += 1
+                                row[column] = block_lines(cell.children)
+                                after = column + (span_of(cell, "colspan", MOST_COLUMNS) or 1)
+                                opened.append((column, after, len(rows) + (span_of(cell, "rowspan", MOST_ROWS) or float("inf"))))
+                                column = after
                         rows.append(row)
+                        open_ = sorted(o for o in (*open_, *opened) if o[2] > len(rows))
                     else:
                         self.element(child, False)
 
         gather(e.children)
         self.end_line()
-        widths = [max((len(line) for cell in column for line in cell or () if len(line) <= WIDEST_PADDING), default=0) for column in zip_longest(*rows)]
         for row in rows:
-            for cells in zip_longest(*row, fillvalue=""):
-                self.lines.append("  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip())
+            followed = max((c for c, cell in row.items() if cell), default=0)
+            for column, cell in row.items():
+                if column < followed:
+                    row[column] = [part for line in cell for part in wrapped(line)]
+        widths: dict[int, int] = {}
+        for row in rows:
+            for column, cell in row.items():
+                widths[column] = max([widths.get(column, 0), *(len(line) for line in cell if len(line) <= WIDEST_PADDING)])
+        begin, begins = 0, {}
+        for column in sorted(widths):
+            begins[column] = begin
+            begin += widths[column] + 2
+        for row in rows:
+            for k in range(max(map(len, row.values()), default=0)):
+                out = ""
+                for column, cell in row.items():
+                    if k < len(cell) and cell[k]:
+                        if out and len(out) > begins[column] - 2:
+                            self.lines.append(out.rstrip())
+                            out = ""
+                        out = out.ljust(begins[column]) + cell[k]
+                self.lines.append(out.rstrip())
+
+
+def span_of(cell: Element, name: str, most: int) -> int:
+    """The number of columns or rows of a cell."""
+    value = (cell.get(name) or "").strip() if cell.attributes else ""
+    return min(int(value), most) if re.fullmatch(r"[0-9]{1,9}", value) else 1
+
+
+def wrapped(line: str) -> list[str]:
+    """A line in parts of at most the widest padding; words stay whole, lines laid out with blanks as they are."""
+    if len(line) <= WIDEST_PADDING or "  " in line or line[0] == " ":
+        return [line]
+    out: list[list[str]] = [[]]
+    room = WIDEST_PADDING
+    for word in line.split(" "):
+        if out[-1] and len(word) > room:
+            out.append([])
+            room = WIDEST_PADDING
+        out[-1].append(word)
+        room -= len(word) + 1
+    return [" ".join(words) for words in out]
 
 
 def block_lines(children: list) -> list[str]:

@@ -81,6 +81,23 @@ def test_open_head_ends_at_its_first_content():
     assert html_layout.visible_text("<p>a<head>b") == "ab"
 
 
+def test_tables_with_spans_and_wide_cells():
+    lines = lambda page: html_layout.visible_text(page).split("\n")
+    assert lines("<table><tr><td rowspan=2>Fruit<td>fig<td>1<tr><td>plum<td rowspan=0>2<tr><td colspan=2>sum<tr><td>x<td>y</table>") == [
+        "Fruit  fig   1", "       plum  2", "sum", "x      y",
+    ]
+    assert lines("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == ["a  b", "c  d"]
+    assert lines("<table><tr><td colspan=300>a<td>b<tr><td>c<td>d</table>") == ["a     b", "c  d"]
+    wide = "one two three four five six seven eight nine ten eleven"
+    assert lines(f"<table><tr><td>{wide}<td>1<tr><td>x<td>2</table>") == [
+        "one two three four five six seven eight  1", "nine ten eleven", "x" + " " * 40 + "2",
+    ]
+    assert lines(f"<table><tr><td>{'w' * 50}<td>1<tr><td>xyz<td>{wide}</table>") == ["w" * 50, "     1", "xyz  " + wide]
+    started = time.time()
+    html_layout.visible_text("<table>" + ("<tr>" + "<td colspan=1000 rowspan=60000>a" * 100) * 100 + "</table>")
+    assert time.time() - started < 5
+
+
 def test_rendered(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b", "x"), (1, "<p>a<p>b", "x"), (2, None, "x"), (None, "", "x")], "page_id long, html string, text string")
     got = sorted(map(str, map(tuple, html_layout.rendered(pages).collect())))
