@@ -148,15 +148,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """Fit on the labelled rows that are not held out: ``SAMPLE_DOCUMENTS`` of them with the least hash of the id.
 
-    The chosen labels are sent to the documents, so that only texts of the sample move. Documents of more than ``SAMPLE_LINES`` lines are not in the sample. Null labels and texts are left out;
-    without labels of both kinds every line is as likely good as bad.
+    The chosen labels are sent to the documents, so that only texts of the sample move. Of a document of more than
+    ``SAMPLE_LINES`` lines, a run of so many lines is in the sample, from a place that the hash of its id gives. Null
+    labels and texts are left out; without labels of both kinds every line is as likely good as bad. Labels of both
+    kinds of which the sample has one only are an error.
     """
     chosen = labels.filter(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isin(0, 1))
     chosen = chosen.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    learnable = chosen
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE_DOCUMENTS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    few = F.length("text") - F.length(F.replace("text", F.lit("\n"))) < SAMPLE_LINES
-    sample = texts.filter(few).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    spare = F.greatest(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1 - SAMPLE_LINES, F.lit(0))
+    first = F.pmod(F.xxhash64("doc_id", F.lit("run")), spare + 1).cast("int") + 1
+    run = F.array_join(F.slice(F.split("text", "\n", -1), first, SAMPLE_LINES), "\n")
+    sample = sample.withColumn("text", F.when(spare > 0, run).otherwise(F.col("text")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sample.mapInArrow(features, "label int, features binary, weights binary").collect()
     width = line_features([b""]).features.shape[1]
     if len({r.label for r in rows}) < 2:
+        if learnable.select("label").distinct().count() > 1:
+            raise ValueError(f"the labels are of both kinds, those of the sample of {len(rows)} documents are not")
         return Field(np.zeros(width), np.zeros((2, 2)))
     x = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, width).astype(np.float64)
     weights = [np.frombuffer(r.weights, np.float64) for r in rows]

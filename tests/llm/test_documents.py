@@ -268,6 +268,19 @@ def test_line_crf(spark, none):
     assert line_crf.score(none, field).count() == 0
 
 
+def test_line_crf_learns_from_long_documents(spark, monkeypatch):
+    lines = lambda k: "\n".join(["some plain words here."] * 400 if k % 2 else ["SOME%%% WORDS&&&"] * 400)
+    docs = spark.createDataFrame([(k, lines(k)) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    fitted, sampled = line_crf.fit_field, []
+    monkeypatch.setattr(line_crf, "fit_field", lambda found, y: sampled.extend(found.counts) or fitted(found, y))
+    field = line_crf.fit(docs, labels)
+    assert set(sampled) == {line_crf.SAMPLE_LINES} and len(sampled) > 15
+    assert all(r.predicted == r.doc_id % 2 for r in line_crf.score(docs, field).collect())
+    with pytest.raises(ValueError, match="both kinds"):
+        line_crf.fit(docs.filter("doc_id % 2 = 1"), labels)
+
+
 def test_forward_backward_equals_enumeration():
     scores, pairs, counts = np.array([0.3, -1.0, 2.0, 0.5]), np.array([[0.2, -0.4], [0.1, 0.7]]), np.array([3, 1])
     got, expected = line_crf.marginals(scores, counts, pairs)
