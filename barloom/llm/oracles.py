@@ -22,3 +22,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, sum(t.n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS total
+           FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sizes USING (lang) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n,
+             1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * g.v) AS p,
+             1 + 1000000000::HUGEINT * (k.n + 5) // (s.total + 5 * s.v) AS q
+      FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(sum(abs(a.p - b.p)), 0) AS value
+          FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+          LEFT JOIN p a ON a.lang = g.lang AND a.source = g.source
+          LEFT JOIN p b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

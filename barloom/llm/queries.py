@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, line_crf, oracles
+from .byte_bpe import decoded, encoded
 from .cap_filters import near_duplicates
 from .decontamination import contamination
+from .divergence import divergence
 from .html_layout import rendered
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -74,6 +76,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    back = decoded(encoded(table(spark, sf_dir, "documents"), ranks, PATTERN), ranks)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -87,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_benchmark_decontamination,
         op10_ngram_jaccard_join,
+        op12_source_divergence,
+        op13_byte_bpe,
     )
 }
 
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": oracles.DECONTAMINATION, "op12_source_divergence": oracles.DIVERGENCE}
