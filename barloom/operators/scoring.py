@@ -37,7 +37,7 @@ def complete(preds: DataFrame) -> DataFrame:
 
 def date_ic(preds: DataFrame, min_size: int = MIN_GROUP_SIZE) -> DataFrame:
     """Pearson correlation of prediction and target per date."""
-    return _scored_days(complete(preds), min_size, ic=_correlation("y_pred", "y_true"))
+    return scored_days(complete(preds), min_size, ic=_correlation("y_pred", "y_true"))
 
 
 def with_ranks(preds: DataFrame) -> DataFrame:
@@ -50,10 +50,10 @@ def with_ranks(preds: DataFrame) -> DataFrame:
 def date_rank_ic(preds: DataFrame, min_size: int = MIN_GROUP_SIZE) -> DataFrame:
     """Spearman correlation per date: Pearson of the average ranks."""
     ranked = with_ranks(complete(preds))
-    return _scored_days(ranked, min_size, rank_ic=_correlation("pred_rank", "true_rank"))
+    return scored_days(ranked, min_size, rank_ic=_correlation("pred_rank", "true_rank"))
 
 
-def _scored_days(rows: DataFrame, min_size: int, finite: bool = True, **metrics: Column) -> DataFrame:
+def scored_days(rows: DataFrame, min_size: int, finite: bool = True, **metrics: Column) -> DataFrame:
     days = rows.groupBy(DAY).agg(
         F.count(F.lit(1)).alias("n"),
         _scorable(min_size=min_size, finite=finite).alias("_ok"),
@@ -63,8 +63,8 @@ def _scored_days(rows: DataFrame, min_size: int, finite: bool = True, **metrics:
 
 
 def _placed(rows: DataFrame, top_frac: float) -> DataFrame:
-    """Adds ``_position`` by prediction and ``_k``, how many rows the top and the bottom have."""
-    placed = positions_in_group(rows, [DAY], "y_pred", "sample_id")
+    """Adds ``_position`` by prediction and ``_k``, how many rows the top and the bottom have. ``rows`` are stored, as placing reads them twice."""
+    placed = positions_in_group(stored(rows), [DAY], "y_pred", "sample_id")
     k = F.greatest(F.floor(F.col("_group_rows") * F.lit(top_frac)), F.lit(1)).cast("long")
     return placed.withColumn("_k", k)
 
@@ -83,7 +83,7 @@ def date_spread(
     Equal predictions are ordered by the md5 of the sample id.
     """
     rows = complete(preds).select(DAY, "sample_id", "y_pred", "y_true")
-    return _scored_days(_placed(rows, top_frac), min_size, False, k=F.first("_k"), spread=_spread())
+    return scored_days(_placed(rows, top_frac), min_size, False, k=F.first("_k"), spread=_spread())
 
 
 def metric_summary(
@@ -96,7 +96,7 @@ def metric_summary(
     """
     rows = _placed(complete(preds).select(DAY, "sample_id", "y_pred", "y_true"), top_frac)
     finite = _scorable(min_size=min_size)
-    days = _scored_days(
+    days = scored_days(
         with_ranks(rows),
         min_size,
         False,

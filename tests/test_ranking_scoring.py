@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,7 @@ def test_a_value_across_cuts_has_one_rank(spark, skewed, monkeypatch):
     df, frame = skewed
     ordinary = type(df).repartitionByRange
     monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *c: ordinary(self, 40, *c))
-    cut = ranking._cut(df, ["label_date"], ["y_pred", "sample_id"])
+    cut = ranking._sorted(df, ["label_date"], ["y_pred", "sample_id"]).withColumn("_part", F.spark_partition_id())
     assert cut.where("y_pred = 0.25").select("_part").distinct().count() > 5
     got = ranking.with_average_rank(df, ["label_date"], "y_pred", "r").toPandas().set_index("sample_id")
     frame = frame.set_index("sample_id")
@@ -80,6 +81,27 @@ def test_a_value_across_cuts_has_one_rank(spark, skewed, monkeypatch):
     np.testing.assert_allclose(got["r_of"], groups.transform("count"))
 
 
+def test_runs_over_many_small_batches(spark):
+    """Runs and groups that begin and end inside, at and across batches, with nulls, NaN and both zeros."""
+    rng = np.random.default_rng(8)
+    values = [None, -0.0, 0.0, 1.0, 1.0, 1.0, 2.5, float("nan"), float("inf")]
+    rows = [(None if k % 7 == 0 else f"g{k % 3}", values[int(rng.integers(len(values)))], k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, x double, id int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.id: (r.r, r.r_of) for r in ranking.with_average_rank(df, ["g"], "x", "r").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g, x, k in rows:
+        mine = [y for h, y, _ in rows if h == g and y is not None]
+        key = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+        if x is None:
+            assert got[k][0] is None
+        else:
+            lower, alike = sum(key(y) < key(x) for y in mine), sum(key(y) == key(x) for y in mine)
+            assert got[k] == (lower + (alike + 1) / 2, len(mine))
+
+
 def test_golden_scores(spark):
     x = np.arange(20.0)
     same, opposite = table(spark, x, x), table(spark, x, -x)
