@@ -25,6 +25,7 @@ from barloom.operators.recursions import (
     COLUMNS,
     EXTENDED_GROUPS,
     TA_GROUPS,
+    KernelErrors,
     add_recursive,
 )
 
@@ -146,11 +147,12 @@ def window_extended(df: DataFrame) -> DataFrame:
 
 
 def add_indicators(
-    df: DataFrame, ta: bool = True, extended: bool = True
+    df: DataFrame, ta: bool = True, extended: bool = True, errors: KernelErrors | None = None
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     """Both indicator families with a single pass over the recursions.
 
-    Extended indicators need high, low and close; without them they are skipped with a warning.
+    Extended indicators need high, low and close; without them they are skipped with a warning. With ``errors``
+    a recursion that raises for a symbol fails alone.
     """
     usable = {"high", "low", "close"} <= set(df.columns)
     if extended and not usable:
@@ -168,7 +170,7 @@ def add_indicators(
         out = out.withColumns(bad_types) if bad_types else out
     # the grouped map runs first, on few columns: what passes through Python stays narrow
     groups = [*(TA_GROUPS if ta else ("atr",)), *(EXTENDED_GROUPS if extended else ())]
-    out = add_recursive(out, groups)
+    out = add_recursive(out, groups, errors=errors)
     names: list[str] = []
     if ta:
         out = window_ta(out)

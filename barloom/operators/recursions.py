@@ -4,18 +4,23 @@ Spark has no native operator for an ordered recursion, so all of them run in one
 symbol. A symbol has at most one row per calendar day, hence a group is small whatever the size of
 the panel; work spreads over symbols. Everything passes through as Arrow, only the new columns are
 computed in pandas.
+
+A kernel that raises for a symbol ends the job, unless a ``KernelErrors`` is given: then its columns are null for
+that symbol and the failure is counted on the side.
 """
 
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.config import DATE, SYMBOL
@@ -143,25 +148,80 @@ _KERNELS = {
 }
 
 
-def add_recursive(df: DataFrame, groups: Sequence[str], params: dict | None = None) -> DataFrame:
+ERRORS = "__kernel_errors"
+
+
+class KernelErrors:
+    """Failures of indicator kernels, one row per kernel: name, symbols it failed for, message of the first symbol.
+
+    The figures are observed metrics of the frame's first action, so nothing is computed twice and a task
+    that runs again is not counted twice.
+    """
+
+    def __init__(self) -> None:
+        self._watched: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, groups: Sequence[str]) -> DataFrame:
+        """``df`` without its error column, which is observed on the way."""
+        seen, error = Observation(), lambda g: F.col(ERRORS)[g]
+        figures = [
+            figure
+            for g in groups
+            for figure in (F.count(error(g)).alias(f"{g}_count"), F.min_by(error(g), F.when(error(g).isNotNull(), F.col(SYMBOL))).alias(f"{g}_message"))
+        ]
+        self._watched += [(g, seen) for g in groups]
+        return df.observe(seen, *figures).drop(ERRORS)
+
+    def rows(self) -> list[tuple[str, int, str]]:
+        """Kernels that failed; waits for the frame's first action."""
+        return [(g, seen.get[f"{g}_count"], seen.get[f"{g}_message"]) for g, seen in self._watched if seen.get[f"{g}_count"]]
+
+    def warn(self) -> list[tuple[str, int, str]]:
+        """The rows, with one warning for all of them."""
+        found = self.rows()
+        if found:
+            told = "; ".join(f"{kernel} for {n} symbols ({message})" for kernel, n, message in found)
+            warnings.warn(f"indicators left empty: {told}", RuntimeWarning, stacklevel=2)
+        return found
+
+
+def add_recursive(
+    df: DataFrame, groups: Sequence[str], params: dict | None = None, errors: KernelErrors | None = None
+) -> DataFrame:
     """Append the columns of the named indicator groups; same-named columns are replaced.
 
-    ``params`` maps a group to ``(keyword arguments, output names)`` for other windows.
+    ``params`` maps a group to ``(keyword arguments, output names)`` for other windows. With ``errors`` a group that
+    raises for a symbol leaves nulls and is counted there.
     """
     plan = [(g, *(params or {}).get(g, ({}, COLUMNS[g]))) for g in groups]
     names = [c for _, _, columns in plan for c in columns]
     kept = df.drop(*[c for c in names if c in df.columns])
-    schema = T.StructType(kept.schema.fields + [T.StructField(c, T.DoubleType()) for c in names])
+    added = [T.StructField(c, T.DoubleType()) for c in names]
+    if errors is not None:
+        added.append(T.StructField(ERRORS, T.StructType([T.StructField(g, T.StringType()) for g in groups])))
+    schema, isolated, kernels = T.StructType(kept.schema.fields + added), errors is not None, dict(_KERNELS)
 
     def one_symbol(table: pa.Table) -> pa.Table:
-        table = table.sort_by(DATE)
+        table, failed = table.sort_by(DATE), {}
         bars = [
             table.column(c).cast(pa.float64()).to_pandas().astype("float64")
             for c in ("high", "low", "close")
         ]
         for group, kwargs, columns in plan:
-            for name, values in zip(columns, _KERNELS[group](*bars, **kwargs)):
+            try:
+                found = kernels[group](*bars, **kwargs)
+            except Exception as error:
+                if not isolated:
+                    raise
+                failed[group] = f"{type(error).__name__}: {error}"
+                found = [pd.Series(np.nan, index=bars[0].index)] * len(columns)
+            for name, values in zip(columns, found):
                 table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+        if isolated:
+            kind = pa.struct([(g, pa.string()) for g in groups])
+            told = [{g: failed.get(g) for g in groups}] + [None] * (table.num_rows - 1)
+            table = table.append_column(ERRORS, pa.array(told, kind))
         return table
 
-    return kept.groupBy(SYMBOL).applyInArrow(one_symbol, schema)
+    out = kept.groupBy(SYMBOL).applyInArrow(one_symbol, schema)
+    return errors.watch(out, groups) if errors is not None else out

@@ -22,6 +22,7 @@ from barloom.operators.calendar_features import add_calendar_features
 from barloom.operators.contract import assert_unique_keys, check_input, compact_types
 from barloom.operators.cross_section import add_cross_section
 from barloom.operators.indicators import add_indicators
+from barloom.operators.recursions import KernelErrors
 from barloom.operators.selection import annotated, specs_of, warn_of_bare_columns
 from barloom.operators.targets import add_targets
 from barloom.operators.zscores import add_rolling_zscores
@@ -34,17 +35,17 @@ def raw_specs() -> list[FeatureSpec]:
 
 
 def symbol_features(df: DataFrame, cfg: FeatureConfig) -> tuple[DataFrame, list[FeatureSpec]]:
-    """Features that look at one symbol at a time; row count unchanged."""
-    out, specs = _windowed(check_input(df), cfg)
+    """Features that look at one symbol at a time; row count unchanged. Repeated (symbol, date) are refused."""
+    out, specs = _windowed(assert_unique_keys(check_input(df)), cfg)
     return _normalised(out, cfg, raw_specs() + specs)
 
 
 def _windowed(
-    df: DataFrame, cfg: FeatureConfig, horizons: Sequence[int] = ()
+    df: DataFrame, cfg: FeatureConfig, horizons: Sequence[int] = (), errors: KernelErrors | None = None
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     """Everything before the z-scores. Indicators go first: their grouped map then sees bars only,
     and all windows after it share one exchange on the symbol."""
-    out, specs = add_indicators(df, cfg.add_ta_features, cfg.add_extended_ta_features)
+    out, specs = add_indicators(df, cfg.add_ta_features, cfg.add_extended_ta_features, errors)
     out, more = add_base_features(out, cfg)
     specs = specs + more
     if cfg.add_time_features:
@@ -70,6 +71,7 @@ def panel_features(
     df: DataFrame,
     cfg: FeatureConfig | None = None,
     horizons: Sequence[int] = (),
+    errors: KernelErrors | None = None,
 ) -> tuple[DataFrame, list[FeatureSpec]]:
     """All features of a panel and their specs; an empty panel gives an empty frame and no specs.
 
@@ -81,7 +83,7 @@ def panel_features(
     df = assert_unique_keys(check_input(df))
     if df.isEmpty():
         return df, []
-    out, specs = _windowed(df, cfg, horizons)
+    out, specs = _windowed(df, cfg, horizons, errors)
     if cfg.cross_sectional_rank:
         out, more = add_cross_section(out, cfg.universe_column)
         specs = specs + more
@@ -97,9 +99,12 @@ class ProcessedPanel:
 
 
 def build_processed_panel(spark: SparkSession, config: PanelBuildConfig) -> ProcessedPanel:
-    """Read the raw panel, compute features and labels, store them with a manifest beside."""
-    raw = read_panel(spark, config.raw_path)
-    labelled, specs = panel_features(raw, config.feature_config, config.target_horizons)
+    """Read the raw panel, compute features and labels, store them with a manifest beside.
+
+    An indicator that fails for a symbol is left empty there, warned of once and named in the manifest.
+    """
+    raw, errors = read_panel(spark, config.raw_path), KernelErrors()
+    labelled, specs = panel_features(raw, config.feature_config, config.target_horizons, errors)
     known = {s.name for s in specs} | set(raw.columns)
     targets = [c for c in labelled.columns if c not in known]
     stored = annotated(compact_types(labelled), specs)
@@ -112,6 +117,7 @@ def build_processed_panel(spark: SparkSession, config: PanelBuildConfig) -> Proc
             "feature_specs": [asdict(s) for s in specs],
         },
         "build_options": {},
+        "indicator_errors": [{"kernel": k, "symbols": n, "message": m} for k, n, m in (errors.warn() if specs else [])],
     }
     write_json(spark, manifest, config.manifest_path)
     return ProcessedPanel(config.processed_path, config.manifest_path, targets, specs)
