@@ -173,7 +173,7 @@ def sample_tensors(
 ) -> DataFrame:
     """x_seq (rows in order; features then masks), x_cs, x_cs_mask, y_return, y_risk, label_date.
 
-    A symbol's history is cut into chunks of ``CHUNK_ROWS`` rows and a sample belongs to the chunk it
+    Feature rows bring their ``idx``, or are numbered here. A symbol's history is cut into chunks of ``CHUNK_ROWS`` rows and a sample belongs to the chunk it
     starts in. A wide feature row is sent to the chunks whose samples may contain it, about once
     instead of once per overlapping window, and everything after that stays inside (symbol, chunk).
     """
@@ -188,7 +188,7 @@ def sample_tensors(
 
     chunk = lambda idx: F.floor(idx / F.lit(CHUNK_ROWS)).cast("int")
     earliest = F.greatest(F.col("idx") - (sequence_length - 1), F.lit(0))
-    rows = with_row_index(features).select(
+    rows = (features if "idx" in features.columns else with_row_index(features)).select(
         SYMBOL,
         "idx",
         F.array(*[F.col(c).cast("float") for c in names]).alias("x"),

@@ -1,19 +1,25 @@
-"""Processed panel -> feature base, per-split sample metadata and a result manifest."""
+"""Processed panel -> feature base, per-split sample metadata and a result manifest.
+
+The feature base keeps each row's index in its symbol's history and lies in folders by year and by a hash of
+the symbol, so that loading a split reads the folders its samples reach into and numbers nothing again.
+"""
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.config import DATE, DatasetConfig, YearSplits
+from barloom.config import DATE, SYMBOL, DatasetConfig, YearSplits
 from barloom.functions.staging import read_json, write_json
 from barloom.operators.samples import (
     assert_valid_tensors,
     sample_metadata,
     sample_tensors,
     split_counts,
+    usable_samples,
+    with_row_index,
 )
 from barloom.operators.scaling import assert_no_nulls, feature_base, fit_scaler
 from barloom.operators.selection import cross_section_columns, feature_columns, scaler_columns
@@ -21,6 +27,11 @@ from barloom.operators.trade_calendar import panel_calendar
 from barloom.plans.panel import load_processed_panel
 
 
+#: Rows that a folder of the feature base is meant to hold; more symbols make more folders.
+ROWS_PER_FOLDER = 1 << 20
+YEAR, SHARE = "year", "share"
+
+
 @dataclass(frozen=True)
 class DatasetResult:
     processed_path: str
@@ -32,6 +43,33 @@ class DatasetResult:
     target_columns: list[str]
     cross_sectional_columns: list[str]
     sample_counts: dict[str, int]
+    feature_shares: int
+
+
+def share_of(shares: int) -> Column:
+    """Which of the shares of a year a symbol's rows lie in."""
+    return F.pmod(F.xxhash64(F.col(SYMBOL).cast("string")), F.lit(shares)).cast("int")
+
+
+def write_features(base: DataFrame, path: str) -> int:
+    """Store the feature base with ``idx``, by year and share of symbols; returns the number of shares."""
+    spread = base.agg(F.count(F.lit(1)).alias("n"), (F.year(F.max(DATE)) - F.year(F.min(DATE)) + 1).alias("years")).first()
+    shares = max(1, spread["n"] // (ROWS_PER_FOLDER * (spread["years"] or 1)) + 1)
+    placed = with_row_index(base).withColumns({YEAR: F.year(DATE), SHARE: share_of(shares)})
+    parts = placed.repartition(YEAR, SHARE).write.mode("overwrite").option("compression", "snappy")
+    parts.partitionBy(YEAR, SHARE).parquet(path)
+    return shares
+
+
+def read_features(features: DataFrame, metadata: DataFrame, shares: int) -> DataFrame:
+    """The folders of the feature base that the windows of the samples reach into.
+
+    What reaches the driver is one row per year and share.
+    """
+    years = F.explode(F.sequence(F.year("sequence_start_date"), F.year("sequence_end_date")))
+    reached = metadata.select(years.alias(YEAR), share_of(shares).alias(SHARE)).distinct().collect()
+    wanted = [sorted({row[c] for row in reached}) for c in (YEAR, SHARE)]
+    return features.where(F.col(YEAR).isin(wanted[0]) & F.col(SHARE).isin(wanted[1]))
 
 
 def write_metadata(metadata: DataFrame, path: str, splits: YearSplits) -> dict[str, int]:
@@ -65,8 +103,7 @@ def build_dataset(spark: SparkSession, config: DatasetConfig, calendar: DataFram
 
     root = f"{config.dataset_dir.rstrip('/')}/{config.dataset_name}"
     features_path = f"{root}_features.parquet"
-    base = feature_base(panel, features, scaler)
-    base.write.mode("overwrite").option("compression", "snappy").parquet(features_path)
+    shares = write_features(feature_base(panel, features, scaler), features_path)
     assert_no_nulls(spark.read.parquet(features_path), features)
 
     cross = cross_section_columns(specs)
@@ -86,6 +123,7 @@ def build_dataset(spark: SparkSession, config: DatasetConfig, calendar: DataFram
         targets,
         cross,
         counts,
+        shares,
     )
     document = {**asdict(result), "metadata_schema": metadata.schema.jsonValue()}
     write_json(spark, document, result.result_path)
@@ -109,7 +147,8 @@ def load_samples(
         raise ValueError(f"{result_path} names no features")
     schema = StructType.fromJson(result["metadata_schema"])
     metadata = read_split(spark, result["metadata_path"], split, schema)
-    features = spark.read.parquet(result["features_path"])
+    usable = usable_samples(metadata, y_return, y_risk)
+    features = read_features(spark.read.parquet(result["features_path"]), usable, result["feature_shares"])
     cross = result.get("cross_sectional_columns", [])
     tensors = sample_tensors(features, metadata, names, cross, y_return, y_risk)
     return assert_valid_tensors(tensors) if validate else tensors

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import warnings
 
 import numpy as np
@@ -46,7 +47,7 @@ def test_dataset_counts_and_width(spark, built):
     assert result.sample_counts == {"train": 10, "evaluate": 10, "test": 10}
     assert len(result.feature_columns) == 31
     base = spark.read.parquet(result.features_path)
-    assert len(base.columns) == 2 + 62
+    assert len(base.drop("idx", "year", "share").columns) == 2 + 62
     train = base.where(F.year("date") == 2022)
     scaled = [c for c in result.feature_columns if c == "oc_ratio"]
     assert abs(train.agg(F.avg(scaled[0])).first()[0]) < 1e-5
@@ -74,6 +75,26 @@ def test_samples_read_their_own_symbol(spark, built):
         np.testing.assert_allclose(np.array(r.x_seq, dtype="float32"), want)
 
 
+def test_load_reads_the_folders_of_its_split(spark, built):
+    from barloom.functions.staging import read_json
+    from barloom.operators.samples import with_row_index
+    from barloom.plans.dataset_build import read_features
+
+    _, result = built
+    base = spark.read.parquet(result.features_path)
+    assert {(r.year, r.n) for r in base.groupBy("year").agg(F.count("*").alias("n")).collect()} == {(2022, 24), (2023, 24), (2024, 24)}
+    stored = base.select("ts_code", "date", "idx").collect()
+    assert sorted(stored) == sorted(with_row_index(base.drop("idx")).select("ts_code", "date", "idx").collect())
+    samples = spark.read.parquet(result.metadata_path).where("split = 'evaluate'")
+    shares = read_json(spark, result.result_path)["feature_shares"]
+    plan = read_features(base, samples, shares)._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: (.*?), PushedFilters", plan)[1]
+    assert re.search(r"year#\d+ (=|IN) \(?2023\b", filters) and not re.search(r"\b2022\b|\b2024\b", filters)
+    tensors = load_samples(spark, result.result_path, "evaluate", "y_ret_1", "y_risk_vol_1")
+    loaded = tensors._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"year#\d+ (=|IN) \(?2023\b", loaded) and "row_number" not in loaded
+
+
 def test_manifest_mismatch_is_refused(spark, built):
     config, _ = built
     assert load_processed_panel(spark, config)[1] == ["y_ret_1", "y_risk_vol_1"]
