@@ -46,3 +46,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, p, c, array_to_string(p[1:c], ' ') AS front, array_to_string(p[c + 1:], ' ') AS back
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)),
+scored AS (SELECT c.lang, c.k, c.phrase, c.a, c.c, x.f AS l, y.f AS r, 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS score
+           FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.front AND x.k = c.c
+           JOIN grams y ON y.lang = c.lang AND y.phrase = c.back AND y.k = c.k - c.c),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+dropped AS (SELECT DISTINCT s.lang, s.phrase FROM candidates s
+            JOIN (SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS inside
+                  FROM candidates WHERE k = 3) t ON t.lang = s.lang AND t.inside = s.phrase AND 100 * t.a >= 50 * s.a WHERE s.k = 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+           FROM lowest ANTI JOIN dropped USING (lang, phrase))
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

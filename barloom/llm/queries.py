@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language, line_crf, oracles
 from .byte_bpe import decoded, encoded
 from .cap_filters import near_duplicates
+from .collocations import collocations
 from .decontamination import contamination
 from .divergence import divergence
 from .html_layout import rendered
@@ -76,6 +77,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -104,9 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_benchmark_decontamination,
         op10_ngram_jaccard_join,
+        op11_phrase_collocations,
         op12_source_divergence,
         op13_byte_bpe,
     )
 }
 
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": oracles.DECONTAMINATION, "op12_source_divergence": oracles.DIVERGENCE}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": oracles.DECONTAMINATION, "op11_phrase_collocations": oracles.COLLOCATIONS, "op12_source_divergence": oracles.DIVERGENCE}

@@ -22,5 +22,5 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 
 def test_registered_names():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
