@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.config import DATE, REQUIRED_COLUMNS, SYMBOL
 
+#: Bytes of the integer widths.
+WIDTHS = {"byte": 1, "short": 2, "int": 4, "long": 8}
+
 
 def as_date(df: DataFrame, column: str) -> Column:
     """The column as a DATE. Text in none of the vendors' forms raises; null stays null."""
@@ -48,13 +53,24 @@ def assert_unique_keys(df: DataFrame) -> DataFrame:
     return df
 
 
-def compact_types(df: DataFrame) -> DataFrame:
-    """Doubles become floats and the symbol a string. Integer widths stay as declared."""
+def compact_types(df: DataFrame, integers: Mapping[str, str] | None = None) -> DataFrame:
+    """Doubles become floats, the symbol a string, and integers the declared widths of ``integers``.
+
+    Widths (``byte``, ``short``, ``int``, ``long``) are declared, not found by a scan; a value that does not fit raises.
+    """
     casts = {
         f.name: F.col(f.name).cast("float")
         for f in df.schema.fields
         if isinstance(f.dataType, T.DoubleType)
     }
+    for name, width in (integers or {}).items():
+        if width not in WIDTHS or not isinstance(df.schema[name].dataType, T.IntegralType):
+            raise ValueError(f"{name}: {width} is no width for {df.schema[name].dataType.simpleString()}")
+        limit = 1 << 8 * WIDTHS[width] - 1
+        value = F.col(name)
+        fits = value.isNull() | value.between(F.lit(-limit), F.lit(limit - 1))
+        refused = F.raise_error(F.concat(F.lit(f"{name} does not fit {width}: "), value.cast("string"))).cast(width)
+        casts[name] = F.when(fits, value.cast(width)).otherwise(refused)
     if SYMBOL in df.columns:
         casts[SYMBOL] = F.col(SYMBOL).cast("string")
     return df.withColumns(casts)

@@ -70,8 +70,10 @@ def _placed(rows: DataFrame, top_frac: float) -> DataFrame:
 
 
 def _spread() -> Column:
-    top = F.when(F.col("_position") > F.col("_group_rows") - F.col("_k"), F.col("y_true"))
-    bottom = F.when(F.col("_position") <= F.col("_k"), F.col("y_true"))
+    """Means leave NaN targets out."""
+    known = F.when(~F.isnan("y_true"), F.col("y_true"))
+    top = F.when(F.col("_position") > F.col("_group_rows") - F.col("_k"), known)
+    bottom = F.when(F.col("_position") <= F.col("_k"), known)
     return F.avg(top) - F.avg(bottom)
 
 
@@ -92,7 +94,8 @@ def metric_summary(
     """One row: rank IC mean, deviation, ratio and positive share, IC mean, spread mean.
 
     Predictions are read once; ranks and places are columns of one frame with one row per sample, and
-    all metrics of a date come from one aggregate. A date with non-finite values keeps its spread only.
+    all metrics of a date come from one aggregate. A date with non-finite values keeps its spread only; without a
+    date that has a rank IC, everything is null.
     """
     rows = _placed(complete(preds).select(DAY, "sample_id", "y_pred", "y_true"), top_frac)
     finite = _scorable(min_size=min_size)
@@ -105,14 +108,14 @@ def metric_summary(
         spread=_spread(),
     )
     rank_ic = F.col("rank_ic")
-    mean, std = F.avg(rank_ic), F.stddev_pop(rank_ic)
+    mean, std, any_ic = F.avg(rank_ic), F.stddev_pop(rank_ic), F.count(rank_ic) > 0
     return days.agg(
         mean.alias("rank_ic_mean"),
         std.alias("rank_ic_std"),
         (mean / (std + F.lit(1e-8))).alias("rank_ic_ir"),
         F.avg((rank_ic > 0).cast("double")).alias("rank_ic_pos_ratio"),
-        F.avg("ic").alias("ic_mean"),
-        F.avg("spread").alias("top_bottom_spread"),
+        F.when(any_ic, F.avg("ic")).alias("ic_mean"),
+        F.when(any_ic, F.avg("spread")).alias("top_bottom_spread"),
     )
 
 

@@ -182,6 +182,16 @@ def _text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(check_input(text), [*KEYS, "open", "high", "low", "close", "volume", "pre_close"])
 
 
+def _compacted(spark, sf_dir):
+    """Bars with two whole numbers of declared width beside them, the number of lines and the last line's."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias(SYMBOL), F.to_date("l_shipdate").alias(DATE))
+    counted = lines.agg(F.count(F.lit(1)).alias("lines"), F.max("l_linenumber").alias("last_line"))
+    out = compact_types(supplier_panel(spark, sf_dir).join(counted, [*KEYS]), {"lines": "short", "last_line": "byte"})
+    widths = ",".join(out.schema[c].dataType.simpleString() for c in ("lines", "last_line"))
+    rounded_ = [F.round(F.col(c).cast("double"), 2).alias(c) for c in ("close", "amount")]
+    return out.select(*KEYS, *rounded_, F.col("lines").cast("long").alias("lines"), F.lit(widths).alias("widths"))
+
+
 # --- features --------------------------------------------------------------------------------
 
 
@@ -681,11 +691,10 @@ def _register() -> None:
     )
     _add(
         "S8_compact_types",
-        lambda s, d: compact_types(supplier_panel(s, d)).select(
-            *KEYS, *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("close", "amount")]
-        ),
-        f"WITH {sql.BARS} SELECT ts_code, date, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 2) AS close, "
-        "round(CAST(CAST(amount AS FLOAT) AS DOUBLE), 2) AS amount FROM bars",
+        _compacted,
+        f"WITH {sql.BARS}, n AS (SELECT CAST(l_suppkey AS VARCHAR) AS ts_code, CAST(l_shipdate AS DATE) AS date, count(*) AS lines, max(l_linenumber) AS last_line FROM lineitem GROUP BY ALL) "
+        "SELECT ts_code, date, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 2) AS close, round(CAST(CAST(amount AS FLOAT) AS DOUBLE), 2) AS amount, "
+        "CAST(lines AS BIGINT) AS lines, 'smallint,tinyint' AS widths FROM bars JOIN n USING (ts_code, date)",
     )
     _add(
         "S9_symbol_bars",

@@ -135,3 +135,16 @@ def test_calendar_normalisation(spark):
         F.lit(D(2020, 1, 2)), F.lit(D(2021, 1, 4)),
     )
     assert sorted((r.symbol, r.change) for r in changes.collect()) == [("A", "removed"), ("C", "added")]
+
+
+def test_integers_take_declared_widths(spark):
+    from barloom.operators.contract import compact_types
+
+    df = spark.createDataFrame([("a", 7, 300, 1.5), ("b", None, -2, None)], "ts_code string, n long, m long, x double")
+    out = compact_types(df, {"n": "byte", "m": "short"})
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["string", "tinyint", "smallint", "float"]
+    assert sorted(map(tuple, out.collect())) == [("a", 7, 300, 1.5), ("b", None, -2, None)]
+    with pytest.raises(Exception, match="m does not fit byte: 300"):
+        compact_types(df, {"m": "byte"}).collect()
+    with pytest.raises(ValueError):
+        compact_types(df, {"x": "byte"})

@@ -116,6 +116,23 @@ def test_golden_scores(spark):
     assert all(v is None for v in empty)
 
 
+def test_summary_without_a_rank_ic_is_empty(spark):
+    x = np.arange(25.0)
+    infinite = scoring.metric_summary(table(spark, np.append(x[:24], np.inf), x)).first()
+    assert all(v is None for v in infinite)
+    other = table(spark, x, x, day=DAY + dt.timedelta(days=1))
+    mixed = scoring.metric_summary(table(spark, np.append(x[:24], np.inf), x).unionByName(other)).first()
+    assert mixed.rank_ic_mean == pytest.approx(1) and mixed.top_bottom_spread == pytest.approx(20)
+
+
+def test_spread_leaves_unknown_targets_out(spark):
+    x = np.arange(20.0)
+    true = x.copy()
+    true[[0, 19]] = np.nan
+    got = scoring.date_spread(table(spark, x, true), min_size=5).first()
+    assert got.spread == pytest.approx(np.nanmean(true[16:]) - np.nanmean(true[:4]))
+
+
 def test_losses(spark):
     pred, true = np.array([0.1, 0.2, 0.4]), np.array([0.0, 0.3, 0.2])
     df = table(spark, pred, true, risk=1e-9)
