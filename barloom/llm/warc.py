@@ -10,6 +10,10 @@ The payload is the body without its transfer coding (chunks). For the conversion
 (gzip, deflate, zstd) is undone too; HTML is rendered, other text stands as it is, and what is no text
 (images, PDF) or has a coding that cannot be undone (br) gets a metadata record only. Archives that
 keep the headers but store bodies already decoded are read as they are.
+
+Characters are those of the byte-order mark, else of the header's charset, else of a page's ``<meta>``, else
+UTF-8. ``WARC-Refers-To-Payload-Digest`` is no field of the standard, which has none for this. A coded body that
+would grow beyond ``MOST_BYTES`` has no conversion record, as one record could else fill a task's memory.
 """
 
 from __future__ import annotations
@@ -35,12 +39,22 @@ RESULT = (
     "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, content_type string, "
     "payload_digest string, block_digest string, block binary, record binary"
 )
+#: The most that a coding may make of a body or record.
+MOST_BYTES = 1 << 28
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_META = re.compile(rb"<meta[^>]{0,500}?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 _CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+_LENGTH = re.compile("[0-9]{1,15}")
 _HTML = frozenset(["text/html", "application/xhtml+xml", "application/vnd.wap.xhtml+xml"])
 _TEXT = re.compile(r"text/.+|application/(?:.+\+)?(?:json|xml)|application/(?:x-)?(?:javascript|ecmascript|ndjson|yaml)")
 
 
+class TooLarge(Exception):
+    """A coding makes more of a body than MOST_BYTES."""
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -52,9 +66,10 @@ def to_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def split_headers(data: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """First line, headers in order, and what follows them."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    """First line, headers in order, and what follows them. Lines may end in bare line feeds."""
+    blank = _BLANK_LINE.search(data)
+    head, rest = (data[: blank.start()], data[blank.end() :]) if blank else (data, b"")
+    first, *lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
     headers: list[tuple[str, str]] = []
     for line in lines:
         name, colon, value = line.partition(":")
@@ -72,15 +87,14 @@ def value_of(headers: list[tuple[str, str]], name: str) -> str | None:
 def read_record(record: bytes) -> tuple[list[tuple[str, str]], bytes] | None:
     """Headers and block of a record, plain or gzipped; None if it is no WARC record."""
     if record[:2] == b"\x1f\x8b":
-        try:
-            record = gzip.decompress(record)
-        except (OSError, EOFError):
+        record, whole = _inflate(record, 31)
+        if not whole:
             return None
     first, headers, rest = split_headers(record)
     if not first.startswith("WARC/"):
         return None
     length = value_of(headers, "Content-Length")
-    return headers, rest[: int(length)] if length and length.isdigit() else rest
+    return headers, rest[: int(length)] if length and _LENGTH.fullmatch(length) else rest
 
 
 def without_chunks(body: bytes) -> bytes:
@@ -98,14 +112,16 @@ def without_chunks(body: bytes) -> bytes:
 
 def _inflate(body: bytes, bits: int) -> tuple[bytes, bool]:
     """A zlib or raw stream or all gzip members, and whether it came to its end; of a cut or broken one what comes before."""
-    out, at = [], 0
+    out, at, size = [], 0, 0
     while True:
         stream = zlib.decompressobj(bits)
         try:
             # Small pieces, so that what comes before an error is kept.
             while at < len(body) and not stream.eof:
                 out.append(stream.decompress(body[at : at + 1024]))
-                at += 1024
+                at, size = at + 1024, size + len(out[-1])
+                if size > MOST_BYTES:
+                    raise TooLarge
         except zlib.error:
             return b"".join(out), False
         at = min(at, len(body)) - len(stream.unused_data)
@@ -139,6 +155,8 @@ def _unzstd(body: bytes) -> bytes:
         try:
             while piece := stream.read(1 << 16):
                 out.append(piece)
+                if len(out) << 16 > MOST_BYTES:
+                    raise TooLarge
         except zstandard.ZstdError:
             pass
     return b"".join(out)
@@ -160,31 +178,48 @@ def without_codings(headers: list[tuple[str, str]], name: str, body: bytes) -> b
     return body
 
 
+def decoded(body: bytes, charset: str | None, html: bool) -> str:
+    """The body's characters; what its character set does not know, and an unknown set's name, are replaced."""
+    marked = next((name for mark, name in _MARKS if body.startswith(mark)), None)
+    if not marked and not charset and html and (meta := _META.search(body, 0, 4096)):
+        charset = meta[1].decode("ascii", "replace")
+    try:
+        return body.decode(marked or charset or "utf-8", "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
 def converted(http: list[tuple[str, str]], payload: bytes) -> str | None:
     """The text of a payload; None if it is not text. Without a type, a body without null bytes is HTML."""
-    body = without_codings(http, "content-encoding", payload)
     content_type = value_of(http, "Content-Type") or ""
     kind = content_type.partition(";")[0].strip().lower()
+    try:
+        body = without_codings(http, "content-encoding", payload)
+    except TooLarge:
+        return None
     if body is None or not (kind in _HTML or _TEXT.fullmatch(kind) or (not kind and b"\0" not in body)):
         return None
-    named = _CHARSET.search(content_type)
-    try:
-        text = body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
-        text = body.decode("utf-8", "replace")
-    return visible_text(text) if kind in _HTML or not kind else text
+    named, html = _CHARSET.search(content_type), kind in _HTML or not kind
+    text = decoded(body, named[1] if named else None, html)
+    return visible_text(text) if html else text
 
 
 def derive(record: bytes) -> list[dict]:
     """The metadata and conversion records of one response record; none of other records."""
-    parsed = read_record(record)
+    try:
+        parsed = read_record(record)
+    except TooLarge:
+        return []
     if not parsed or value_of(parsed[0], "WARC-Type") != "response":
         return []
     headers, block = parsed
     status, http, payload = split_headers(block) if block.startswith(b"HTTP/") else ("", [], block)
     own = value_of(headers, "WARC-Record-ID") or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest(record))}>"
     target, date = value_of(headers, "WARC-Target-URI"), value_of(headers, "WARC-Date")
-    entity = without_codings(http, "transfer-encoding", payload)
+    try:
+        entity = without_codings(http, "transfer-encoding", payload)
+    except TooLarge:
+        entity = None
     payload = payload if entity is None else entity
     payload_digest = value_of(headers, "WARC-Payload-Digest") or digest(payload)
     text = None if entity is None else converted(http, payload)
@@ -227,7 +262,8 @@ def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
 
     Null values, records of other types and what is no record give no rows; repeated records give
     repeated rows. A response without identifier gets one from its bytes, one without payload digest the
-    digest of its payload. An unknown charset is read as UTF-8. Other columns are not read.
+    digest of its payload. An unknown charset is read as UTF-8. Damaged or oversized gzip records are no records,
+    damaged bodies give what comes before the damage. Other columns are not read.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
