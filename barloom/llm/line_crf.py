@@ -24,16 +24,17 @@ SAMPLE_LINES = 300
 STEPS = 300
 RATE = 0.1
 PENALTY = 1e-4
+#: Texts of more lines or bytes are read in blocks; the chain runs on from block to block.
+LONG_LINES, LONG_BYTES = 5000, 1 << 20
+BLOCK_BYTES, BLOCK_LINES = 1 << 16, 1 << 16
 THRESHOLD = 0.3
 RESULT = "doc_id long, score double, predicted int"
 _IS_WORD = word_bytes((0x20, *range(0x09, 0x0E)))
-_CLASSES = np.zeros((256, 7), np.float64)
-for _byte in range(256):
-    _letter = chr(_byte).isalpha() if _byte < 128 else True
-    _CLASSES[_byte] = (
-        _letter, 65 <= _byte <= 90, 48 <= _byte <= 57, _byte in b".,;:'", _byte in b" \t\r",
-        _byte in b"!?|", _byte < 128 and not _letter and not 48 <= _byte <= 57 and _byte not in b".,;:' \t\r!?|",
-    )
+#: Kinds of bytes whose shares are features: letters, upper case (letters too), digits, marks, blanks, stress marks, others.
+_UPPER, _KINDS = 2, 7
+_KIND = np.full(256, 7, np.uint8)
+for _kind, _bytes in ((1, [*range(97, 123), *range(128, 256)]), (_UPPER, range(65, 91)), (3, range(48, 58)), (4, b".,;:'"), (5, b" \t\r"), (6, b"!?|")):
+    _KIND[list(_bytes)] = _kind
 
 
 class Lines(NamedTuple):
@@ -51,15 +52,13 @@ class Field(NamedTuple):
     pairs: np.ndarray
 
 
-def line_features(texts: list[bytes]) -> Lines:
-    """Features of all lines; an empty text is one empty line."""
-    buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    ends = np.flatnonzero(buffer == 10)
+def own_features(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each line shows by itself, and its length. Lines end at ``ends``, where ``buffer`` has line breaks."""
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = (ends - starts).astype(np.float64)
-    doc_ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.concatenate(([0], np.searchsorted(ends, doc_ends - 1, side="right"))))
-    sums = np.stack([np.diff(np.concatenate(([0], np.cumsum(_CLASSES[:, k][buffer])))[np.append(starts, len(buffer))]) for k in range(_CLASSES.shape[1])], axis=1)
+    kinds = _KIND[buffer]
+    sums = np.stack([np.add.reduceat(kinds == k, starts, dtype=np.int64) for k in range(1, _KINDS + 1)], axis=1)
+    sums[:, 0] += np.add.reduceat(kinds == _UPPER, starts, dtype=np.int64)
     share = sums / np.maximum(size, 1)[:, None]
     words = scan_words([buffer.tobytes()], _IS_WORD)
     line = np.searchsorted(ends, words.starts)
@@ -73,12 +72,113 @@ def line_features(texts: list[bytes]) -> Lines:
             np.isin(last, list(b".!?")), share[:, 1] > 0.5, share[:, 5] + share[:, 6] > 0.03, repeated > 0.3,
         ]
     )
+    return own, np.maximum(size, 1)
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray, final: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Features of lines: their own, those of the lines around them, and whether they begin or end a document."""
+    past, ahead = np.concatenate((before[None], own[:-1])), np.concatenate((own[1:], after[None]))
+    past[first], ahead[final] = 0, 0
+    return np.column_stack([np.ones(len(own)), own, past, ahead, first, final])
+
+
+def line_features(texts: list[bytes]) -> Lines:
+    """Features of all lines; an empty text is one empty line."""
+    buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    ends = np.flatnonzero(buffer == 10)
+    own, weights = own_features(buffer, ends)
+    doc_ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.concatenate(([0], np.searchsorted(ends, doc_ends - 1, side="right"))))
     first = np.zeros(len(own), bool)
     first[np.cumsum(counts) - counts] = True
-    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    final = np.roll(first, -1)
-    before[first], after[final] = 0, 0
-    return Lines(np.column_stack([np.ones(len(own)), own, before, after, first, final]), np.maximum(size, 1), counts)
+    none = np.zeros(own.shape[1])
+    return Lines(with_neighbours(own, first, np.roll(first, -1), none, none), weights, counts)
+
+
+def line_blocks(text: bytes) -> Iterator[bytes]:
+    """A long text in blocks of whole lines, without the line break at a block's end."""
+    start = 0
+    while (cut := text.find(b"\n", min(len(text), start + BLOCK_BYTES))) >= 0:
+        yield text[start:cut]
+        start = cut + 1
+    yield text[start:]
+
+
+def line_scores(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of the label good, and length, of every line of a long text; features are made block by block."""
+    n = text.count(b"\n") + 1
+    scores, lengths = np.empty(n), np.empty(n)
+    done, before, own = 0, None, None
+
+    def score(after: np.ndarray | None) -> None:
+        first, final = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        first[0], final[-1] = before is None, after is None
+        nothing = np.zeros(own.shape[1])
+        features = with_neighbours(own, first, final, nothing if before is None else before, nothing if after is None else after)
+        scores[done : done + len(own)] = features @ weights
+
+    for block in line_blocks(text):
+        buffer = np.frombuffer(block + b"\n", np.uint8)
+        following, size = own_features(buffer, np.flatnonzero(buffer == 10))
+        if own is not None:
+            score(following[0])
+            done, before = done + len(own), own[-1]
+        own = following
+        lengths[done : done + len(own)] = size
+    score(None)
+    return scores, lengths
+
+
+def scan(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Messages after each of the steps, 2 x 2 matrices of log weights, from the message ``start``.
+
+    Steps are dealt to as many runs as a run is long; runs are multiplied up side by side and then joined.
+    """
+    n = len(steps)
+    size = int(np.sqrt(n)) + 1
+    runs = -(-n // size)
+    dealt = np.concatenate((steps, np.zeros((runs * size - n, 2, 2)))).reshape(runs, size, 2, 2)
+    done = np.empty((size, runs, 2, 2))
+    done[0] = dealt[:, 0]
+    for t in range(1, size):
+        done[t] = np.logaddexp(done[t - 1][:, :, :1] + dealt[:, t, :1], done[t - 1][:, :, 1:] + dealt[:, t, 1:])
+    heads = np.empty((runs, 2))
+    heads[0] = start
+    for k in range(1, runs):
+        heads[k] = np.logaddexp(heads[k - 1, 0] + done[-1, k - 1, 0], heads[k - 1, 1] + done[-1, k - 1, 1])
+    after = np.logaddexp(heads[:, :1] + done[:, :, 0], heads[:, 1:] + done[:, :, 1])
+    return after.transpose(1, 0, 2).reshape(-1, 2)[:n]
+
+
+def chain_score(scores: np.ndarray, weights: np.ndarray, pairs: np.ndarray) -> float:
+    """Weighted mean of P(good) over one long chain: forward messages are kept at block ends and made again in the blocks."""
+    n, blocks = len(scores), range(0, len(scores), BLOCK_LINES)
+
+    def unary(a: int, b: int) -> np.ndarray:
+        return np.column_stack([np.zeros(b - a), scores[a:b]])
+
+    def forward(a: int, start: np.ndarray | None) -> np.ndarray:
+        own = unary(a, min(n, a + BLOCK_LINES))
+        steps = pairs[None] + own[:, None, :]
+        if start is None:
+            steps[0] = [own[0], [-np.inf, -np.inf]]
+        return scan(steps, np.zeros(2) if start is None else start)
+
+    starts: list[np.ndarray | None] = [None]
+    for a in blocks:
+        starts.append(forward(a, starts[-1])[-1])
+    behind, total = np.zeros(2), 0.0
+    for k, a in reversed(list(enumerate(blocks))):
+        ahead = unary(a + 1, min(n, a + BLOCK_LINES + 1))
+        steps = np.swapaxes(pairs[None] + ahead[:, None, :], 1, 2)[::-1]
+        missing = min(n, a + BLOCK_LINES) - a - len(steps)
+        back = scan(steps, behind)[::-1] if len(steps) else np.zeros((0, 2))
+        back = np.concatenate((back, np.zeros((missing, 2))))
+        both = forward(a, starts[k]) + back
+        good = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
+        total += float(good @ weights[a : a + BLOCK_LINES])
+        behind = back[0]
+    return total / float(weights.sum())
 
 
 def marginals(scores: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +234,16 @@ def fit_field(lines: Lines, labels: np.ndarray) -> Field:
 
 def score_texts(texts: list[bytes], field: Field) -> np.ndarray:
     """Length-weighted mean of P(good) over each text's lines."""
-    lines = line_features(texts)
-    good, _ = marginals(lines.features @ field.weights, lines.counts, field.pairs)
-    firsts = np.cumsum(lines.counts) - lines.counts
-    return np.add.reduceat(good * lines.weights, firsts) / np.add.reduceat(lines.weights, firsts)
+    found = np.zeros(len(texts))
+    long = np.array([len(t) > LONG_BYTES or t.count(b"\n") > LONG_LINES for t in texts], bool)
+    for k in np.flatnonzero(long):
+        found[k] = chain_score(*line_scores(texts[k], field.weights), field.pairs)
+    if not long.all():
+        lines = line_features([t for t, apart in zip(texts, long, strict=True) if not apart])
+        good, _ = marginals(lines.features @ field.weights, lines.counts, field.pairs)
+        firsts = np.cumsum(lines.counts) - lines.counts
+        found[~long] = np.add.reduceat(good * lines.weights, firsts) / np.add.reduceat(lines.weights, firsts)
+    return found
 
 
 def held_out(id_col: str = "doc_id") -> Column:
