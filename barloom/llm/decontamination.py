@@ -3,10 +3,12 @@
 A shard is a run of documents that a task reads together. Its suffix array has the word suffixes that
 start with a word gram of the benchmark; no other suffix can match. Each test window, the first words
 of a test suffix, is binary-searched in every shard: the suffixes that start with it are neighbours.
-Windows that follow each other in a document and in an item make longer verbatim matches.
+Windows that follow each other in a document and in an item make longer verbatim matches; these are listed
+on request only, since a sentence that many items share meets each of them at every place.
 
 Only the benchmark is sent to the tasks. It is the stated query set; it goes in blocks whose text has
-at most ``BLOCK_BYTES``, and a task takes one block after the other. Documents are not shuffled.
+at most ``BLOCK_BYTES``. A task holds all blocks and searches its documents for one after the other.
+Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scanning import batches_by_size, encoded, scan_words, sequence_hashes, word_bytes
+from . import workers
+from .scanning import Words, batches_by_size, encoded, scan_words, sequence_hashes, word_bytes
 
 WINDOW = 10
 GRAM = 3
@@ -27,14 +30,12 @@ BLOCK_BYTES = 8 << 20
 #: ASCII bytes that part words, all but digits and letters.
 SEPARATORS = (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 _IS_WORD = word_bytes(SEPARATORS)
-RESULT = (
-    "doc_id long, n_words long, n_hit long, items array<string>, "
-    "matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
-)
+RESULT = "doc_id long, n_words long, n_hit long, items array<string>"
+MATCHES = ", matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
 class Windows(NamedTuple):
-    """Distinct test windows of a block: word hashes, lengths, first grams, and where in which items each is."""
+    """Distinct test windows of a block: word hashes, lengths, first grams, where in which items each is, and its items."""
 
     words: np.ndarray
     lengths: np.ndarray
@@ -44,6 +45,8 @@ class Windows(NamedTuple):
     place_bounds: np.ndarray
     place_item: np.ndarray
     place_word: np.ndarray
+    item_bounds: np.ndarray
+    item_of: np.ndarray
     items: list[str | None]
 
 
@@ -56,12 +59,19 @@ class Hits(NamedTuple):
     matches: list[tuple[str | None, int, int, int]]
 
 
-def windows_of(items: list[tuple[str | None, bytes]], window: int = WINDOW, gram: int = GRAM) -> Windows | None:
-    """Windows of ``window`` words of each item; an item with fewer words, but not none, is one window."""
+def windows_of(items: list[tuple[str | None, bytes]], window: int = WINDOW, gram: int = GRAM) -> list[Windows]:
+    """Windows of ``window`` words of each item; an item with fewer words, but not none, is one window.
+
+    Windows of fewer words than a gram are sets of their own, as their shorter grams would meet most texts.
+    """
     words = scan_words([text for _, text in items], _IS_WORD)
     sizes = np.minimum(words.counts, window)
-    if not sizes.any():
-        return None
+    steps = [(n, n + 1) for n in range(1, min(gram, window))] + [(min(gram, window), window + 1)]
+    return [_windows(items, words, np.where((low <= sizes) & (sizes < high), sizes, 0), window, low) for low, high in steps if ((low <= sizes) & (sizes < high)).any()]
+
+
+def _windows(items: list[tuple[str | None, bytes]], words: Words, sizes: np.ndarray, window: int, gram: int) -> Windows:
+    """The windows of the items with a size, which is 0 for the others."""
     counts = np.where(sizes > 0, words.counts - sizes + 1, 0)
     item = np.repeat(np.arange(len(items)), counts)
     word = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -75,12 +85,13 @@ def windows_of(items: list[tuple[str | None, bytes]], window: int = WINDOW, gram
     order = np.argsort(which, kind="stable")
     lengths = np.zeros(len(distinct), np.int64)
     lengths[which] = length
-    gram = int(min(gram, lengths.min()))
     grams = sequence_hashes(distinct[:, :gram].reshape(-1), gram)[::gram]
     bits = np.zeros(1 << 20, bool)
     bits[grams >> np.uint64(44)] = True
     bounds = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-    return Windows(distinct, lengths, grams, gram, bits, bounds, item[order], word[order], [i for i, _ in items])
+    own = np.unique(which << 32 | item)
+    item_bounds = np.searchsorted(own >> 32, np.arange(len(distinct) + 1))
+    return Windows(distinct, lengths, grams, gram, bits, bounds, item[order], word[order], item_bounds, own & 0xFFFFFFFF, [i for i, _ in items])
 
 
 def bounds_in(array: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +113,7 @@ def bounds_in(array: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tu
     return found[0], found[1]
 
 
-def search_shard(texts: list[bytes], blocks: list[Windows]) -> list[Hits]:
+def search_shard(texts: list[bytes], blocks: list[Windows], with_matches: bool = False) -> list[Hits]:
     """Find the windows of all blocks in the documents of one shard."""
     words = scan_words(texts, _IS_WORD)
     total = len(words.hashes)
@@ -132,14 +143,26 @@ def search_shard(texts: list[bytes], blocks: list[Windows]) -> list[Hits]:
         at = starts[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         np.add.at(steps, at, 1)
         np.add.at(steps, at + block.lengths[window], -1)
-        for doc, found in maximal_matches(block, window, at, words.offsets, doc_of):
+        for doc, own in items_met(block, window, doc_of[at]):
+            items.setdefault(doc, set()).update(own)
+        for doc, found in maximal_matches(block, window, at, words.offsets, doc_of) if with_matches else ():
             matches.setdefault(doc, []).extend(found)
-            items.setdefault(doc, set()).update(f[0] for f in found if f[0] is not None)
     hit = np.concatenate(([0], np.cumsum(np.cumsum(steps[:total]) > 0)))
     n_hit = np.diff(hit[words.offsets])
     return [Hits(int(n), int(h), sorted(items.get(d, ())), sorted(matches.get(d, []), key=str)) for d, (n, h) in enumerate(zip(words.counts, n_hit, strict=True))]
 
 
+def items_met(block: Windows, window: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+    """The items of each document, from its distinct windows; a document's items are marked, not listed by place."""
+    met = np.unique(doc << 32 | window)
+    bounds = np.flatnonzero(np.diff(met >> 32, prepend=-1, append=1 << 40))
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        marked = np.zeros(len(block.items), bool)
+        for w in (met[i:j] & 0xFFFFFFFF).tolist():
+            marked[block.item_of[block.item_bounds[w] : block.item_bounds[w + 1]]] = True
+        yield int(met[i] >> 32), [block.items[k] for k in np.flatnonzero(marked).tolist() if block.items[k] is not None]
+
+
 def maximal_matches(block: Windows, window: np.ndarray, at: np.ndarray, offsets: np.ndarray, doc_of: np.ndarray) -> Iterator:
     """Per document, its longest verbatim matches: windows that follow each other in text and item."""
     n = np.diff(block.place_bounds)[window]
@@ -160,7 +183,7 @@ def maximal_matches(block: Windows, window: np.ndarray, at: np.ndarray, offsets:
     yield from by_doc.items()
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, rows: Callable, schema) -> DataFrame:
+def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, rows: Callable, schema, with_matches: bool = False) -> DataFrame:
     """``rows(batch, hits)`` makes the output batch of each input batch."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,14 +191,14 @@ def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     context, blocks = docs.sparkSession.sparkContext, []
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).filter("text is not null").collect()
-        if found := windows_of([(r.item, r.text.encode()) for r in part], window):
-            blocks.append(context.broadcast(found))
+        blocks += [context.broadcast(found) for found in windows_of([(r.item, r.text.encode()) for r in part], window)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("decontamination")
         known = [b.value for b in blocks]
         for batch in batches:
             texts = encoded(batch.column(text_col))
-            hits = [h for i, j in batches_by_size(texts) for h in search_shard(texts[i:j], known)]
+            hits = [h for i, j in batches_by_size(texts) for h in search_shard(texts[i:j], known, with_matches)]
             yield rows(batch, hits)
 
     return docs.mapInArrow(search, schema)
@@ -183,9 +206,12 @@ def _search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, with_matches: bool = False,
 ) -> DataFrame:
-    """One row per document: its words, those inside a benchmark window, the items met and the longest matches.
+    """One row per document: its words, those inside a benchmark window and the items met.
+
+    ``with_matches`` adds the longest verbatim matches, one for every place of an item at every place of the
+    document, so their number is a product where both repeat a sentence.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window has ``window``
     words of an item, or all words of a shorter one. Null text has no words, an item without words no
@@ -194,15 +220,17 @@ def contamination(
     """
 
     def rows(batch: pa.RecordBatch, hits: list[Hits]) -> pa.RecordBatch:
-        match = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
-        found = [[dict(zip(match.names, m, strict=True)) for m in h.matches] for h in hits]
-        return pa.record_batch(
-            [batch.column("doc_id"), pa.array([h.n_words for h in hits], pa.int64()), pa.array([h.n_hit for h in hits], pa.int64()), pa.array([h.items for h in hits], pa.list_(pa.string())), pa.array(found, pa.list_(match))],
-            names=["doc_id", "n_words", "n_hit", "items", "matches"],
-        )
+        columns = {
+            "doc_id": batch.column("doc_id"), "n_words": pa.array([h.n_words for h in hits], pa.int64()), "n_hit": pa.array([h.n_hit for h in hits], pa.int64()),
+            "items": pa.array([h.items for h in hits], pa.list_(pa.string())),
+        }
+        if with_matches:
+            match = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
+            columns["matches"] = pa.array([[dict(zip(match.names, m, strict=True)) for m in h.matches] for h in hits], pa.list_(match))
+        return pa.record_batch(list(columns.values()), names=list(columns))
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _search(docs, benchmark, "text", item_col, item_text, window, rows, RESULT)
+    return _search(docs, benchmark, "text", item_col, item_text, window, rows, RESULT + MATCHES * with_matches, with_matches)
 
 
 def without_contaminated(
