@@ -69,3 +69,48 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+_REACHED = """reached AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, e.b FROM reached r JOIN edges e ON e.a = r.other)"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+able AS MATERIALIZED (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.r AS ra, b.r AS rb, a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.r <> b.r AND len(a.x) = len(b.x)
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+edges AS (SELECT DISTINCT a, b FROM links), nodes AS (SELECT DISTINCT vec_id AS id FROM v), {_REACHED},
+least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id),
+counts AS (SELECT ra AS r, count(*) AS n FROM links GROUP BY ra)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON id = vec_id LEFT JOIN counts USING (r)
+"""
+
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+starts AS (SELECT r, doc_id, p, t[p + 1:p + 50] AS s FROM (SELECT r, doc_id, t, unnest(range(0, octet_length(t) - 49)) AS p FROM d)),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+hits AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM starts JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (
+           SELECT r, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM hits) GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(hex(t[before + 1:a]), '' ORDER BY a) AS pieces
+         FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN last IS NULL THEN t ELSE unhex(pieces || hex(t[last + 1:])) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (r)
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+named_sets AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS name
+                            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM named_sets GROUP BY r),
+s AS MATERIALIZED (SELECT r, doc_id, coalesce(n, 0) AS n FROM d LEFT JOIN sizes USING (r)),
+numbers AS (SELECT name, row_number() OVER () AS t FROM named_sets GROUP BY name HAVING count(*) > 1),
+t AS MATERIALIZED (SELECT r, n, t FROM named_sets JOIN numbers USING (name) JOIN sizes USING (r)),
+links AS (SELECT a.r AS ra, b.r AS rb FROM t a JOIN t b ON a.t = b.t AND a.r < b.r AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+          GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+named AS (SELECT x.doc_id AS a, y.doc_id AS b FROM links JOIN s x ON x.r = ra JOIN s y ON y.r = rb),
+edges AS (SELECT DISTINCT a, b FROM named UNION SELECT b, a FROM named), nodes AS (SELECT DISTINCT doc_id AS id FROM d), {_REACHED},
+least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM s JOIN least ON id = doc_id
+"""

@@ -115,4 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": oracles.DECONTAMINATION, "op11_phrase_collocations": oracles.COLLOCATIONS, "op12_source_divergence": oracles.DIVERGENCE}
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": oracles.NEAR_VECTORS,
+    "op8_suffix_dedup": oracles.REPEATS,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op10_ngram_jaccard_join": oracles.JACCARD,
+    "op11_phrase_collocations": oracles.COLLOCATIONS,
+    "op12_source_divergence": oracles.DIVERGENCE,
+}

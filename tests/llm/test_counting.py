@@ -178,7 +178,7 @@ def test_shares_beyond_64_bits(spark):
 def test_slices_of_sliced_batches():
     batch = pa.record_batch([pa.array(["", "ab", None, "é", "cd"])], names=["text"]).slice(1, 4)
     filled = batch.set_column(0, "text", batch.column(0).fill_null(""))
-    assert [t for _, texts in divergence.slices(filled) for t in texts] == [b"ab", b"", "é".encode(), b"cd"]
+    assert [t for _, texts in divergence.slices(filled, 3) for t in texts] == [b"ab", b"", "é".encode(), b"cd"]
 
 
 # Operator 13
@@ -209,7 +209,10 @@ def odd_texts():
     return texts + ["", " ", "\n\n  x  ", "a" * 3000, "日本語のテキスト" * 300, "ab" * 40, "don't we'll I'M 'sub", "<|endoftext|>"]
 
 
-def test_encoding_equals_the_library(ranks):
+@pytest.mark.parametrize("at_once", [byte_bpe.MATCHES_AT_ONCE, 7])
+def test_encoding_equals_the_library(ranks, monkeypatch, at_once):
+    monkeypatch.setattr(byte_bpe, "MATCHES_AT_ONCE", at_once)
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 100 if at_once == 7 else byte_bpe.BLOCK_CHARS)
     tiktoken = pytest.importorskip("tiktoken")
     from public_tokenizers import PATTERN
 
@@ -240,7 +243,6 @@ def test_round_trip_on_spark(spark, ranks, monkeypatch):
     from public_tokenizers import PATTERN
 
     monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 500)
-    monkeypatch.setattr(byte_bpe, "MATCHES_AT_ONCE", 7)
     texts = [*odd_texts()[-60:], None, "same", "same"]
     docs = table(spark, [("en", "s", t) for t in texts]).withColumn("doc_id", F.expr("nullif(doc_id, 5)"))
     back = byte_bpe.decoded(byte_bpe.encoded(docs, ranks, PATTERN), ranks).collect()

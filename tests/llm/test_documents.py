@@ -165,7 +165,8 @@ def test_decontamination_equals_brute_force(spark, docs, rows, none):
     long = next(t for i, t in rows if t and len(t.split()) > 3000)
     items = [("a", " ".join(long.split()[100:125])), ("b", long.split()[7] + " " + long.split()[8]), ("c", None), ("d", "!!"), ("e", " ".join(long.split()[110:121])), (None, " ".join(long.split()[300:311]))]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
-    got = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
+    got = {r.doc_id: r for r in decontamination.contamination(docs, benchmark, with_matches=True).collect()}
+    assert "matches" not in decontamination.contamination(docs, benchmark).columns
     for i, words in texts.items():
         hit, met = set(), set()
         for item, text in items:
@@ -314,3 +315,146 @@ def test_token_counts_equal_the_tokenizer(docs, rows, none, tmp_path):
     for text in ["  a", "a\n\nb  c", "🎉x", " ", "naïve\tcafé"]:
         assert token_counts.Vocabulary(str(path)).count(text)[0] == len(tokenizer.encode(text))
     assert token_counts.token_counts(none, str(path)).count() == 0
+
+
+# Odd and long inputs
+
+
+def memory_of(function) -> int:
+    """Peak bytes that numpy and Python allocate while the function runs."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        function()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_of_a_blank_free_text_equals_the_uncut_count(monkeypatch):
+    pick = random.Random(4)
+    text = "".join(pick.choices("あいうえおかきくけこß日本é", k=40_000)) + " x1 " + "".join(pick.choices("abΣ ", k=9000))
+    (whole,) = [language._count_grams([text.lower()])]
+    for size in (11, 300, 4096):
+        monkeypatch.setattr(language, "BATCH_CHARS", size)
+        got = language.count_grams([text, None, "ab"])
+        own = got.text == 0
+        assert (got.code[own] == whole.code).all() and (got.count[own] == whole.count).all()
+
+
+def test_language_distance_equals_brute_force():
+    """Counts, ranks, ties and distances written out."""
+    pick = random.Random(6)
+    train = {"b": ["ab abc " * 5, "cab"], "a": ["xyz xy"], "c": ["ab abc " * 5, "cab"]}
+
+    def grams(text):
+        out = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            out.update(word)
+            out.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            out.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        return out
+
+    order = lambda counts, key: sorted(counts, key=lambda g: (-counts[g], key[g]))
+    names = sorted(train)
+    texts = ["ab abc", "xyz", "zz", "a", "", None, "12 34", "cab xy", "".join(pick.choices("abcxyz ", k=200))]
+    everything = [t or "" for t in texts] + [t for own in train.values() for t in own]
+    found = language.count_grams(everything)
+    total = [grams(t) for t in everything]
+    for k, own in enumerate(total):
+        assert sorted(found.count[found.text == k].tolist()) == sorted(own.values())
+    # the codes of n-grams, by matching texts that hold one n-gram more than another
+    key = {}
+    for k, own in enumerate(total):
+        for g, n in zip(found.code[found.text == k].tolist(), found.count[found.text == k].tolist(), strict=True):
+            points = [p for p in (g & 0x1FFFFF, g >> 21 & 0x1FFFFF, g >> 42) if p]
+            name = "".join(map(chr, reversed(points)))
+            assert own[name] == n or own[name[::-1]] == n
+            key[name if own[name] == n and name in own else name[::-1]] = g
+    profiles = {}
+    for lang in names:
+        counts = sum((grams(t) for t in train[lang]), Counter())
+        profiles[lang] = {g: r for r, g in enumerate(order(counts, key)[: language.LENGTH])}
+    codes = np.sort(np.array(list(key.values()), np.uint64))
+    ranks = np.full((len(names), len(codes) + 1), language.LENGTH)
+    for k, lang in enumerate(names):
+        for g, r in profiles[lang].items():
+            ranks[k, np.searchsorted(codes, key[g])] = r
+    got, scores = language.closest(texts, language.Profiles(names, codes, ranks, language.LENGTH))
+    for text, lang, score in zip(texts, got, scores, strict=True):
+        own = order(grams(text or ""), key)[: language.LENGTH]
+        if not own:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        distance = {name: sum(abs(profiles[name][g] - r) if g in profiles[name] else language.LENGTH for r, g in enumerate(own)) for name in names}
+        best = min(names, key=lambda name: (distance[name], name))
+        assert lang == best and abs(score - (1 - distance[best] / (len(own) * language.LENGTH))) < 1e-12
+
+
+def test_long_texts_need_little_memory():
+    breaks, line = b"\n" * 2_000_000, b"ab " * 1_000_000
+    field = line_crf.Field(np.zeros(line_crf.line_features([b""]).features.shape[1]), np.zeros((2, 2)))
+    for text in (breaks, line):
+        assert memory_of(lambda text=text: line_crf.score_texts([text], field)) < 150 << 20
+        assert line_crf.score_texts([text], field)[0] == pytest.approx(0.5)
+    vocabulary = token_counts.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    word = "".join(random.Random(1).choices("abcdefgh", k=300_000))
+    assert memory_of(lambda: vocabulary.count(word)) < 8 << 20
+    assert word not in vocabulary.known
+
+
+def test_chains_in_blocks_equal_whole_chains(monkeypatch):
+    pick = np.random.default_rng(3)
+    texts = ["".join(random.Random(k).choices("abC 01.!\n\n\té", k=60 * k)).encode() for k in range(12)] + [b"", b"\n", b"a\n"]
+    field = line_crf.Field(pick.normal(size=line_crf.line_features([b""]).features.shape[1]), np.array([[0.5, -0.4], [0.1, 0.9]]))
+    whole = line_crf.score_texts(texts, field)
+    monkeypatch.setattr(line_crf, "LONG_LINES", -1)
+    for size, lines in ((1, 1), (30, 4), (10**6, 7), (200, 10**6)):
+        monkeypatch.setattr(line_crf, "BLOCK_BYTES", size)
+        monkeypatch.setattr(line_crf, "BLOCK_LINES", lines)
+        np.testing.assert_allclose(line_crf.score_texts(texts, field), whole, atol=1e-12)
+
+
+def test_score_by_enumeration():
+    """P(good) of every line from all labelings of a short document."""
+    import itertools
+
+    pick = np.random.default_rng(0)
+    field = line_crf.Field(pick.normal(size=line_crf.line_features([b""]).features.shape[1]), pick.normal(size=(2, 2)))
+    text = b"One two.\n\nTHREE 33 33 33\n!!! ???\nx"
+    lines = line_crf.line_features([text])
+    unary = lines.features @ field.weights
+    total, good = 0.0, np.zeros(len(unary))
+    for labels in itertools.product((0, 1), repeat=len(unary)):
+        weight = np.exp(sum(u for u, y in zip(unary, labels, strict=True) if y) + sum(field.pairs[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+        total += weight
+        good += weight * np.array(labels)
+    want = (good / total) @ lines.weights / lines.weights.sum()
+    assert line_crf.score_texts([text], field)[0] == pytest.approx(want)
+
+
+def test_words_of_one_morphism_do_not_collide():
+    from barloom.llm import scanning
+
+    morse = lambda first: bytes(97 + (bin(k).count("1") + first) % 2 for k in range(1024))
+    is_word = scanning.word_bytes((0x20,))
+    a, b = scanning.scan_words([morse(0), morse(1)], is_word).hashes
+    assert a != b
+    hits = decontamination.search_shard([morse(1)], decontamination.windows_of([("x", morse(0))]))
+    assert hits[0].n_hit == 0
+    pick = random.Random(2)
+    words = sorted({bytes(pick.choices(b"ab", k=pick.randint(1, 40))) for _ in range(20_000)})
+    assert len(set(scanning.scan_words(words, is_word).hashes.tolist())) == len(words)
+
+
+def test_a_sentence_of_many_items_and_documents():
+    sentence = " ".join(f"w{k}" for k in range(30))
+    windows = decontamination.windows_of([(str(k), f"{k}x {sentence} y{k}".encode()) for k in range(2000)] + [("short", b"filler")])
+    text = ((sentence + " filler ") * 300).encode()
+    assert memory_of(lambda: decontamination.search_shard([text], windows)) < 64 << 20
+    (hits,) = decontamination.search_shard([text], windows)
+    assert len(hits.items) == 2001 and hits.n_hit == hits.n_words and hits.matches == []
+    small = decontamination.windows_of([("a", sentence.encode())])
+    assert decontamination.search_shard([f"x {sentence}".encode()], small, True)[0].matches == [("a", 0, 1, 30)]

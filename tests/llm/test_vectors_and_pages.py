@@ -175,3 +175,34 @@ def test_pages_that_end_inside_tags():
     assert html_layout.visible_text("x" + "<a " * 300_000) == "x"
     assert html_layout.visible_text("x<b>" + "<" * 300_000) == "x" + "<" * 300_000
     assert time.time() - started < 5
+
+
+def test_damaged_archives_and_odd_charsets():
+    def record(http):
+        return warc.to_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], http)
+
+    text = lambda r: [d["block"].decode() for d in warc.derive(r) if d["warc_type"] == "conversion"]
+    page = record(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhi")
+    for at in range(10, len(gzip.compress(page)), 3):
+        damaged = bytearray(gzip.compress(page))
+        damaged[at] ^= 0xFF
+        assert isinstance(warc.derive(bytes(damaged)), list)
+    for charset in ("idna", "undefined", "none-such", "hex", "utf-16", "punycode", "²"):
+        assert len(text(record(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\nhi".encode()))) == 1
+    for length in ("²", "9" * 5000, "-1", "x"):
+        assert warc.read_record(f"WARC/1.1\r\nContent-Length: {length}\r\n\r\nabc".encode())[1] == b"abc"
+    word = "Привет"
+    assert text(record(b"HTTP/1.1 200 OK\nContent-Type: text/html\n\n<meta charset=windows-1251><p>" + word.encode("cp1251"))) == [word]
+    assert text(record(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n\r\n\xef\xbb\xbf" + word.encode())) == [word]
+    assert text(record(b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n\xff\xfe" + word.encode("utf-16-le"))) == [word]
+
+
+def test_bodies_that_grow_too_large_have_no_conversion(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 1 << 16)
+    bomb = gzip.compress(b"a" * (1 << 20))
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Encoding: gzip\r\n\r\n" + bomb
+    got = warc.derive(warc.to_record([("WARC-Type", "response")], http))
+    assert [r["warc_type"] for r in got] == ["metadata"]
+    assert warc.derive(gzip.compress(warc.to_record([("WARC-Type", "response")], b"b" * (1 << 20)))) == []
+    packed = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Encoding: zstd\r\n\r\n" + zstandard.compress(b"a" * (1 << 20))
+    assert [r["warc_type"] for r in warc.derive(warc.to_record([("WARC-Type", "response")], packed))] == ["metadata"]
