@@ -41,15 +41,21 @@ def check_input(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
+def unique_rows(df: DataFrame) -> int:
+    """The number of rows; raises when a (symbol, date) occurs twice.
+
+    One aggregate gives both. Counts combine map-side, so copies cannot pile up.
+    """
+    counts = df.groupBy(SYMBOL, DATE).count()
+    size = counts.agg(F.count(F.lit(1)).alias("keys"), F.max_by(F.struct(SYMBOL, DATE, "count"), "count").alias("worst")).first()
+    if size["keys"] and size["worst"]["count"] > 1:
+        row = size["worst"]
+        raise ValueError(f"Panel has {row['count']} rows for {row[SYMBOL]} on {row[DATE]}; normalise daily bars first.")
+    return size["keys"]
+
+
 def assert_unique_keys(df: DataFrame) -> DataFrame:
-    """Raise when a (symbol, date) occurs twice. Counts combine map-side, so copies cannot pile up."""
-    repeated = df.groupBy(SYMBOL, DATE).count().where(F.col("count") > 1).limit(1).collect()
-    if repeated:
-        row = repeated[0]
-        raise ValueError(
-            f"Panel has {row['count']} rows for {row[SYMBOL]} on {row[DATE]}; "
-            "normalise daily bars first."
-        )
+    unique_rows(df)
     return df
 
 

@@ -19,7 +19,7 @@ from barloom.config import (
 from barloom.functions.staging import read_json, write_json
 from barloom.operators.base_features import add_base_features
 from barloom.operators.calendar_features import add_calendar_features
-from barloom.operators.contract import assert_unique_keys, check_input, compact_types
+from barloom.operators.contract import assert_unique_keys, check_input, compact_types, unique_rows
 from barloom.operators.cross_section import add_cross_section
 from barloom.operators.indicators import add_indicators
 from barloom.operators.recursions import KernelErrors
@@ -80,8 +80,8 @@ def panel_features(
     The order does not change any value, since z-scores never feed the cross-section.
     """
     cfg = cfg or FeatureConfig()
-    df = assert_unique_keys(check_input(df))
-    if df.isEmpty():
+    df = check_input(df)
+    if not unique_rows(df):
         return df, []
     out, specs = _windowed(df, cfg, horizons, errors)
     if cfg.cross_sectional_rank:
