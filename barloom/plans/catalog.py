@@ -931,7 +931,9 @@ def _register() -> None:
     fit = f"{fit_cte}, fitted AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in FITTED) + f" FROM {train})"
     _add("Q2_fit_scaler", _scaler, f"WITH {fit} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(c + '_m')} AS mean, {r(c + '_s')} AS scale FROM fitted" for c in FITTED))
     _add("Q3_moments", _moments, f"WITH {fit_cte} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS count, {r(f'sum({c})')} AS sum, {r(f'sum({c} * {c})')} AS sumsq FROM feat" for c in FITTED))
-    _add("Q4_apply_scaler", _scaled, f"WITH {fit} SELECT ts_code, date, " + ", ".join(f"round(({c} - (SELECT {c}_m FROM fitted)) / (SELECT {c}_s FROM fitted), 6) + 0.0 AS {c}" for c in FITTED) + " FROM feat")
+    of_train = lambda c: f"CASE WHEN year(date) BETWEEN 1995 AND 1998 THEN {c} END"
+    scaled_sql = ", ".join(f"round(({c} - avg({of_train(c)}) OVER ()) / stddev_pop({of_train(c)}) OVER (), 6) + 0.0 AS {c}" for c in FITTED)
+    _add("Q4_apply_scaler", _scaled, f"WITH {fit_cte} SELECT ts_code, date, {scaled_sql} FROM feat")
     _add("Q5_missing_masks", _masks, f"WITH {fit_cte} SELECT ts_code, date, " + ", ".join(f"CAST(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS BIGINT) AS {c}_mask" for c in FITTED) + " FROM feat")
     _add(
         "Q6_forward_fill",
