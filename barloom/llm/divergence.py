@@ -33,6 +33,8 @@ UNIT = 1_000_000_000
 SMOOTHING = 5
 SOURCES_AT_ONCE = 128
 TERMS_AT_ONCE = 1 << 15
+#: Ranges of terms are so many that comparing has about so many tasks, as long as a range has LEAST_TERMS.
+COMPARE_TASKS, LEAST_TERMS = 256, 512
 COUNTED = "lang string, term string, docs long, sources array<string>, counts array<long>"
 PAIRED = "lang string, source string, item string, part_value long"
 _LETTER = np.zeros(256, bool)
@@ -74,7 +76,7 @@ def sort_pointers(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
             continue
         own = order[low:high]
         keys = characters(words, starts[own], sizes[own], depth)
-        sample = np.sort(keys[:: len(keys) // 100])
+        sample = np.sort(keys[:: max(1, len(keys) // 100)])
         pivot = sample[len(sample) // 2]
         less, equal = keys < pivot, keys == pivot
         order[low:high] = np.concatenate((own[less], own[equal], own[~less & ~equal]))
@@ -140,15 +142,15 @@ def count_slice(texts: list[bytes], group: np.ndarray) -> tuple[list[bytes], np.
     return terms, entry[firsts], np.add.reduceat(times, firsts), np.diff(np.append(firsts, len(entry)))
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows of the batch that make about SLICE_BYTES, with the bytes of their texts; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of the batch that make about ``size`` bytes, with the bytes of their texts; a longer text stands alone."""
     column = batch.column("text")
     _, offsets, data = column.buffers()
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     bounds = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].tolist()
     view = memoryview(data) if data is not None else memoryview(b"")
     texts = [bytes(view[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-    for i, j in batches_by_size(texts, SLICE_BYTES):
+    for i, j in batches_by_size(texts, size):
         yield batch.slice(i, j - i), texts[i:j]
 
 
@@ -166,7 +168,7 @@ def counted_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, SLICE_BYTES):
                 pairs = list(zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True))
                 groups = sorted(set(pairs))
                 number = {pair: k for k, pair in enumerate(groups)}
@@ -300,8 +302,11 @@ def divergence(
         .withColumn("zero", F.coalesce(share("0", "total", "kept"), F.lit(0)))
     )
     cells = kept.join(groups, ["lang", "source"]).select("lang", "term", "source", "number", "lang_total", "kept", share("n", "total", "kept").alias("p"))
-    most = groups.agg(F.max("kept")).first()[0] or 0
-    pairs = pair_distances(groups.select("lang", "source", "number", "zero", "kept"), cells.select("lang", "term", "number", "p"), 1 + most // TERMS_AT_ONCE)
+    blocks = groups.groupBy("lang").agg(F.max("kept").alias("kept"), F.expr(f"max(number) div {SOURCES_AT_ONCE} + 1").alias("n"))
+    most, block_pairs = blocks.agg(F.max("kept"), F.sum(F.expr("n * (n + 1) div 2"))).first()
+    most, wanted = most or 0, COMPARE_TASKS // (block_pairs or 1)
+    ranges = 1 + max(most // TERMS_AT_ONCE, min(most // LEAST_TERMS, wanted))
+    pairs = pair_distances(groups.select("lang", "source", "number", "zero", "kept"), cells.select("lang", "term", "number", "p"), ranges)
     above = cells.join(by_lang, ["lang", "term"]).withColumn("value", F.col("p") - share("n", "lang_total", "kept")).filter("value > 0")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     ranked = [
