@@ -272,11 +272,11 @@ def younger_characters() -> str:
     return "".join(ranges)
 
 
-def text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about BLOCK_CHARS; a longer text is a block of its own."""
+def text_blocks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about so many characters; a longer text is a block of its own."""
     start = size = 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > BLOCK_CHARS:
+        if size and size + len(text) > chars:
             yield start, k
             start, size = k, 0
         size += len(text)
@@ -315,7 +315,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
         splitter, merges = Splitter(pattern, younger), merges_at(ranks)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in text_blocks(texts):
+            for i, j in text_blocks(texts, BLOCK_CHARS):
                 ids, bounds = encode_texts(texts[i:j], splitter, merges)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "ids"])

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workers
+
 CHUNK_BYTES = 2 << 20
 KEYS_PER_RANGE = 1 << 20
 CHUNK_SCHEMA = "chunk long, size long, payload binary"
@@ -75,14 +77,15 @@ def blob_to_table(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES, owner: str = "chunks") -> DataFrame:
     """A checkpointed table with one row per chunk: rows of ``docs`` that were read together, all columns.
 
     A chunk ends after ``chunk_bytes`` of text. Only the checkpoint fixes what a chunk holds, so a
-    task that runs again later cannot deal rows differently.
+    task that runs again later cannot deal rows differently. ``owner`` is whose tasks these are.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin(owner)
         first, number, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
 
         def chunk() -> pa.RecordBatch:

@@ -19,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import workers
+
 LENGTH = 400
 BATCH_CHARS = 1 << 20
 BATCH_TEXTS = 2048
 ENTRIES_HELD = 1 << 21
-MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double"
 _SPACE = 32
-_BLANK = re.compile(r"\s")
+_GAP = re.compile(r"[\W\d_]")
 _letters: list[np.ndarray] = []
 
 
@@ -66,22 +67,28 @@ def text_ranges(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A long text cut at white space about every BATCH_CHARS characters, so that no word is cut that is shorter."""
+def pieces(text: str) -> Iterator[tuple[str, int, int]]:
+    """A lower-cased long text in pieces of about BATCH_CHARS, with the letters of context before and after each.
+
+    Pieces end before a character that is no letter or, in a longer run of letters, inside it; then one letter on either
+    side of the cut stands in both pieces and is counted in its own.
+    """
     start = 0
     while len(text) - start > 2 * BATCH_CHARS:
-        blank = _BLANK.search(text, start + BATCH_CHARS, start + 2 * BATCH_CHARS)
-        stop = blank.start() if blank else start + 2 * BATCH_CHARS
-        yield text[start:stop]
+        gap = _GAP.search(text, start + BATCH_CHARS, start + 2 * BATCH_CHARS)
+        stop = gap.start() if gap else start + 2 * BATCH_CHARS
+        before, after = int(start > 0 and text[start - 1].isalpha() and text[start].isalpha()), int(text[stop - 1].isalpha() and text[stop].isalpha())
+        yield text[start - before : stop + after], before, after
         start = stop
-    yield text[start:]
+    before = int(start > 0 and text[start - 1 : start].isalpha() and text[start : start + 1].isalpha())
+    yield text[start - before :], before, 0
 
 
 def count_grams(texts: list[str | None]) -> Grams:
     """N-grams of words with a blank on either side; other characters part words. At most BATCH_TEXTS texts."""
     if max(map(len, filter(None, texts)), default=0) <= 2 * BATCH_CHARS:
         return _count_grams(texts)
-    found = [(k, _count_grams([piece])) for k, text in enumerate(texts) for piece in pieces(text or "")]
+    found = [(k, _count_grams([piece], *context)) for k, text in enumerate(texts) for piece, *context in pieces((text or "").lower())]
     text = np.concatenate([np.full(len(g.code), k) for k, g in found])
     code, count = (np.concatenate([g[i] for _, g in found]) for i in (1, 2))
     order = np.lexsort((code, text))
@@ -90,7 +97,8 @@ def count_grams(texts: list[str | None]) -> Grams:
     return Grams(text[firsts], code[firsts], np.add.reduceat(count, firsts))
 
 
-def _count_grams(texts: list[str | None]) -> Grams:
+def _count_grams(texts: list[str | None], before: int = 0, after: int = 0) -> Grams:
+    """As ``count_grams``; of a text's first and last letters, so many are context only."""
     lowered = [(t or "").lower() for t in texts]
     points = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = is_letter()[points]
@@ -105,6 +113,7 @@ def _count_grams(texts: list[str | None]) -> Grams:
     bits = np.uint64(max(1, int(len(alphabet) - 1).bit_length()))
     symbol = symbol.astype(np.uint64)
     word = np.flatnonzero(letter)
+    word = word[before : len(word) - after]
     one, two, three = np.uint64(1) << np.uint64(3) * bits, np.uint64(2) << np.uint64(3) * bits, np.uint64(3) << np.uint64(3) * bits
     pairs = np.concatenate((word, word[~letter[word - 1]] - 1))
     own = np.concatenate((text_of[word], text_of[word[~letter[word - 1]]]))
@@ -130,6 +139,7 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """Profiles from all rows of ``docs`` that have a language and a text. Equal counts go by n-gram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("language")
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged() -> pa.RecordBatch:
@@ -164,9 +174,7 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("rank", place).filter(F.col("rank") <= length).select("lang", "code", "rank")
-    found = top.limit(MOST_LANGUAGES * length + 1).toPandas()
-    if len(found) > MOST_LANGUAGES * length:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; profiles are meant for the driver")
+    found = top.toPandas()
     languages = sorted(found["lang"].unique())
     codes = np.sort(found["code"].unique().astype(np.uint64))
     ranks = np.full((len(languages), len(codes) + 1), length, np.int64)
@@ -209,6 +217,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     known = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("language")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in text_ranges(texts):
@@ -232,6 +241,7 @@ def with_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", l
     known = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("language")
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             stays: list[bool] = []

@@ -23,10 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import workers
+
 CAPACITY = 2048
 END_ID = 1
-CACHE_ENTRIES = 600_000
-ENCODE_TOGETHER = 1000
+#: What a worker remembers of words until another operator begins there; longer words are not remembered.
+CACHE_BYTES = 128 << 20
+LONGEST_REMEMBERED = 64
+ENTRY_BYTES = 200
+BLOCK_CHARS = 1 << 20
+ROWS_AT_ONCE = 512
+ENCODE_TOGETHER = 5000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _SIMPLE = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -37,7 +44,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """Token ids of texts, for tokenizers that drop white space and never join words across it.
 
-    Ids of each word are kept, up to ``CACHE_ENTRIES`` words, since words repeat. Words of Latin letters
+    Ids of words are kept, up to about ``CACHE_BYTES`` or those of a block, since words repeat. Words of Latin letters
     are encoded together: such a word's last token, and no other, ends a word in the vocabulary.
     """
 
@@ -56,10 +63,11 @@ class WordTokenizer:
     def words(text: str) -> list[str]:
         return _BLANK.split(text) if _SEPARATORS.search(text) else text.split()
 
+    def forget(self) -> None:
+        self.known = {}
+
     def learn(self, words: set[str]) -> None:
         known = self.known
-        if len(known) + len(words) > CACHE_ENTRIES:
-            known.clear()
         simple, others, derived = set(), [], []
         for word in words:
             core, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
@@ -70,9 +78,9 @@ class WordTokenizer:
             else:
                 others.append(word)
         new = [w for w in simple if w not in known]
-        for k in range(0, len(new), ENCODE_TOGETHER):
-            part = new[k : k + ENCODE_TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+        parts = [new[k : k + ENCODE_TOGETHER] for k in range(0, len(new), ENCODE_TOGETHER)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
@@ -86,18 +94,35 @@ class WordTokenizer:
             known[word] = known[core] + known[mark] if mark else known[core]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = self.words(text)
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn({w for w in words if w and w not in self.known})
-            return b"".join([self.known[w] if w in self.known else self._alone(w) for w in words if w])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. Words of all texts are learned together."""
+        split = [self.words(t) for t in texts]
+        distinct = {w for w in set().union(*split) if len(w) <= LONGEST_REMEMBERED}
+        if (len(self.known) + len(distinct)) * ENTRY_BYTES > CACHE_BYTES:
+            self.forget()
+        known = self.known
+        known[""] = b""
+        self.learn({w for w in distinct if w not in known})
+        found = []
+        for words in split:
+            try:
+                found.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                found.append(b"".join([known[w] if w in known else self._alone(w) for w in words]))
+        return found
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
+@workers.drops
+def forget_words() -> None:
+    for tokens in _tokenizers.values():
+        tokens.forget()
+
+
 def tokenizer_at(path: str) -> WordTokenizer:
     """One tokenizer per worker and file."""
     if path not in _tokenizers:
@@ -105,6 +130,32 @@ def tokenizer_at(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """A long text in parts of about BLOCK_CHARS that end at white space."""
+    start = 0
+    while len(text) - start > BLOCK_CHARS and (blank := _BLANK.search(text, start + BLOCK_CHARS)):
+        yield text[start : blank.end()]
+        start = blank.end()
+    yield text[start:]
+
+
+def encoded_texts(tokens: WordTokenizer, texts: list[str]) -> Iterator[bytes]:
+    """The ids of each text, encoded in blocks of about BLOCK_CHARS."""
+    held, size = [], 0
+    for text in texts:
+        if len(text) > BLOCK_CHARS:
+            yield from tokens.encode_all(held)
+            held, size = [], 0
+            yield b"".join(ids for part in parts_of(text) for ids in tokens.encode_all([part]))
+            continue
+        held.append(text)
+        size += len(text)
+        if size > BLOCK_CHARS:
+            yield from tokens.encode_all(held)
+            held, size = [], 0
+    yield from tokens.encode_all(held)
+
+
 class Placement(NamedTuple):
     """Pieces of ``length`` with ranks from ``rank`` on, ``count`` of them, go to the sequences from ``sequence`` on."""
 
@@ -146,14 +197,16 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
     """Checkpointed pieces of all documents; ``part, place`` number the pieces of a length within a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("packing")
         tokens = tokenizer_at(tokenizer)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([END_ID], np.uint32).tobytes()
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS_AT_ONCE) for whole in batches for k in range(0, whole.num_rows, ROWS_AT_ONCE)):
             columns: list[list] = [[] for _ in range(7)]
             raw: list[bytes] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = tokens.encode(text or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoded_texts(tokens, texts), strict=True):
+                ids = found + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]

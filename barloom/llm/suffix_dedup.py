@@ -287,7 +287,7 @@ def repeated_bytes(
 ) -> DataFrame:
     """Find the bytes of each text that a smaller document repeats; ``finish(table, texts, mask)`` makes the rows."""
     gram, width = GRAM, -(-(2 * length - GRAM) // 8) * 8
-    chunks = chunked(docs, text_col)
+    chunks = chunked(docs, text_col, owner="suffix dedup")
     bits = range_bits(chunks, (length - gram + 2) / 2)
 
     most = SLICE

@@ -7,7 +7,8 @@ with a higher score. A character that no piece is costs the lowest score less te
 counts its UTF-8 bytes.
 
 Pieces never join a character with a blank after it, so a text's words are counted on their own, each
-distinct word of a task once while it is remembered.
+distinct word once while it is remembered. Of a word only as many places are kept as the longest
+piece has characters, so a text without blanks needs no more memory than another.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import workers
+
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Scores up to this mark pieces that merges make but do not rank; they count as just below the lowest
 #: real score. Left as they are, single precision in the tokenizer would lose all smaller differences.
 PLACEHOLDER = -1e8
-CACHE_ENTRIES = 600_000
+#: What a worker remembers of words until another operator begins there; longer words are not remembered.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
+LONGEST_REMEMBERED = 64
+LONG_WORD = 1000
 RESULT = "doc_id long, n_tokens long, score double"
 _NORMAL, _USER_DEFINED, _BYTE = 1, 4, 6
 _vocabularies: dict[str, Vocabulary] = {}
@@ -68,29 +74,38 @@ class Vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = unknown
+        self.longest = max(map(len, scores), default=1)
         self.single = {piece for piece in scores if len(piece) == 1}
         self.newline_alone = not any("\n" in piece for piece in scores)
         self.known: dict[str, tuple[int, float]] = {}
 
     def count_word(self, word: str) -> tuple[int, float]:
-        """Pieces and score of the best way through ``word``."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        for at in range(n):
+        """Pieces and score of the best way through ``word``; of a long one only the last places are kept."""
+        size = len(word) + 1 if len(word) <= LONG_WORD else self.longest + 1
+        score, count = [0.0] * size, [0] * size
+        matches = self.automaton.iter(word)
+        end, piece = next(matches, (-1, None))
+        for at, character in enumerate(word):
+            ending = []
+            while end == at:
+                ending.append(piece)
+                end, piece = next(matches, (-1, None))
+            if len(ending) > 1:
+                ending.sort(reverse=True)
             best, pieces = None, 0
-            for length, value in sorted(ends[at], reverse=True):
-                candidate = score[at + 1 - length] + value
+            for length, value in ending:
+                before = (at + 1 - length) % size
+                candidate = score[before] + value
                 if best is None or candidate > best:
-                    best, pieces = candidate, count[at + 1 - length] + 1
-            if word[at] not in self.single:
-                candidate = score[at] + self.unknown
+                    best, pieces = candidate, count[before] + 1
+            if character not in self.single:
+                before = at % size
+                candidate = score[before] + self.unknown
                 if best is None or candidate > best:
-                    best, pieces = candidate, count[at] + (len(word[at].encode("utf-8", "replace")) if self.byte_fallback else 1)
-            score[at + 1], count[at + 1] = best, pieces
-        return count[n], score[n]
+                    best, pieces = candidate, count[before] + (len(character.encode("utf-8", "replace")) if self.byte_fallback else 1)
+            here = (at + 1) % size
+            score[here], count[here] = best, pieces
+        return count[len(word) % size], score[len(word) % size]
 
     def words(self, text: str) -> list[str]:
         """The parts of the escaped text that no piece crosses: runs of blanks with what follows them."""
@@ -110,17 +125,25 @@ class Vocabulary:
         if breaks:
             words = [part for word in words for part in word.split("\n")]
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
         for word in words:
             found = known.get(word)
             if found is None:
-                found = known[word] = self.count_word(word)
+                found = self.count_word(word)
+                if len(word) <= LONGEST_REMEMBERED:
+                    if len(known) * ENTRY_BYTES > CACHE_BYTES:
+                        known.clear()
+                    known[word] = found
             total += found[0]
             sum_ += found[1]
         return total + breaks, sum_ + breaks * self.unknown
 
 
+@workers.drops
+def forget_words() -> None:
+    for vocabulary in _vocabularies.values():
+        vocabulary.known = {}
+
+
 def vocabulary_at(path: str) -> Vocabulary:
     """One vocabulary per worker and file."""
     if path not in _vocabularies:
@@ -136,6 +159,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("token counts")
         vocabulary = vocabulary_at(model)
         for batch in batches:
             found = [vocabulary.count(t or "") for t in batch.column("text").to_pylist()]

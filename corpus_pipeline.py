@@ -13,7 +13,8 @@ from barloom.llm.queries import tokenizer_file
 from barloom.llm.sources import table
 from barloom.llm.suffix_dedup import without_repeats
 
-#: A text this far from every profile is in no language that the corpus is labelled with.
+#: Texts below this score are rejected: those without letters and those unlike all profiles. A language that is written
+#: much like a labelled one can score above it and stays; no clean text of the given tables scores below.
 LEAST_LANGUAGE_SCORE = 0.2
 
 
