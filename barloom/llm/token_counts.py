@@ -28,7 +28,7 @@ UNKNOWN_PENALTY = 10.0
 #: real score. Left as they are, single precision in the tokenizer would lose all smaller differences.
 PLACEHOLDER = -1e8
 #: What a worker remembers of words until another operator begins there; longer words are not remembered.
-CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 200
 LONGEST_REMEMBERED = 64
 LONG_WORD = 1000
 RESULT = "doc_id long, n_tokens long, score double"
