@@ -21,8 +21,9 @@ LONG_SHORT = "long_short"
 
 
 def with_quantile(rows: DataFrame, groups: int) -> DataFrame:
-    """Adds ``quantile``, from 1 for the lowest predictions; sizes in a date differ by one at most."""
-    placed = positions_in_group(stored(rows), [DAY], "y_pred", "sample_id")
+    """Adds ``quantile``, from 1 for the lowest predictions; sizes in a date differ by one at most. ``rows`` are read twice,
+    so they should be stored."""
+    placed = positions_in_group(rows, [DAY], "y_pred", "sample_id")
     return placed.withColumn("quantile", F.expr(f"(_position - 1) * {int(groups)} div _group_rows + 1")).drop("_position", "_group_rows")
 
 
@@ -37,7 +38,7 @@ def quantile_returns(preds: DataFrame, groups: int = 5, min_size: int = MIN_GROU
 
     ``log_wealth`` compounds a portfolio's returns over the dates. Dates that scores leave out are left out here.
     """
-    rows = with_quantile(complete(preds).select(DAY, "sample_id", "y_pred", "y_true"), groups)
+    rows = with_quantile(stored(complete(preds).select(DAY, "sample_id", "y_pred", "y_true")), groups)
     mine = lambda q: F.when(F.col("quantile") == q, F.col("y_true"))
     metrics = {f"n_{q}": F.count(mine(q)) for q in range(1, groups + 1)} | {f"r_{q}": F.avg(mine(q)) for q in range(1, groups + 1)}
     days = scored_days(rows, min_size, False, **metrics)
@@ -68,7 +69,7 @@ def cohorts(preds: DataFrame, calendar: DataFrame, groups: int = 5, min_size: in
 
     ``preds`` needs the symbol column besides those of a prediction table, ``calendar`` is ``(cal_date, pos)``.
     """
-    rows = complete(preds).select(DAY, "sample_id", "y_pred", "y_true", SYMBOL)
+    rows = stored(complete(preds).select(DAY, "sample_id", "y_pred", "y_true", SYMBOL))
     top = with_quantile(rows, groups).where(F.col("quantile") == groups)
     days = scored_days(rows, min_size, False).select(DAY)
     sizes = top.groupBy(DAY).agg(F.count(F.lit(1)).alias("_k")).join(days, DAY)
@@ -80,16 +81,17 @@ def cohorts(preds: DataFrame, calendar: DataFrame, groups: int = 5, min_size: in
 def holdings(bought: DataFrame, holding: Sequence[int]) -> DataFrame:
     """``holding, pos, symbol, weight, before``: what is held on a day, and what was on the day before.
 
-    A row of a cohort gives one row per day that it is held. Today's and yesterday's weights meet by one
-    aggregate on (holding, day, symbol), yesterday's with their day moved on by one.
+    A row of a cohort gives one row per day that it is held and for the day after. Today's and yesterday's weights
+    meet by one aggregate on (holding, day, symbol); the cohorts are read once.
     """
     spans = F.explode(F.array(*[F.lit(int(h)) for h in holding]))
-    held = bought.select("pos", SYMBOL, "weight", spans.alias("holding"))
-    held = held.withColumn("pos", F.explode(F.expr("sequence(pos, pos + holding - 1)"))).withColumn("weight", F.col("weight") / F.col("holding"))
-    held = held.select("holding", "pos", SYMBOL, "weight")
-    both = held.select("*", F.lit(0.0).alias("before")).unionByName(
-        held.select("holding", (F.col("pos") + 1).alias("pos"), SYMBOL, F.lit(0.0).alias("weight"), F.col("weight").alias("before"))
-    )
+    held = bought.select("pos", SYMBOL, F.col("weight").alias("whole"), spans.alias("holding"))
+    held = held.select("holding", SYMBOL, (F.col("whole") / F.col("holding")).alias("part"), "pos", F.explode(F.expr("sequence(pos, pos + holding)")).alias("day"))
+    both = held.select(
+        "holding", F.col("day").alias("pos"), SYMBOL,
+        F.when(F.col("day") < F.col("pos") + F.col("holding"), F.col("part")).otherwise(0.0).alias("weight"),
+        F.when(F.col("day") > F.col("pos"), F.col("part")).otherwise(0.0).alias("before"),
+    )
     return both.groupBy("holding", "pos", SYMBOL).agg(F.sum("weight").alias("weight"), F.sum("before").alias("before"))
 
 
@@ -122,7 +124,7 @@ def cost_grid(daily: DataFrame, costs: Sequence[float]) -> DataFrame:
 def volatility_exposure(preds: DataFrame, groups: int = 5, min_size: int = MIN_GROUP_SIZE) -> DataFrame:
     """``label_date, n, top, bottom, tilt``: mean predicted deviation of the highest and the lowest quantile and their
     difference in deviations of the whole date; null where the date has one deviation only."""
-    rows = with_quantile(complete(preds).select(DAY, "sample_id", "y_pred", "y_true", F.sqrt("pred_risk").alias("_dev")), groups)
+    rows = with_quantile(stored(complete(preds).select(DAY, "sample_id", "y_pred", "y_true", F.sqrt("pred_risk").alias("_dev"))), groups)
     inside = lambda q: F.avg(F.when(F.col("quantile") == q, F.col("_dev")))
     days = scored_days(rows, min_size, False, top=inside(groups), bottom=inside(1), spread=F.stddev_pop("_dev"))
     return days.withColumn("tilt", F.try_divide(F.col("top") - F.col("bottom"), F.col("spread"))).drop("spread")

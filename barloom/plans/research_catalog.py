@@ -11,7 +11,7 @@ from barloom.operators import baselines, folds, health, market_state, performanc
 from barloom.operators.targets import future_return
 from barloom.plans import oracles as sql
 from barloom.plans.catalog import KEYS, Query, _calendar, _features, _with_returns, metadata, preds, shown
-from barloom.sources.sales_panel import supplier_panel, table
+from barloom.sources.sales_panel import predictions, supplier_panel, table
 
 PLAN = folds.WalkForward(test_days=250, step_days=125, train_days=500, embargo_days=5)
 QUANTILES = 5
@@ -116,8 +116,9 @@ def _monotonicity(spark, sf_dir):
 
 
 def _daily(spark, sf_dir) -> DataFrame:
-    calendar, bars = _calendar(spark, sf_dir), supplier_panel(spark, sf_dir)
-    named = preds(spark, sf_dir).withColumn(SYMBOL, F.substring_index("sample_id", ":", 1))
+    # predictions and returns read the bars
+    calendar, bars = _calendar(spark, sf_dir), stored(supplier_panel(spark, sf_dir))
+    named = predictions(bars).withColumn(SYMBOL, F.substring_index("sample_id", ":", 1))
     ahead = bars.select(SYMBOL, F.col(DATE).alias("cal_date"), future_return("close", 1).alias("ret"))
     returns = ahead.join(calendar.select("cal_date", "pos"), "cal_date").select(SYMBOL, "pos", "ret")
     held = portfolio.holdings(portfolio.cohorts(named, calendar, QUANTILES), HOLDING)
