@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureConfig
 from barloom.operators import batches, cross_section, portfolio, ranking, recursions
+from barloom.operators.zscores import add_rolling_zscores
 from barloom.plans import catalog
 from barloom.plans.panel import panel_features
 from fixtures import three_symbols
@@ -115,3 +116,10 @@ def test_bars_are_computed_once_for_both_formats(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(catalog, "write_table", lambda df, *args: (sources.append(df.inputFiles()), write(df, *args))[1])
     assert catalog.QUERIES["S2_write_csv_and_parquet"](spark, str(tmp_path)).count() == 24
     assert sum(any("lineitem.parquet" in f for f in files) for files in sources) == 1
+
+
+def test_rows_without_a_symbol_are_no_history_of_the_next_one(spark):
+    rows = [(code, datetime.date(2024, 1, 1 + i), float(i * i + k)) for k, code in enumerate((None, "a", "b")) for i in range(4)]
+    df = spark.createDataFrame(rows, "ts_code string, date date, x double").coalesce(1)
+    found = {(r.ts_code, r.date.day): r.x_z3 for r in add_rolling_zscores(df, ["x"], (3,)).collect()}
+    assert all((z is None) == (day < 3) for (_, day), z in found.items()) and len(found) == 12
