@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.config import FeatureConfig
+from barloom.functions.staging import stored_by
+from barloom.operators import cross_section
+from barloom.operators.membership import flag_membership
 from barloom.operators.ranking import join_on
 from barloom.operators.samples import with_row_index
 from barloom.operators.scaling import feature_base
@@ -112,3 +115,60 @@ def test_only_rows_without_gaps_pass_without_building_tensors(spark, fault, plai
     start = 7 if fault == "unreached" else 0
     usable = spark.createDataFrame([("A", start, start + 1, side, 1.0)], "ts_code string, start_idx int, end_idx int, s double, s_mask float")
     assert _plainly_valid(features, usable.where(F.lit(fault != "none")), ["x"], ["s"]) is plain
+
+
+def test_membership_leaves_the_bars_where_they_lie(no_broadcast):
+    bars = bars_of(no_broadcast).drop("in_csi300").repartition(3, "ts_code")
+    schema = "symbol string, start_date date, end_date date"
+    spans = no_broadcast.createDataFrame([("A", dt.date(2020, 12, 26), dt.date(2020, 12, 28)), ("C", dt.date(2021, 1, 2), dt.date(2030, 1, 1))], schema)
+    flagged = flag_membership(bars, spans, "in_x", 3)
+    assert plan_of(flagged).count("Exchange hashpartitioning(ts_code") == plan_of(bars).count("Exchange hashpartitioning(ts_code") == 1
+    key = lambda rows: sorted(map(str, rows))
+    assert key(flagged.collect()) == key(flag_membership(bars, spans, "in_x").collect())
+
+
+def test_bars_stored_by_symbol_need_no_exchange(no_broadcast):
+    df = bars_of(no_broadcast, extra=[(None, dt.date(2020, 12, 26), 7.0, 7.2, 6.8, 7.0, 50.0, 6.9, True)])
+    kept = stored_by(df, "ts_code", "date", 3)
+    key = lambda rows: sorted(map(str, rows))
+    assert key(kept.select(*df.columns).collect()) == key(df.collect())
+    assert "Exchange " not in plan_of(add_rolling_zscores(kept, ["close"], (3,)))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        spread = panel_features(kept, CFG, spread=3)[0]
+    assert key(spread.collect()) == key(quietly(df, CFG).select(*spread.columns).collect())
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_one_group_for_a_date_gives_the_ranks_and_moments_of_the_wide_way(spark, monkeypatch, twice):
+    day, more = dt.date(2021, 1, 4), dt.date(2021, 1, 5)
+    rows = [(f"S{k}", day, 0.1, float(k % 5), None if k % 3 else 2.0 + k, True) for k in range(40)]
+    rows += [("S0", more, 1.0, None, None, True), ("S1", more, 2.0, None, 5.0, False), ("S0", None, 3.0, 4.0, 5.0, True), (None, None, 5.0, 4.0, None, True)]
+    df = spark.createDataFrame(rows * (1 + twice), "ts_code string, date date, same double, tied double, gaps double, in_csi300 boolean")
+    columns = ["same", "tied", "gaps"]
+
+    def found():
+        ranks, moments = cross_section.cross_tables(df, columns)
+        key = lambda t: {str(r[:2]) if t is ranks else str(r[0]): tuple(r[2:] if t is ranks else r[1:]) for r in t.collect()}
+        return key(ranks), key(moments)
+
+    near = found()
+    monkeypatch.setattr(cross_section, "WIDEST", 0)
+    wide = found()
+    assert wide[1].keys() == near[1].keys()
+    for own, other in zip(near[1].values(), (wide[1][k] for k in near[1])):
+        for a, b in zip(own, other):
+            assert a == b if a is None or b is None else a == pytest.approx(b, rel=1e-12)
+    assert near[1][str(day)][1] == 0.0
+    known = {k: v for k, v in near[0].items() if any(x is not None for x in v)}
+    assert all(wide[0][k] == v for k, v in known.items()) and len(known) >= 43
+
+
+def test_members_values_are_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(cross_section, "rank_by_date", None)
+    seen = []
+    keep = cross_section.stored
+    monkeypatch.setattr(cross_section, "stored", lambda df: seen.append(df.schema) or keep(df))
+    quietly(bars_of(spark), CFG).collect()
+    (schema,) = seen
+    assert {f.dataType.simpleString() for f in schema.fields[2:-1]} == {"int"}
