@@ -43,6 +43,23 @@ def rows_of_prose(seed, n, words=40):
 # Operator 11
 
 
+def test_one_batch_of_texts_is_held_at_a_time():
+    import weakref
+
+    held = []
+
+    def batches():
+        for k in range(3):
+            assert all(ref() is None for ref in held)
+            batch = pa.record_batch([pa.array(["en"] * 300), pa.array([f"a b c{k}"] * 300)], names=["lang", "text"])
+            held.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    found = list(collocations.windows(batches(), 2, 1 << 20))
+    assert len(held) == 3 and sum(w.word_counts().sum() for w in found) == 2700
+
+
 def best_phrases(rows, least, top):
     words, f = Counter(), defaultdict(Counter)
     for lang, _, text in rows:
