@@ -74,7 +74,8 @@ class WordTokenizer:
             if _SIMPLE.fullmatch(core):
                 core = core.lower()
                 simple.add(core)
-                derived.append((word, core, mark))
+                if core != word:
+                    derived.append((word, core, mark))
             else:
                 others.append(word)
         new = [w for w in simple if w not in known]
@@ -98,20 +99,20 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. Words of all texts are learned together."""
+        self.known[""] = b""
         split = [self.words(t) for t in texts]
-        distinct = {w for w in set().union(*split) if len(w) <= LONGEST_REMEMBERED}
-        if (len(self.known) + len(distinct)) * ENTRY_BYTES > CACHE_BYTES:
+        held = [list(map(self.known.get, words)) for words in split]
+        gaps = [[k for k, ids in enumerate(own) if ids is None] for own in held]
+        new = {words[k] for words, missing in zip(split, gaps, strict=True) for k in missing}
+        if (len(self.known) + len(new)) * ENTRY_BYTES > CACHE_BYTES:
             self.forget()
+        self.learn({w for w in new if len(w) <= LONGEST_REMEMBERED})
         known = self.known
-        known[""] = b""
-        self.learn({w for w in distinct if w not in known})
-        found = []
-        for words in split:
-            try:
-                found.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                found.append(b"".join([known[w] if w in known else self._alone(w) for w in words]))
-        return found
+        for words, own, missing in zip(split, held, gaps, strict=True):
+            for k in missing:
+                word = words[k]
+                own[k] = known[word] if word in known else self._alone(word)
+        return [b"".join(own) for own in held]
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()

@@ -217,6 +217,23 @@ def test_word_tokenizer_edge_cases():
         assert list(np.frombuffer(own.encode(text), np.uint32)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_known_words_are_looked_up_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    own, tokenizer = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = ["Some words, some WORDS.", "", "some " + "long" * 40 + " word, \x1c x"]
+    whole = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    assert own.encode_all(texts) == whole
+    asked = []
+    monkeypatch.setattr(own, "learn", lambda words: asked.append(words))
+    assert own.encode_all(texts[:2] * 3) == whole[:2] * 3 and asked == [set()]
+    monkeypatch.undo()
+    # a table that is full is forgotten between looking up and learning
+    monkeypatch.setattr(packing, "CACHE_BYTES", 0)
+    assert own.encode_all(["fresh " + t for t in texts[:1]]) == [np.array(tokenizer.encode("fresh " + texts[0], add_special_tokens=False).ids, np.uint32).tobytes()]
+
+
 def test_histogram_packing_places_all_pieces():
     pick = np.random.default_rng(3)
     histogram = dict(Counter(pick.integers(1, 2049, 5000).tolist()))
