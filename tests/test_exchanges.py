@@ -172,3 +172,10 @@ def test_members_values_are_not_stored(spark, monkeypatch):
     quietly(bars_of(spark), CFG).collect()
     (schema,) = seen
     assert {f.dataType.simpleString() for f in schema.fields[2:-1]} == {"int"}
+
+
+def test_shuffles_are_released_once_the_feature_base_is_written(spark, tmp_path, monkeypatch):
+    path, seen = tmp_path / "base.parquet", []
+    monkeypatch.setattr("barloom.plans.dataset_build.release", lambda _: seen.append((path / "_SUCCESS").exists()))
+    write_features(bars_of(spark), ["close"], {"close": (10.0, 2.0)}, str(path))
+    assert seen == [True]
