@@ -169,7 +169,8 @@ def test_members_values_are_not_stored(spark, monkeypatch):
     seen = []
     keep = cross_section.stored
     monkeypatch.setattr(cross_section, "stored", lambda df: seen.append(df.schema) or keep(df))
-    quietly(bars_of(spark), CFG).collect()
+    df = bars_of(spark)
+    cross_section.cross_tables(df, ["close", "open"])
     (schema,) = seen
     assert {f.dataType.simpleString() for f in schema.fields[2:-1]} == {"int"}
 
