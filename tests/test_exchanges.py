@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import warnings
 
 import pytest
@@ -15,10 +16,11 @@ from barloom.operators.ranking import join_on
 from barloom.operators.samples import with_row_index
 from barloom.operators.scaling import feature_base
 from barloom.operators.zscores import add_rolling_zscores
+from barloom.plans import catalog
 from barloom.plans import panel as build
 from barloom.plans.dataset_build import _plainly_valid, share_of, write_features
 from barloom.plans.panel import panel_features
-from barloom.sources.sales_panel import raw_bars, supplier_panel
+from barloom.sources.sales_panel import panel_with_universe, raw_bars, supplier_panel
 
 CFG = FeatureConfig((3,), (3,), (5,), add_ta_features=False, add_extended_ta_features=False)
 
@@ -181,3 +183,63 @@ def test_shuffles_are_released_once_the_feature_base_is_written(spark, tmp_path,
     monkeypatch.setattr("barloom.plans.dataset_build.release", lambda _: seen.append((path / "_SUCCESS").exists()))
     write_features(bars_of(spark), ["close"], {"close": (10.0, 2.0)}, str(path))
     assert seen == [True]
+
+
+def _near(df):
+    return sorted(str([round(x, 9) + 0.0 if isinstance(x, float) else x for x in r]) for r in df.collect())
+
+
+def _odd_bars(spark):
+    return bars_of(spark, days=30, extra=[(s, d, 7.0, 7.2, 6.8, 7.0, 50.0, 6.9, True) for s, d in ((None, dt.date(2020, 12, 26)), (None, dt.date(2020, 12, 27)), ("A", None))])
+
+
+def test_stored_bars_are_not_exchanged_for_their_ranks(no_broadcast):
+    kept = stored_by(bars_of(no_broadcast), "ts_code", "date", 3)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        plan = plan_of(panel_features(kept, CFG, spread=3)[0]).splitlines()
+    union = next(i for i, line in enumerate(plan) if "Union" in line)
+    assert not any("Exchange hash" in line for line in plan[:union])
+    sent = [line for line in plan if "Exchange hash" in line]
+    assert len(sent) == 1 and "(ts_code" in sent[0] and "Bucketed: true" in "".join(plan)
+
+
+@pytest.mark.parametrize("widest", [1 << 18, 2])
+def test_features_of_stored_bars_equal_those_of_plain_ones(spark, monkeypatch, widest):
+    cfg = FeatureConfig((3,), (3,), (5,), add_time_features=False, add_extended_ta_features=False)
+    df, seen = _odd_bars(spark), []
+    want = quietly(df, cfg)
+    kept, store = stored_by(df, "ts_code", "date", 3), cross_section.stored
+    monkeypatch.setattr(cross_section, "WIDEST", widest)
+    monkeypatch.setattr(cross_section, "stored", lambda df: seen.append(df.schema) or store(df))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        got = panel_features(kept, cfg, spread=3)[0]
+    assert got.columns == want.select(*got.columns).columns and _near(got) == _near(want.select(*got.columns))
+    assert len(seen) == 2 and ("rsi_14" in seen[1].names) != ("rsi_14" in seen[0].names)
+    if widest > 2:
+        assert {f.dataType.simpleString() for s in seen for f in s.fields[2:-1]} == {"int"}
+
+
+def test_ranks_sent_by_symbol_are_the_same(spark):
+    chance = random.Random(7)
+    value = lambda: chance.choice([None, 0.0, 1.0, chance.random()])
+    days = [dt.date(2021, 1, 4), dt.date(2021, 1, 5), None]
+    rows = [(None if k == 7 else f"S{k}", day, *[value() for _ in range(4)], k % 4 > 0) for k in range(30) for day in days]
+    df = spark.createDataFrame(rows, "ts_code string, date date, a double, b double, c double, d double, in_csi300 boolean")
+    plain, sent = (cross_section.cross_tables(df, ["a", "b", "c", "d"], **kw)[0] for kw in ({}, {"tasks": 3}))
+    assert sent.rdd.getNumPartitions() == 3
+    key = lambda t: sorted(map(str, t.collect()))
+    assert key(sent) == key(plain) and len(key(plain)) > 60
+
+
+def test_the_close_before_is_not_stored(spark, tmp_path, monkeypatch):
+    rows = [(o, 1, 5, 1 + o % 3, float(1 + o % 2), 10.0 * (1 + o), dt.datetime(2020 + o % 2, 1, 1 + o % 9)) for o in range(60)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    monkeypatch.setattr(catalog, "stored_by", lambda df, *args: seen.append(df.columns) or stored_by(df, *args))
+    monkeypatch.setattr(catalog, "_quiet_features", lambda panel, cfg, **kw: (panel, []))
+    bars, wanted = catalog.default_features(spark, str(tmp_path)), panel_with_universe(spark, str(tmp_path))
+    assert bars.columns == wanted.columns and _near(bars) == _near(wanted)
+    assert "pre_close" in bars.columns and "pre_close" not in seen[0]
