@@ -8,17 +8,17 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.config import FeatureConfig
-from barloom.functions.staging import stored_by
+from barloom.config import FeatureConfig, PanelBuildConfig
+from barloom.functions.staging import read_by, stored_by
 from barloom.operators import cross_section
 from barloom.operators.membership import flag_membership
 from barloom.operators.ranking import join_on
-from barloom.operators.samples import with_row_index
+from barloom.operators.samples import sample_tensors, with_row_index
 from barloom.operators.scaling import feature_base
 from barloom.operators.zscores import add_rolling_zscores
 from barloom.plans import catalog
 from barloom.plans import panel as build
-from barloom.plans.dataset_build import _plainly_valid, share_of, write_features
+from barloom.plans.dataset_build import _plainly_valid, layout_of, share_of, write_features
 from barloom.plans.panel import panel_features
 from barloom.sources.sales_panel import panel_with_universe, raw_bars, supplier_panel
 
@@ -243,3 +243,33 @@ def test_the_close_before_is_not_stored(spark, tmp_path, monkeypatch):
     bars, wanted = catalog.default_features(spark, str(tmp_path)), panel_with_universe(spark, str(tmp_path))
     assert bars.columns == wanted.columns and _near(bars) == _near(wanted)
     assert "pre_close" in bars.columns and "pre_close" not in seen[0]
+
+
+def test_wide_rows_stay_in_their_buckets(no_broadcast, tmp_path, monkeypatch):
+    spark = no_broadcast
+    monkeypatch.setattr("barloom.plans.dataset_build.ROWS_PER_FOLDER", 200)
+    df = bars_of(spark, [f"S{k}" for k in range(20)], days=30).unionByName(bars_of(spark, [None]))
+    df.write.parquet(str(tmp_path / "bars.parquet"))
+    config = PanelBuildConfig(str(tmp_path / "bars.parquet"), str(tmp_path), CFG, (1,))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        build.build_processed_panel(spark, config)
+    panel, targets, _ = build.load_processed_panel(spark, config)
+    buckets = build.panel_buckets(spark, config)
+    key = lambda t: sorted(map(str, t.collect()))
+    assert key(panel) == key(spark.read.parquet(config.processed_path).select(*panel.columns))
+    names = ["ret_1", "close_z5"]
+    assert "Exchange hash" not in plan_of(with_row_index(feature_base(panel, names, {})))
+    layout, path = layout_of(panel, buckets), str(tmp_path / "base.parquet")
+    assert layout.given and layout.shares > 1 and layout.buckets == buckets
+    assert write_features(panel, names, {}, path, layout) == layout.shares
+    plain = spark.read.parquet(path)
+    kept = read_by(plain, path, "ts_code", "date", buckets, ("year", "share"))
+    assert key(kept) == key(plain.select(*kept.columns)) and kept.count() == df.count()
+    assert kept.where(F.col("share") != share_of(layout.shares)).isEmpty()
+    some = "sample_id string, ts_code string, start_idx int, end_idx int, label_date date, y_ret_5 double, y_risk_vol_5 double"
+    found = spark.createDataFrame([(f"{s}{i}", s, i, i + 3, dt.date(2021, 1, 1), 0.1, 0.2) for s in ("S1", "S5", "S9") for i in range(0, 20, 2)], some)
+    monkeypatch.setattr("barloom.operators.samples.CHUNK_ROWS", 6)
+    own = sample_tensors(kept, found, names, sequence_length=4, buckets=buckets)
+    assert key(own) == key(sample_tensors(plain, found, names, sequence_length=4)) and own.count() == 30
+    assert [line for line in plan_of(own).splitlines() if "Exchange" in line and "REPARTITION_BY_NUM" not in line] == []
