@@ -127,18 +127,30 @@ def add_counts(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(counts, firsts)
 
 
+def capped(totals: np.ndarray) -> np.ndarray:
+    """Totals as bytes that end at 255."""
+    return np.minimum(totals, 255).astype(np.uint8)
+
+
+def magnitudes(totals: np.ndarray) -> np.ndarray:
+    """Totals as bytes in the same order: exact below 64, then six steps for each doubling, up to 2 ** 37."""
+    beyond = 64 + 6 * (np.log2(np.maximum(totals, 64).astype(np.float64)) - 6)
+    return np.where(totals < 64, totals, np.minimum(beyond, 255)).astype(np.uint8)
+
+
 def shared_keys(
     chunks: DataFrame,
     keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     bits: int,
     total: Callable[[np.ndarray, np.ndarray], np.ndarray] = add_counts,
+    told: Callable[[np.ndarray], np.ndarray] = capped,
 ) -> DataFrame:
     """For every chunk and key range, the chunk's keys that at least two documents hold.
 
     ``keys_of`` gives the sorted distinct 64-bit keys of a chunk and how many of its documents hold
-    each. Keys are compared by ``short``; who needs more must compare what stands behind them. Counts
+    each. Keys are compared by ``short``; who needs more must compare what stands behind them. A chunk's counts
     end at 255. ``total`` makes one number of each key's counts, which stand together from ``firsts`` on;
-    keys of less than 2 are not told.
+    keys of less than 2 are not told, the others as the bytes that ``told`` makes of their numbers.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +182,7 @@ def shared_keys(
         totals = total(entries & np.uint64(255), firsts)
         totals = np.repeat(totals, np.diff(np.append(firsts, len(keys))))
         held = totals >= 2
-        keys, totals = keys[held], np.minimum(totals[held], 255).astype(np.uint8)
+        keys, totals = keys[held], told(totals[held])
         source = ((entries[held] >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.uint32)
         order = np.argsort(source, kind="stable")
         bounds = np.searchsorted(source[order], np.arange(len(parts) + 1))

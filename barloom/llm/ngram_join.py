@@ -1,7 +1,8 @@
 """Near-duplicate texts by word shingles: an exact Jaccard join through prefix trees.
 
 Shingle sets are put in one global order, rarest shingle first. The order needs document counts, which
-come from the key exchange of ``chunks``; shingles of one document only never match, so they are
+come from the key exchange of ``chunks`` as orders of magnitude, so that of two shingles that thousands of
+documents share the rarer still stands first; shingles of one document only never match, so they are
 counted but not kept, and a document that shares too few is out at once. Two sets above the threshold
 share a shingle of both prefixes. Candidates of a shingle meet in prefix trees:
 
@@ -9,7 +10,8 @@ share a shingle of both prefixes. Candidates of a shingle meet in prefix trees:
 2. The smallest class of each prefix shingle is a pivot. Its set walks the tree of the sets that meet
    it. One pair per class and pivot links most groups of copies without expanding them.
 3. A shingle whose classes are all connected by now can add nothing. Where several components meet,
-   every set walks the tree of those of the other components, in blocks, so that no link is lost.
+   every set is compared with those of the other components, in blocks and once for all shingles that
+   a block's sets share, so that no link is lost.
 
 Large groups are cut into blocks of bounded size; none is collected whole and no pairs are emitted but
 links. Hashes have 64 bits; for two sets to be judged wrongly, shingles of these two must collide.
@@ -18,14 +20,13 @@ links. Hashes have 64 bits; for two sets to be judged wrongly, shingles of these
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import blob_to_table, chunked, range_bits, release, shared_keys, shared_of, short
+from .chunks import blob_to_table, chunked, magnitudes, range_bits, release, shared_keys, shared_of, short
 from .components import components
 from .scanning import batches_by_size, encoded, scan_words, sequence_hashes, word_bytes
 
@@ -33,6 +34,8 @@ SHINGLE = 5
 PERCENT = 75
 BLOCK = 512
 PAIRS_PER_TASK = 2048
+#: Sets that share a token from which on they are found by a product of matrices.
+WIDE = 64
 #: The bytes that part words, space and tab to carriage return.
 SEPARATORS = (0x20, *range(0x09, 0x0E))
 _SETS = "doc_id long, n_shingles long, set_id binary, tokens binary"
@@ -140,7 +143,7 @@ def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
         )
 
     payloads = chunks.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).alias("bucket"), "payload")
-    shared = shared_keys(chunks, keys_of, bits).select(F.lit(1).alias("kind"), "chunk", "bucket", "payload")
+    shared = shared_keys(chunks, keys_of, bits, told=magnitudes).select(F.lit(1).alias("kind"), "chunk", "bucket", "payload")
     return payloads.unionByName(shared).groupBy("chunk").applyInArrow(sets_of, _SETS).checkpoint()
 
 
@@ -206,61 +209,101 @@ def pivot_links(reps: DataFrame, met: DataFrame, percent: int = PERCENT) -> Data
     return meeting.groupBy("task").applyInArrow(verify, _EDGES)
 
 
+def links_apart(sets: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, block: np.ndarray, both: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Places of linked sets of different components whose blocks add up to ``both``, as a spanning forest of the components.
+
+    Only sets that share a prefix token and are of sizes that can reach the threshold are compared. A set that is not of the
+    commonest component meets all its candidates at once, over their tokens' numbers, so no pairs are walked one by one.
+    """
+    component, kept = component.copy(), np.fromiter(map(len, sets), np.int64, len(sets))
+    own = sizes - kept
+    take = np.clip(sizes - needed(sizes, percent) + 1 - own, 0, kept)
+    of_token, where = np.unique(np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)]), return_inverse=True)
+    order, holder = np.argsort(where, kind="stable"), np.repeat(np.arange(len(sets)), take)
+    if not len(order):
+        return []
+    holder, counts = holder[order], np.bincount(where, minlength=len(of_token))
+    starts = np.cumsum(counts) - counts
+    apart = np.minimum.reduceat(component[holder], starts) < np.maximum.reduceat(component[holder], starts)
+    near = np.zeros((len(sets), len(sets)), bool)
+    for i, n in zip(starts[apart & (counts < WIDE)], counts[apart & (counts < WIDE)], strict=True):
+        near[np.ix_(holder[i : i + n], holder[i : i + n])] = True
+    wide = np.flatnonzero(apart & (counts >= WIDE))
+    for k in range(0, len(wide), 1024):
+        holds = np.zeros((len(sets), len(wide[k : k + 1024])), np.float32)
+        for column, t in enumerate(wide[k : k + 1024]):
+            holds[holder[starts[t] : starts[t] + counts[t]], column] = 1
+        near |= holds @ holds.T > 0
+    # the tokens that nobody else has count against a set whatever its partner
+    reach = (100 + percent) * kept - percent * sizes
+    near &= (block[:, None] + block == both) & (percent * sizes[:, None] <= reach) & (percent * sizes <= reach[:, None])
+    names, size_of = np.unique(component, return_counts=True)
+    main = component == names[np.argmax(size_of)]
+    near[main] = False
+    near &= main | np.triu(np.ones(near.shape, bool), 1)
+    vocabulary, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(kept)
+    found, mark = [], np.zeros(len(vocabulary), np.int32)
+    for x in np.flatnonzero(near.any(axis=1)):
+        others = np.flatnonzero(near[x] & (component != component[x]))
+        if not len(others):
+            continue
+        mine = numbers[ends[x] - kept[x] : ends[x]]
+        mark[mine] = 1
+        if 4 * len(others) < len(sets):
+            overlap = np.add.reduceat(mark[np.concatenate([numbers[ends[y] - kept[y] : ends[y]] for y in others])], np.cumsum(kept[others]) - kept[others])
+        else:
+            overlap = np.add.reduceat(mark[numbers], ends - kept)[others]
+        mark[mine] = 0
+        met = others[linked(overlap.astype(np.int64), sizes[x], sizes[others], percent)]
+        reached, firsts = np.unique(component[met], return_index=True)
+        found += [(int(x), int(y)) for y in met[firsts]]
+        component[np.isin(component, reached)] = component[x]
+    return found
+
+
 def remaining_links(reps: DataFrame, met: DataFrame, connected: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between the components that still meet in a prefix shingle.
 
-    Shingles with the same classes are taken once. Those where the same components meet go to one task
-    while they are few, so that a set is sent once for all of them; a group beyond ``BLOCK`` classes is
-    dealt out by pairs of blocks.
+    Shingles with the same classes are taken once. The classes of those where the same components meet are a family, which
+    goes to one place, so that a pair of classes is compared there once, however many shingles it shares. A family with a
+    shingle beyond ``BLOCK`` classes is dealt out by pairs of blocks of its classes, one of too many classes by its shingles.
     """
     known = met.join(connected, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("component"))
     groups = known.groupBy("token").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("and_who"),
     )
-    once = groups.filter("least < most").groupBy("n", "who", "and_who", "least", "most").agg(F.min("token").alias("token")).checkpoint()
-    rows = once.agg(F.sum("n")).first()[0] or 0
-    family = once.groupBy("least", "most").agg(F.ceil(F.sum("n") / (4 * PAIRS_PER_TASK)).alias("salts"))
-    place = F.pmod(F.xxhash64("least", "most", F.pmod(F.xxhash64("token"), F.col("salts"))), F.lit(1 << 40))
-    blocks = once.join(family, ["least", "most"]).select("token", place.alias("place"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    own = known.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    # blocks by powers of four, so that shingles of about as many classes are of one family
+    blocks = F.pow(F.lit(4.0), F.ceil(F.greatest(F.lit(0.0), F.log(4.0, F.col("n") / BLOCK)))).cast("long")
+    once = groups.filter("least < most").groupBy("n", "who", "and_who", "least", "most").agg(F.min("token").alias("token"))
+    family = ["least", "most", "blocks"]
+    once = once.select("token", "least", "most", blocks.alias("blocks")).checkpoint()
+    meeting = known.join(once, "token").checkpoint()
+    held = 2 / (F.col("blocks") + 1) / PAIRS_PER_TASK
+    salts = F.when(F.approx_count_distinct("cls") * held <= 1, 1).otherwise(F.ceil(F.count("*") * held)).alias("salts")
+    place = F.pmod(F.xxhash64(*family, F.pmod(F.xxhash64("token"), F.col("salts"))), F.lit(1 << 40)).alias("place")
+    # a family's shingles meet here, its classes nowhere before they are dealt out
+    places = once.join(meeting.groupBy(*family).agg(salts), family).select("token", place, "blocks")
+    classes = meeting.select("token", "cls", "component").join(places, "token").drop("token").distinct()
+    own = classes.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("place", "token", "cls", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("place", "i", "j"), F.lit(max(1, rows // PAIRS_PER_TASK)))).drop("place").checkpoint()
-    sent = dealt.select("task", "cls").distinct().join(reps, "cls").toDF("cls", "job", "n_shingles", "tokens")
-
-    def verify(meetings: pa.Table, sent: pa.Table) -> pa.Table:
-        sets = _by(_rows(sent), "cls")
-        pairs, done, root = [], set(), {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        for (_, i, j), rows in _by(meetings.to_pylist(), "token", "i", "j").items():
-            of = {r["cls"]: find(r["component"]) for r in rows}
-            own = {r["cls"]: r["own"] for r in rows}
-            sizes = {x: [r["n_shingles"] for r in sets[(x,)]] for x in of}
-            main = Counter(of.values()).most_common(1)[0][0]
-            todo: dict[int, set[int]] = {}
-            for x in (x for x in of if of[x] != main):
-                for y in of:
-                    apart = of[x] != of[y] and own[x] + own[y] == i + j and (min(x, y), max(x, y)) not in done
-                    if apart and 100 * min(max(sizes[x]), max(sizes[y])) >= percent * max(min(sizes[x]), min(sizes[y])):
-                        todo.setdefault(x, set()).add(y)
-                        done.add((min(x, y), max(x, y)))
-            members = [r for x in sorted(set().union(*todo.values())) for r in sets[(x,)]]
-            tree = Tree([r["tokens"] for r in members], [r["n_shingles"] for r in members])
-            for x, others in todo.items():
-                wanted = lambda k, others=others: members[k]["cls"] in others
-                for query in sets[(x,)]:
-                    for k in tree.walk(query["tokens"], query["n_shingles"], wanted, percent):
-                        pairs.append((x, members[k]["cls"]))
-                        root[find(of[x])] = find(of[members[k]["cls"]])
+    dealt = dealt.select("place", "cls", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).checkpoint()
+    tasks = max(1, dealt.count() // PAIRS_PER_TASK)
+    sent = dealt.withColumn("task", F.pmod(F.xxhash64("place", "i", "j"), F.lit(tasks))).join(reps, "cls")
+
+    def verify(group: pa.Table) -> pa.Table:
+        place, i, j, cls, component, own, sizes = (group.column(c).to_numpy() for c in ("place", "i", "j", "cls", "component", "own", "n_shingles"))
+        sets = [np.frombuffer(t.as_py(), np.uint64) for t in group.column("tokens")]
+        order = np.lexsort((cls, j, i, place))
+        new = (np.diff(place[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+        pairs = []
+        for at in np.split(order, np.flatnonzero(new) + 1):
+            found = links_apart([sets[k] for k in at], sizes[at], component[at], own[at], i[at[0]] + j[at[0]], percent)
+            pairs += [(int(cls[at[x]]), int(cls[at[y]])) for x, y in found]
         return _edges(pairs)
 
-    return dealt.groupBy("task").cogroup(sent.groupBy("job")).applyInArrow(verify, _EDGES)
+    return sent.groupBy("task").applyInArrow(verify, _EDGES)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

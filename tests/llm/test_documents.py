@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from barloom.llm import decontamination, language, line_crf, ngram_join, packing, suffix_dedup, token_counts
+from barloom.llm.chunks import magnitudes
 from barloom.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, chunk string, kind string, n_words string, tokens string"
@@ -159,6 +160,81 @@ def test_ngram_join_blocks_repeats_and_nulls(spark, none, docs, monkeypatch):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_rarer_of_two_common_shingles_stands_first(spark):
+    # beyond 255 documents both counted alike, and hashes decided which of them begins a set
+    common = [" ".join(f"{kind}{k}" for k in range(12)) for kind in "abcdefgh"]
+    texts = [" . ".join(common[: 8 if k < 260 else 4 if k < 350 else 2]) + f" x{k}" for k in range(520)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    holders = Counter(int(x) for text in texts for x in shingle_numbers(text))
+    rows = [np.frombuffer(r.tokens, np.uint64) for r in ngram_join.document_sets(docs).collect() if r.tokens is not None]
+    assert len(rows) == 520
+    by_hash = {x >> 8: n for x, n in holders.items()}
+    for tokens in rows:
+        counts = [by_hash[int(t) & (1 << 56) - 1] for t in tokens]
+        assert counts == sorted(counts)
+
+
+def shingle_numbers(text):
+    return ngram_join.shingle_sets([text.encode()])[0]
+
+
+def test_links_apart_equal_brute_force(monkeypatch):
+    pick = np.random.default_rng(5)
+    monkeypatch.setattr(ngram_join, "WIDE", 6)
+    for round_ in range(30):
+        base = np.sort(pick.choice(1 << 40, 60, replace=False).astype(np.uint64))
+        sets, sizes = [], []
+        for k in range(40):
+            mine = base[pick.random(60) > 0.12 * (1 + k % 2)]
+            sets.append(np.sort(np.unique(np.concatenate([mine, pick.choice(1 << 40, 3).astype(np.uint64)]))))
+            sizes.append(len(sets[-1]) + int(pick.integers(0, 1 + len(sets[-1]) // 4)))
+        sizes, component, block = np.array(sizes), pick.integers(0, 25, 40), pick.integers(0, 2, 40)
+        both = int(pick.integers(0, 3))
+
+        def joined(pairs):
+            root = {c: c for c in component.tolist()}
+            for a, b in pairs:
+                a, b = root[int(component[a])], root[int(component[b])]
+                root = {c: min(a, b) if r in (a, b) else r for c, r in root.items()}
+            return root
+
+        overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        links = [(a, b) for a in range(40) for b in range(a) if block[a] + block[b] == both and ngram_join.linked(overlap(a, b), sizes[a], sizes[b])]
+        found = ngram_join.links_apart(sets, sizes, component, block, both)
+        assert joined(found) == joined(links) and len(found) < 25
+        assert all((a, b) in links or (b, a) in links for a, b in found)
+
+
+def test_ngram_join_of_one_large_family_equals_brute_force(spark, monkeypatch):
+    pick = random.Random(3)
+    words = [f"w{k}" for k in range(200)]
+    base, texts = pick.choices(words, k=60), []
+    for k in range(90):
+        parts = list(base)
+        for _ in range(k % 4):
+            parts[pick.randrange(60)] = pick.choice(words)
+        texts.append(" ".join(parts))
+    sets = [shingles(t) for t in texts]
+    root = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert len(set(root)) > 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for name, value in (("BLOCK", 8), ("PAIRS_PER_TASK", 16), ("WIDE", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == dict(enumerate(root))
+
+
+def test_magnitudes_keep_the_order():
+    totals = np.unique(np.concatenate([np.arange(2, 5000), 2 ** np.arange(1, 37)])).astype(np.uint64)
+    told = magnitudes(totals)
+    assert told.dtype == np.uint8 and (np.diff(told.astype(int)) >= 0).all() and told[totals < 64].tolist() == totals[totals < 64].tolist()
+    assert len(set(magnitudes(2 ** np.arange(6, 37)).tolist())) == 31
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows, none):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     texts = {i: word.findall(lower(t)) for i, t in rows}
