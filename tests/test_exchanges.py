@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureConfig, PanelBuildConfig
 from barloom.functions.staging import read_by, stored_by
+from barloom.functions.windows import prior
 from barloom.operators import cross_section
 from barloom.operators.membership import flag_membership
 from barloom.operators.ranking import join_on
@@ -245,6 +246,19 @@ def test_the_close_before_is_not_stored(spark, tmp_path, monkeypatch):
     assert "pre_close" in bars.columns and "pre_close" not in seen[0]
 
 
+def test_the_panel_block_does_not_exchange_its_bars(spark, tmp_path, monkeypatch):
+    rows = [(o, 1, 5, 1 + o % 3, float(1 + o % 2), 10.0 * (1 + o), dt.datetime(2020 + o % 2, 1, 1 + o % 9)) for o in range(60)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole, shown = catalog._panel_block(spark, str(tmp_path)), []
+    plain, _ = catalog._quiet_features(catalog.universe_panel(spark, str(tmp_path)), catalog.SMALL)
+    wanted = catalog.shown(plain, [c for c in whole.columns])
+    assert _near(whole) == _near(wanted) and whole.count() == plain.count() > 0
+    monkeypatch.setattr(catalog, "_quiet_features", lambda panel, cfg, **kw: shown.append((panel, kw)) or panel_features(panel, cfg, **kw))
+    catalog._panel_block(spark, str(tmp_path))
+    assert shown[0][1]["spread"] and "Exchange hash" not in plan_of(shown[0][0].withColumn("before", prior("close", 2)))
+
+
 def test_wide_rows_stay_in_their_buckets(no_broadcast, tmp_path, monkeypatch):
     spark = no_broadcast
     monkeypatch.setattr("barloom.plans.dataset_build.ROWS_PER_FOLDER", 200)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureConfig, FeatureSpec, target_horizon, target_mask
 from barloom.functions.windows import rolling_zscore, safe_div
+from barloom.operators import zscores
 from barloom.operators.base_features import add_base_features
 from barloom.operators.contract import assert_unique_keys, check_input, compact_types
 from barloom.operators.cross_section import CANDIDATES, cross_section
@@ -92,6 +93,21 @@ def test_zscore_kernel_equals_window_form(random_bars):
             close(kernel[f"{c}_z{w}"], native[f"{c}_z{w}"])
 
 
+def test_zscores_over_the_ends_of_stretches(monkeypatch):
+    pick = np.random.default_rng(4)
+    x = pick.normal(size=(3, 41))
+    x[0, pick.random(41) < 0.1], x[1, 10:30] = np.nan, 0.3
+    whole = {rows: zscores._rolling_z(x, rows) for rows in (1, 2, 5, 41, 42)}
+    for stretch in (1, 4, 37):
+        monkeypatch.setattr(zscores, "STRETCH", stretch)
+        for rows, found in whole.items():
+            np.testing.assert_array_equal(zscores._rolling_z(x, rows), found)
+    for k, rows in ((0, 2), (2, 5), (2, 41)):
+        window = pd.Series(x[k]).rolling(rows)
+        np.testing.assert_allclose(whole[rows][k], (x[k] - window.mean()) / window.std(), rtol=1e-6)
+    assert (whole[5][1, 14:30] == 0).all() and np.isnan(whole[42]).all()
+
+
 def test_indicators_match_pandas(random_bars):
     out, specs = add_indicators(random_bars)
     assert len(specs) == 28
